@@ -100,8 +100,8 @@ ORACLES = {
     "m2_governance_issues": f"""WITH {GP} SELECT tenant_id, plan_id, CASE WHEN status = 'expired' THEN concat('Plan ''', name, ''' has expired')
         ELSE concat('Plan ''', name, ''' expires in ', date_diff('day', TIMESTAMP '{NOW}', expires_at), ' days') END AS issue
         FROM gp WHERE status = 'expired' OR {_SOON}""",
-    "m3_audit_tail": """SELECT o_orderkey AS entry_id, o_orderdate AS at, o_custkey % 100 AS plan_id, o_orderstatus AS action FROM orders
-        WHERE o_custkey % 100 = 7 ORDER BY at DESC, entry_id DESC LIMIT 50""",
+    "m3_audit_tail": """SELECT o_orderkey AS entry_id, o_orderdate AS "at", o_custkey % 100 AS plan_id, o_orderstatus AS action FROM orders
+        WHERE o_custkey % 100 = 7 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50""",
     "m4_kanban": f"""WITH {TK} SELECT board_id, status, task_id, priority,
         row_number() OVER (PARTITION BY board_id, status ORDER BY priority, task_id) - 1 AS position FROM tk""",
     "m5_timeline": f"""WITH {TK} SELECT task_id, title, status, start_date, due_date, coalesce(start_date, due_date) AS at,
