@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import top_k
-from ..functions.text import clip, display_message
+from ..functions.text import clip, display_message, strip
 from ..schemas import DAILY_ERRORS, DEFAULT_LEVELS, TREND_ERRORS
 from .rollup import TOP_DIMS, filter_analysis_levels
 
@@ -205,7 +205,7 @@ def alerts(hourly: DataFrame, highlights: DataFrame | None, threshold: int, anom
     many = F.col("total_errors") >= threshold
     text = F.coalesce("anomalies", F.lit(""))
     found = (F.length(text) > 0) & ~F.contains(text, F.lit("No anomalies detected")) & ~F.contains(text, F.lit("No notable anomalies"))
-    first_line = F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) > 0), F.lit(0))
+    first_line = F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: F.length(x) > 0), F.lit(0))
     first_line = F.coalesce(first_line, F.lit("Anomaly detected"))
     short = F.when(F.length(first_line) > 150, F.concat(F.substring(first_line, 1, 147), F.lit("..."))).otherwise(first_line)
     w = w.where(many | found).withColumn("reason", F.concat_ws(

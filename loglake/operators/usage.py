@@ -129,27 +129,42 @@ def _colour(percent: Column) -> Column:
     )
 
 
-def quota_status(daily: DataFrame, projects: DataFrame, plans: DataFrame, day: Column) -> DataFrame:
-    """Quota colour and flags per project on a day; projects that are not active are red."""
-    p = _with_limits(projects, plans).where("daily_limit IS NOT NULL").join(
-        _day_counts(daily, day), "project_id", "left"
-    )
+def _judged(p: DataFrame) -> DataFrame:
+    """Percent, colour and flags from status, daily_limit and usage_count."""
     active = F.col("status") == "active"
-    usage = F.when(active, F.coalesce("usage_count", F.lit(0))).otherwise(0)
-    p = p.withColumn("usage_count", usage).withColumn(
+    p = p.withColumn(
+        "usage_count", F.when(active, F.coalesce("usage_count", F.lit(0))).otherwise(0)
+    ).withColumn(
         "daily_limit", F.when(active, F.col("daily_limit")).otherwise(0)
     ).withColumn(
         "usage_percent",
         F.when(active, _percent(F.col("usage_count"), F.col("daily_limit"))).otherwise(100.0),
     ).withColumn("quota_status", F.when(active, _colour(F.col("usage_percent"))).otherwise("red"))
+    keys = ["project_id"] + (["date"] if "date" in p.columns else [])
     return p.select(
-        "project_id", "quota_status", "usage_count", F.col("daily_limit").alias("limit"), "usage_percent",
+        *keys, "quota_status", "usage_count", F.col("daily_limit").alias("limit"), "usage_percent",
         (F.col("usage_percent") >= 100).alias("exceeded"),
         (active & (F.col("quota_status") == "yellow")).alias("should_warn"),
         (active & F.col("quota_status").isin("orange", "red")).alias("should_alert"),
     )
 
 
+def quota_status(daily: DataFrame, projects: DataFrame, plans: DataFrame, day: Column) -> DataFrame:
+    """Quota colour and flags per project on a day; projects that are not active are red."""
+    return _judged(
+        _with_limits(projects, plans).where("daily_limit IS NOT NULL")
+        .join(_day_counts(daily, day), "project_id", "left")
+    )
+
+
+def quota_by_day(daily: DataFrame, projects: DataFrame, plans: DataFrame) -> DataFrame:
+    """The same for every day that has usage: `(project_id, date, ...)`."""
+    counts = daily.select("project_id", "date", F.col("event_count").alias("usage_count"))
+    return _judged(
+        counts.join(_with_limits(projects, plans).where("daily_limit IS NOT NULL"), "project_id")
+    )
+
+
 def quota_actions(daily: DataFrame, projects: DataFrame, plans: DataFrame, day: Column) -> DataFrame:
     """Projects to suspend (active, at the limit) or to resume (suspended, below it)."""
     p = _with_limits(projects, plans).where("daily_limit IS NOT NULL").join(
