@@ -47,19 +47,20 @@ def squeeze(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Remove all kinds of white space at both ends."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.trim(col, F.lit(" \t\n\r\f\x0b"))
 
 
 def mask_variable_parts(col: Column, digits_gone: bool = False) -> Column:
     """Replace ids, addresses and numbers by fixed words.
 
-    With `digits_gone` the text holds no digits any more, so the masks that
-    need one cannot match and are left out of the plan.
+    With `digits_gone` the text holds no digits any more and its white space
+    is squeezed already: masks that need a digit cannot match and are left out
+    of the plan, and the others bring in no white space.
     """
     for pattern, word, needs_digit in MASKS:
         if not (digits_gone and needs_digit):
             col = F.regexp_replace(col, pattern, word)
-    return squeeze(col)
+    return col if digits_gone else squeeze(col)
 
 
 def json_object(col: Column) -> Column:

@@ -38,6 +38,21 @@ SECRETS = ["api_key", "password", "jwt", "aws_key"]
 OPEN, CLOSE = "﷐", "﷑"
 
 SPAN = "struct<ord:int,pii_type:string,start_pos:int,end_pos:int,original:string,confidence:double>"
+NONE = f"CAST(array() AS array<{SPAN}>)"
+
+# Cheap conditions that every text with such a match meets; most texts are
+# spared the full pattern.  `_t` is the text, `_low` the same in lower case.
+MAY_HOLD = {
+    "email": "contains(_t, '@')",
+    "phone": "_t RLIKE '[0-9]{4}'",
+    "ssn": "_t RLIKE '[0-9]{4}'",
+    "credit_card": "_t RLIKE '[0-9]{12}'",
+    "ip_address": "_t RLIKE '[0-9][.][0-9]'",
+    "api_key": "contains(_low, 'api')",
+    "password": "contains(_low, 'passw') OR contains(_low, 'pwd')",
+    "jwt": "contains(_low, 'eyj')",
+    "aws_key": "contains(_low, 'akia') OR contains(_low, 'abia') OR contains(_low, 'acca') OR contains(_low, 'asia')",
+}
 
 
 def _chosen(types) -> list[tuple[int, Detector]]:
@@ -47,160 +62,110 @@ def _chosen(types) -> list[tuple[int, Detector]]:
     return [(i, d) for i, d in enumerate(DETECTORS) if types is None or d.name in types]
 
 
-def _may_hold(name: str, text: Column, low: Column) -> Column:
-    """Cheap condition every text with such a match meets; saves the full pattern on most texts."""
-
-    def has(*words):
-        cond = F.contains(low, F.lit(words[0]))
-        for w in words[1:]:
-            cond = cond | F.contains(low, F.lit(w))
-        return cond
-
-    return {
-        "email": F.contains(text, F.lit("@")),
-        "phone": text.rlike("[0-9]{4}"),
-        "ssn": text.rlike("[0-9]{4}"),
-        "credit_card": text.rlike("[0-9]{12}"),
-        "ip_address": text.rlike(r"[0-9]\.[0-9]"),
-        "api_key": has("api"),
-        "password": has("passw", "pwd"),
-        "jwt": has("eyj"),
-        "aws_key": has("akia", "abia", "acca", "asia"),
-    }[name]
-
-
-def _spans_of(order: int, det: Detector, text: Column) -> Column:
+def _spans_sql(order: int, det: Detector) -> str:
     """Matches of one detector with their positions.
 
     The matches are marked in the text and the text is split at the marks:
     pieces at odd places are matches, and positions are sums of lengths.
     """
-    # A text that holds the marks itself gets `?` there; lengths stay the same.
-    clean = F.when(
-        F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), F.translate(text, OPEN + CLOSE, "??")
-    ).otherwise(text)
-    marked = F.regexp_replace(clean, "(?i)" + det.pattern, OPEN + "$0" + CLOSE)
-    pieces = F.split(marked, f"[{OPEN}{CLOSE}]")
-    empty = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc, piece):
-        end = acc["pos"] + F.length(piece)
-        span = F.struct(
-            F.lit(order).alias("ord"), F.lit(det.name).alias("pii_type"), acc["pos"].alias("start_pos"),
-            end.alias("end_pos"),
-            F.substring(text, acc["pos"] + 1, F.length(piece)).alias("original"), F.lit(det.confidence).alias("confidence"),
-        )
-        odd = acc["i"] % 2 == 1
-        return F.struct(
-            end.alias("pos"), (acc["i"] + 1).alias("i"),
-            F.when(odd, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(pieces, empty, step, lambda acc: acc["out"])
-
-
-def masked_value(kind: Column, value: Column) -> Column:
+    pattern = det.pattern.replace("'", r"\x27")
+    return f"""
+    IF({MAY_HOLD[det.name]},
+      aggregate(
+        split(regexp_replace(_clean, r'(?i){pattern}', '{OPEN}$0{CLOSE}'), '[{OPEN}{CLOSE}]'),
+        named_struct('pos', 0, 'i', 0, 'out', {NONE}),
+        (a, p) -> named_struct(
+          'pos', a.pos + length(p), 'i', a.i + 1,
+          'out', IF(a.i % 2 = 1,
+            array_append(a.out, named_struct(
+              'ord', {order}, 'pii_type', '{det.name}', 'start_pos', a.pos, 'end_pos', a.pos + length(p),
+              'original', substring(_t, a.pos + 1, length(p)), 'confidence', {det.confidence}D)),
+            a.out)),
+        a -> a.out),
+      {NONE})"""
+
+
+def masked_sql(kind: str, v: str) -> str:
     """Replacement that keeps what the type of the value allows to show."""
-    n = F.length(value)
-    stars = F.repeat(F.lit("*"), n)
-    local, domain = F.split_part(value, F.lit("@"), F.lit(1)), F.split_part(value, F.lit("@"), F.lit(2))
-    email = F.concat(
-        F.when(
-            F.length(local) > 1,
-            F.concat(F.substring(local, 1, 1), F.repeat(F.lit("*"), F.least(F.length(local) - 1, F.lit(5)))),
-        ).otherwise("*"),
-        F.lit("@"), domain,
-    )
-    digits = F.regexp_replace(value, r"\D", "")
-    last4 = F.right(digits, F.lit(4))
-    secret = F.concat(F.left(value, F.lit(3)), F.repeat(F.lit("*"), n - 6), F.right(value, F.lit(3)))
-    return (
-        F.when(kind == "email", email)
-        .when((kind == "phone") & (F.length(digits) >= 4), F.concat(F.lit("***-***-"), last4))
-        .when(kind == "ssn", F.concat(F.lit("***-**-"), F.right(value, F.lit(4))))
-        .when(
-            (kind == "credit_card") & (F.length(digits) >= 4),
-            F.concat(F.repeat(F.lit("*"), F.length(digits) - 4), last4),
-        )
-        .when(
-            kind == "ip_address",
-            F.concat_ws(".", F.split_part(value, F.lit("."), F.lit(1)), F.split_part(value, F.lit("."), F.lit(2)),
-                        F.lit("***"), F.lit("***")),
-        )
-        .when(kind.isin(SECRETS) & (n > 6), secret)
-        .otherwise(stars)
-    )
-
-
-def with_spans(df: DataFrame, text: str = "text", types=None, out: str = "spans") -> DataFrame:
+    digits = f"regexp_replace({v}, r'\D', '')"
+    secrets = ", ".join(f"'{s}'" for s in SECRETS)
+    return f"""
+    CASE
+      WHEN {kind} = 'email' THEN concat(
+        IF(length(split_part({v}, '@', 1)) > 1,
+           concat(left({v}, 1), repeat('*', least(length(split_part({v}, '@', 1)) - 1, 5))), '*'),
+        '@', split_part({v}, '@', 2))
+      WHEN {kind} = 'phone' AND length({digits}) >= 4 THEN concat('***-***-', right({digits}, 4))
+      WHEN {kind} = 'ssn' THEN concat('***-**-', right({v}, 4))
+      WHEN {kind} = 'credit_card' AND length({digits}) >= 4
+        THEN concat(repeat('*', length({digits}) - 4), right({digits}, 4))
+      WHEN {kind} = 'ip_address' THEN concat(split_part({v}, '.', 1), '.', split_part({v}, '.', 2), '.***.***')
+      WHEN {kind} IN ({secrets}) AND length({v}) > 6
+        THEN concat(left({v}, 3), repeat('*', length({v}) - 6), right({v}, 3))
+      ELSE repeat('*', length({v}))
+    END"""
+
+
+def with_spans(df: DataFrame, text: str = "text", types=None, out: str = "spans", keep_text: bool = False) -> DataFrame:
     """Add the array of matches, in detector order, then by position."""
-    col = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast(f"array<{SPAN}>")
     chosen = _chosen(types)
-    if not chosen:
-        return df.withColumn(out, none)
-    df = df.withColumn("_low", F.lower(col))
-    found = [
-        F.when(_may_hold(d.name, col, F.col("_low")), _spans_of(i, d, col)).otherwise(none)
-        for i, d in chosen
-    ]
-    return df.withColumn(out, F.concat(*found)).drop("_low")
+    spans = "concat(" + ",".join(_spans_sql(i, d) for i, d in chosen) + ")" if chosen else NONE
+    # A text that holds the marks itself gets `?` there; lengths stay the same.
+    clean = f"IF(contains(_t, '{OPEN}') OR contains(_t, '{CLOSE}'), translate(_t, '{OPEN}{CLOSE}', '??'), _t)"
+    with_text = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    found = (
+        with_text.withColumns({"_low": F.lower("_t"), "_clean": F.expr(clean)})
+        .withColumn(out, F.expr(spans)).drop("_low", "_clean")
+    )
+    return found if keep_text else found.drop("_t")
 
 
 def pii_matches(df: DataFrame, id_col: str = "id", text: str = "text", types=None) -> DataFrame:
     """One row per match."""
     s = with_spans(df.select(id_col, text), text, types)
     return s.select(id_col, F.inline("spans")).select(
-        id_col, "pii_type", "original",
-        masked_value(F.col("pii_type"), F.col("original")).alias("masked"),
+        id_col, "pii_type", "original", F.expr(masked_sql("pii_type", "original")).alias("masked"),
         "start_pos", "end_pos", "confidence",
     )
 
 
-def _kept(spans: Column) -> Column:
-    """Spans without overlaps, by position; the earlier detector wins."""
-    empty = F.array().cast(f"array<{SPAN}>")
-
-    def step(kept, s):
-        clash = F.exists(kept, lambda k: (k["start_pos"] < s["end_pos"]) & (s["start_pos"] < k["end_pos"]))
-        return F.when(clash, kept).otherwise(F.array_append(kept, s))
-
-    free = F.aggregate(spans, empty, step)
-    by_place = F.transform(free, lambda s: F.struct(
-        s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos"),
-        s["pii_type"].alias("pii_type"), s["original"].alias("original"),
-    ))
-    return F.array_sort(by_place)
-
-
-def _rebuilt(text: Column, kept: Column, replacement) -> Column:
-    """Text with every kept span replaced."""
-
-    def piece(s, i):
-        start = F.when(i > 0, F.get(kept, i - 1)["end_pos"]).otherwise(0)
-        return F.concat(F.substring(text, start + 1, s["start_pos"] - start), replacement(s))
-
-    tail = F.substring(text, F.element_at(kept, -1)["end_pos"] + 1, F.length(text))
-    return F.when(F.size(kept) > 0, F.concat(F.array_join(F.transform(kept, piece), ""), tail)).otherwise(text)
-
-
-def _replace_spans(df: DataFrame, text: str, types, replacement, out: str) -> DataFrame:
-    s = with_spans(df, text, types, "_spans").withColumn(
-        "_kept", F.when(F.size("_spans") > 0, _kept(F.col("_spans"))).otherwise(_kept(F.array().cast(f"array<{SPAN}>")))
+# Spans without overlaps, by position; the earlier detector wins.
+_KEPT_SQL = f"""
+    array_sort(transform(
+      aggregate(_spans, {NONE},
+        (kept, s) -> IF(exists(kept, k -> k.start_pos < s.end_pos AND s.start_pos < k.end_pos),
+                        kept, array_append(kept, s))),
+      s -> named_struct('start_pos', s.start_pos, 'end_pos', s.end_pos, 'pii_type', s.pii_type, 'original', s.original)))"""
+
+
+def _replace_spans(df: DataFrame, text: str, types, replacement: str, out: str) -> DataFrame:
+    """Text with every kept span replaced; `replacement` is SQL over the span `s`."""
+    rebuilt = f"""
+    IF(size(_kept) > 0,
+      concat(
+        array_join(transform(_kept, (s, i) -> concat(
+          substring(_t, IF(i > 0, get(_kept, i - 1).end_pos, 0) + 1,
+                    s.start_pos - IF(i > 0, get(_kept, i - 1).end_pos, 0)),
+          {replacement})), ''),
+        substring(_t, element_at(_kept, -1).end_pos + 1)),
+      {text})"""
+    return (
+        with_spans(df, text, types, "_spans", keep_text=True)
+        .withColumn("_kept", F.expr(_KEPT_SQL)).withColumn(out, F.expr(rebuilt))
+        .drop("_spans", "_kept", "_t")
     )
-    return s.withColumn(out, _rebuilt(F.col(text), F.col("_kept"), replacement)).drop("_spans", "_kept")
 
 
 def mask_pii(df: DataFrame, text: str = "text", types=None, out: str = "masked") -> DataFrame:
-    return _replace_spans(df, text, types, lambda s: masked_value(s["pii_type"], s["original"]), out)
+    return _replace_spans(df, text, types, masked_sql("s.pii_type", "s.original"), out)
 
 
 def redact_pii(df: DataFrame, text: str = "text", types=None, out: str = "redacted") -> DataFrame:
-    return _replace_spans(df, text, types, lambda s: F.lit("[REDACTED]"), out)
+    return _replace_spans(df, text, types, "'[REDACTED]'", out)
 
 
 def _found_types(spans: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["pii_type"])))
+    return F.array_sort(F.array_distinct(spans.getField("pii_type")))
 
 
 def classify_text(df: DataFrame, text: str = "text", types=None, strict: bool = False) -> DataFrame:
@@ -269,7 +234,7 @@ def scan_rows(df: DataFrame, id_col: str = "id", text: str = "text", types=None)
     s = with_spans(df.select(id_col, text), text, types)
 
     def count(name):
-        return F.size(F.filter("spans", lambda x: x["pii_type"] == name)).alias(name)
+        return F.expr(f"size(filter(spans, s -> s.pii_type = '{name}'))").alias(name)
 
     return s.select(
         id_col, F.size("spans").alias("pii_count"), _found_types(F.col("spans")).alias("pii_types"),

@@ -41,8 +41,11 @@ def _app_token(tag: Column, host: Column) -> Column:
         )
 
     best = F.get(F.filter(F.reverse(tokens), usable), F.lit(0))
-    return F.when(strip(tag) == "", F.lit("-")).otherwise(
-        F.coalesce(best, F.element_at(tokens, -1))
+    # One word, the usual case, is the name whatever it looks like.
+    return (
+        F.when(tag.rlike(r"^\S+$"), tag)
+        .when(strip(tag) == "", F.lit("-"))
+        .otherwise(F.coalesce(best, F.element_at(tokens, -1)))
     )
 
 

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No Python call sites inside plans: building large expressions is much faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

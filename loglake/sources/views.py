@@ -13,6 +13,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table of few, small files; larger tables come back unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def logs_from_events(events: DataFrame) -> DataFrame:
     """Product events as log events (batch or stream)."""
     user, eid = F.col("user_id"), F.col("event_id")
@@ -53,7 +59,7 @@ def with_raw(logs: DataFrame) -> DataFrame:
 
 
 def logs(spark: SparkSession, folder: str) -> DataFrame:
-    return logs_from_events(table(spark, folder, "events"))
+    return logs_from_events(spread(table(spark, folder, "events")))
 
 
 def process_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +83,8 @@ def metric_points(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(docs)
 
 
 def tasks(spark: SparkSession, folder: str) -> DataFrame:
