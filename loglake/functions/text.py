@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns (they define pattern ids, so they must not change).
@@ -84,31 +84,51 @@ def json_message(col: Column) -> Column:
     return F.coalesce(F.when(attr.startswith("{"), nested).otherwise(direct), F.lit(""))
 
 
-def normalized_message(col: Column, mask_first: bool = False) -> Column:
-    """Pattern text of a message.
+def plain_pattern(col: Column, mask_first: bool = False) -> Column:
+    """Pattern of a plain text.
 
-    Plain text: digit runs become N before anything else, which is what keeps
-    the pattern of two messages equal; `mask_first` masks whole tokens first.
+    Digit runs become N before anything else, which is what keeps the pattern
+    of two messages equal; `mask_first` masks whole tokens first.
     """
     if mask_first:
-        plain = F.regexp_replace(col, ZONED_TIMESTAMP, "TIMESTAMP")
-        plain = F.regexp_replace(plain, PLAIN_TIMESTAMP, "TIMESTAMP")
-        plain = F.regexp_replace(mask_variable_parts(plain), r"\d+", "N")
-    else:
-        plain = mask_variable_parts(squeeze(F.regexp_replace(col, r"\d+", "N")), digits_gone=True)
+        col = F.regexp_replace(col, ZONED_TIMESTAMP, "TIMESTAMP")
+        col = F.regexp_replace(col, PLAIN_TIMESTAMP, "TIMESTAMP")
+        return F.regexp_replace(mask_variable_parts(col), r"\d+", "N")
+    return mask_variable_parts(squeeze(F.regexp_replace(col, r"\d+", "N")), digits_gone=True)
 
-    body = json_message(col)
+
+def json_pattern(body: Column) -> Column:
+    """Pattern of the message text of a JSON log."""
     for pattern, word in JSON_CLEANUP:
         body = F.regexp_replace(body, pattern, word)
-    body = mask_variable_parts(squeeze(body))
-    component = F.coalesce(F.get_json_object(col, "$.c"), F.lit(""))
-    structured = (
+    return mask_variable_parts(squeeze(body))
+
+
+def with_pattern(df: DataFrame, col: str, out: str, mask_first: bool = False) -> DataFrame:
+    """Add the pattern of a message: `component:text` for JSON logs, else the plain pattern.
+
+    The JSON steps run only on JSON rows, inside a lambda.  Spark evaluates
+    lambdas outside whole-stage code; inline, this rare branch would make the
+    generated method too long for the JIT and slow down every row.
+    """
+    text = F.col(col)
+    is_json = F.col("_json")
+
+    def body_of(message):
+        return json_pattern(json_message(message))
+
+    staged = df.withColumn("_json", json_object(text)).withColumns({
+        "_component": F.when(is_json, F.coalesce(F.get_json_object(text, "$.c"), F.lit(""))),
+        "_body": F.when(is_json, F.get(F.transform(F.array(text), lambda m: body_of(m)), F.lit(0))),
+    })
+    component, body = F.col("_component"), F.col("_body")
+    return staged.withColumn(
+        out,
         F.when((component != "") & (body != ""), F.concat(component, F.lit(":"), body))
         .when(component != "", component)
         .when(body != "", body)
-        .otherwise(plain)
-    )
-    return F.when(json_object(col), structured).otherwise(plain)
+        .otherwise(plain_pattern(text, mask_first)),
+    ).drop("_json", "_component", "_body")
 
 
 def pattern_hash(facility: Column, pattern: Column, severity: Column) -> Column:
@@ -124,10 +144,14 @@ def pattern_hash(facility: Column, pattern: Column, severity: Column) -> Column:
 
 def display_message(col: Column) -> Column:
     """Short form of a message for reports."""
-    text = F.when(F.instr(col, "] ") > 0, F.expr("NULL")).otherwise(col)
-    after = F.substr(col, F.instr(col, "] ") + 2)
-    text = F.coalesce(text, after)
+    text = F.when(F.instr(col, "] ") > 0, F.substr(col, F.instr(col, "] ") + 2)).otherwise(col)
+    from_json = F.get(F.transform(F.array(text), lambda t: _json_display(t)), F.lit(0))
+    plain = _plain_display(text)
+    return F.when(json_object(text), F.coalesce(from_json, plain)).otherwise(plain)
+
 
+def _json_display(text: Column) -> Column:
+    """The telling field of a JSON log, null when it has none."""
     c = F.get_json_object(text, "$.c")
     attr_message = F.get_json_object(text, "$.attr.message")
     attr_msg = F.get_json_object(text, "$.attr.message.msg")
@@ -136,7 +160,7 @@ def display_message(col: Column) -> Column:
     msg_msg = F.get_json_object(text, "$.msg.msg")
     message = F.get_json_object(text, "$.message")
     message_msg = F.get_json_object(text, "$.message.msg")
-    from_json = (
+    return (
         F.when(
             F.get_json_object(text, "$.attr").startswith("{")
             & attr_message.startswith("{") & attr_msg.isNotNull(),
@@ -149,8 +173,10 @@ def display_message(col: Column) -> Column:
         .when(c.isNotNull(), F.substring(c, 1, 80))
     )
 
+
+def _plain_display(text: Column) -> Column:
+    """Text as it is up to 1000 characters, else its first sentence, cut at 500."""
     plain = strip(F.replace(text, F.lit("  "), F.lit(" ")))
-    sentence = plain
     first = None
     for sep in [". ", "! ", "? ", "\n", "; "]:
         hit = F.instr(plain, sep) > 0
@@ -160,8 +186,7 @@ def display_message(col: Column) -> Column:
     shortened = F.when(
         F.length(sentence) > 500, F.concat(F.substring(sentence, 1, 497), F.lit("..."))
     ).otherwise(sentence)
-    plain = F.when(F.length(plain) > 1000, shortened).otherwise(plain)
-    return F.when(json_object(text), F.coalesce(from_json, plain)).otherwise(plain)
+    return F.when(F.length(plain) > 1000, shortened).otherwise(plain)
 
 
 def clip(col: Column, n: int) -> Column:

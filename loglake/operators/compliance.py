@@ -87,7 +87,7 @@ def _spans_sql(order: int, det: Detector) -> str:
 
 def masked_sql(kind: str, v: str) -> str:
     """Replacement that keeps what the type of the value allows to show."""
-    digits = f"regexp_replace({v}, r'\D', '')"
+    digits = f"regexp_replace({v}, '[^0-9]', '')"
     secrets = ", ".join(f"'{s}'" for s in SECRETS)
     return f"""
     CASE

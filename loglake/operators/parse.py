@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of, case_of, in_zone
 from ..functions.text import (
-    ISO_TIMESTAMP, display_message, mask_variable_parts, normalized_message, pattern_hash, strip,
+    ISO_TIMESTAMP, display_message, mask_variable_parts, pattern_hash, strip, with_pattern,
 )
 from ..schemas import PRI_SEVERITIES, TEXT_LEVELS
 
@@ -146,7 +146,8 @@ def mask_tokens(df: DataFrame, col: str = "message", out: str | None = None) ->
 def normalize_messages(
     df: DataFrame, col: str = "message", out: str = "pattern", mask_first: bool = False
 ) -> DataFrame:
-    return df.withColumn(out, normalized_message(F.col(col), mask_first))
+    """Add the pattern text of a message."""
+    return with_pattern(df, col, out, mask_first)
 
 
 def with_pattern_id(df: DataFrame, pattern: str = "pattern") -> DataFrame:
