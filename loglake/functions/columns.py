@@ -20,8 +20,8 @@ def case_of(col: Column, mapping: dict, default) -> Column:
 
 
 def bucket_of(ts: Column, unit: str) -> Column:
-    """Start of the minute / hour / day; keeps TIMESTAMP_NTZ as it is."""
-    return F.date_trunc(unit, ts)
+    """Start of the minute / hour / day, as TIMESTAMP_NTZ."""
+    return F.date_trunc(unit, ts).cast("timestamp_ntz")
 
 
 def in_zone(ts: Column, tz: str) -> Column:

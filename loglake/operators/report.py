@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import top_k
+from ..functions.columns import bucket_of, top_k
 from ..functions.text import clip, display_message, strip
 from ..schemas import DAILY_ERRORS, DEFAULT_LEVELS, TREND_ERRORS
 from .rollup import TOP_DIMS, filter_analysis_levels
@@ -168,7 +168,7 @@ def incident_texts(incidents: DataFrame) -> DataFrame:
 
 def daily_prompt_table(summaries: DataFrame, incidents: DataFrame) -> DataFrame:
     """Model input of every day: the last 12 hourly summaries and the incidents."""
-    day = F.date_trunc("day", "hour")
+    day = bucket_of(F.col("hour"), "day")
     last = top_k(summaries.withColumn("day", day), ["day"], [F.desc("hour")], 12)
     line = F.concat(F.lit("  - "), _iso(F.col("hour")), F.lit(": "), F.substring("summary", 1, 500))
     digest = last.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("hour", line.alias("l")))).alias("r")).select(

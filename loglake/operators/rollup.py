@@ -8,7 +8,7 @@ these small tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of, case_of, filled, in_zone, top_k
@@ -204,10 +204,9 @@ def minute_rollup_list(stats: DataFrame) -> DataFrame:
 
 
 def _summed(stats: DataFrame, source: str, window: str, dims: list[str]) -> DataFrame:
-    unit = {"hour": "hour", "day": "day"}[window]
     return (
         stats.where(F.col("dim").isin(dims))
-        .groupBy(bucket_of(F.col(source), unit).alias(window), "dim", "key")
+        .groupBy(bucket_of(F.col(source), window).alias(window), "dim", "key")
         .agg(F.sum("cnt").alias("cnt"))
     )
 
@@ -293,8 +292,13 @@ def daily_stats(stats: DataFrame, k: int = 10, exact: bool = True) -> DataFrame:
     """
     source = "bucket" if exact else "hour"
     summed = _summed(stats, source, "day", ["severity", "host", "app", "total", "unique"])
-    ranked = top_k(summed, ["day", "dim"], [F.desc("cnt"), F.asc("key")], 2**31 - 1)
-    return ranked.where((F.col("dim") == "severity") | (F.col("rank") <= k))
+    # Each severity is a group of its own here, so all of them pass the cut that
+    # keeps the host and app lists short before they are shuffled and ranked.
+    order = [F.desc("cnt"), F.asc("key")]
+    own = F.when(F.col("dim") == "severity", F.col("key"))
+    short = top_k(summed.withColumn("_own", own), ["day", "dim", "_own"], order, k, "_rank")
+    w = Window.partitionBy("day", "dim").orderBy(*order)
+    return short.drop("_own", "_rank").withColumn("rank", F.row_number().over(w))
 
 
 def _error_hours(hourly: DataFrame, errors=tuple(DAILY_ERRORS)) -> DataFrame:

@@ -294,11 +294,12 @@ def start_usage_quota(
 
     def account(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/hourly/batch={batch_id}")
-        touched = batch.select(F.to_date("timestamp_hour").alias("d")).distinct()
-        hourly = spark.read.parquet(f"{path}/hourly").join(
-            touched, F.to_date("timestamp_hour") == F.col("d"), "left_semi"
-        )
+        if batch.isEmpty():  # no window has closed yet
+            return
+        rows = batch.withColumn("dt", F.to_date("timestamp_hour"))
+        rows.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/hourly/batch={batch_id}")
+        # Only the day folders the batch touches are read again.
+        hourly = spark.read.parquet(f"{path}/hourly").join(rows.select("dt").distinct(), "dt", "left_semi")
         usage.quota_by_day(usage.daily_usage(hourly), projects, plans).write.mode("overwrite").parquet(
             f"{path}/quota/batch={batch_id}"
         )
