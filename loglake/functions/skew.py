@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, stored
 
 
 def with_group_index(df: DataFrame, keys: list[str], order: list, name: str = "idx") -> DataFrame:
@@ -18,7 +18,9 @@ def with_group_index(df: DataFrame, keys: list[str], order: list, name: str = "i
     table has one row per group and partition touched.
 
     The ranged rows are checkpointed once, since the pieces and the rows must
-    see the same partition bounds.
+    see the same partition bounds.  The pieces are written as well: Spark then
+    knows their size when it plans the join, and moves the rows only if the
+    pieces are too large to be sent to all executors.
     """
     if not keys:
         df = df.withColumn("_all", F.lit(1))
@@ -39,6 +41,7 @@ def with_group_index(df: DataFrame, keys: list[str], order: list, name: str = "i
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_kp"),
                 "_start", "_offset")
     )
+    pieces = stored(pieces, "pieces")
     same = F.col("_part") == F.col("_kp")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))

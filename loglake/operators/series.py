@@ -339,6 +339,7 @@ def capacity_breach(
     hit = fit.withColumn("already", now).where(F.col("already") | (F.col("slope") > 0)).withColumn(
         "hours_to_breach", hours
     ).where(F.col("already") | (F.col("hours_to_breach") <= max_horizon_hours))
+    # Fixed wording of the recommendations.
     text_now = F.format_string(
         "%s has already exceeded threshold (%.1f >= %.1f). Immediate action required.",
         "series", "current_value", "threshold",

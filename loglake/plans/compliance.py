@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import compliance
 from ..session import stored
 from ..sources import views
+from .oracle_views import typed
 
 
 def _texts(spark, d):
@@ -167,3 +168,12 @@ ORACLES = {
         sha256(concat('host-', user_id % 20)) AS host, '[REDACTED]' AS app,
         regexp_replace({_LOG_TEXT}, '{_IPS}', '\\1.\\2.***.***', 'g') AS message FROM events""",
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "j3_redact_all": {'n_chars': 'INTEGER'},
+    "j4_classify": {'pii_count': 'INTEGER'},
+    "j5_validate": {'pii_count': 'INTEGER'},
+    "j6_scan_affected": {'pii_count': 'INTEGER'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

@@ -48,3 +48,9 @@ pat AS (SELECT *, sha1(to_json({{'facility': facility, 'message': pattern, 'seve
 SERIES = """
 series AS (SELECT event_type AS series, date_trunc('hour', ts) AS ts, cast(count(*) AS DOUBLE) AS value
            FROM events GROUP BY 1, 2)"""
+
+
+def typed(sql: str, **types: str) -> str:
+    """The SQL with the named columns cast, where DuckDB's own types are wider than Spark's."""
+    casts = ", ".join(f'cast("{c}" AS {t}) AS "{c}"' for c, t in types.items())
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import dedupe, parse
 from ..operators.parse import Rule
 from ..sources import views
-from .oracle_views import IPV4, LOGS, PATTERNS, mask, plain_pattern, squeeze, sub
+from .oracle_views import IPV4, LOGS, PATTERNS, mask, plain_pattern, squeeze, sub, typed
 
 RULES = [
     Rule("props \\{\"k\": 7", "ALLOW"),
@@ -245,3 +245,9 @@ ORACLES = {
     "c4_latest_version": """SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders
         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "b3_mask_documents": {'masked_chars': 'INTEGER'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

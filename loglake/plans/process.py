@@ -8,7 +8,7 @@ from ..functions.columns import ntz
 from ..operators import process
 from ..session import scratch, stored
 from ..sources import views
-from .oracle_views import LOGS
+from .oracle_views import LOGS, typed
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
 
@@ -126,3 +126,9 @@ ORACLES = {
     "i7_directly_follows": _follows("case_id"),
     "i7_directly_follows_in_parts": _follows("resource"),
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "i2_traces": {'part': 'BIGINT'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

@@ -8,7 +8,7 @@ from ..functions.columns import ntz
 from ..operators import dedupe, rollup
 from ..session import stored
 from ..sources import views
-from .oracle_views import LOGS, PATTERNS
+from .oracle_views import LOGS, PATTERNS, typed
 from .parsing import patterned
 
 NOW = "2024-01-31 00:00:00"
@@ -382,3 +382,18 @@ ORACLES = {
     "d21_activity_frequency": """SELECT event_type AS activity, count(*) AS count FROM events
         GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "d2_pattern_sources": {'rank': 'INTEGER'},
+    "d3_minute_highlights": {'rank': 'INTEGER'},
+    "d5_hourly_stats": {'rank': 'INTEGER'},
+    "d7_hourly_highlights": {'rank': 'INTEGER'},
+    "d10_daily_exact": {'rank': 'INTEGER'},
+    "d10_daily_of_top_lists": {'rank': 'INTEGER'},
+    "d12_daily_highlights": {'rank': 'INTEGER'},
+    "d12_condensed": {'rank': 'INTEGER'},
+    "d8_analysis_levels": {'rank': 'INTEGER', 'level_rank': 'INTEGER'},
+    "d19_recent_issues": {'issue_rank': 'INTEGER'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

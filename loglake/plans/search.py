@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ntz
 from ..operators import rollup, search, sql_surface
 from ..sources import views
-from .oracle_views import LOGS
+from .oracle_views import LOGS, typed
 from .rollups import HSTATS, hours
 
 NOW = "2024-01-31 00:00:00"
@@ -152,3 +152,9 @@ ORACLES = {
         SELECT "column", value, count, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM v
         QUALIFY rank <= 10""",
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "g5_profile_table_top": {'rank': 'INTEGER'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

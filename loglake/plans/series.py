@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import ntz
+from ..functions.columns import bucket_of, ntz
 from ..operators import parse, series
 from ..session import scratch
 from ..sources import views
-from .oracle_views import SERIES
+from .oracle_views import SERIES, typed
 
 
 def points(spark, d):
@@ -86,7 +86,7 @@ def h10_capacity_breach(spark, d):
     out = series.capacity_breach(df, _thresholds(df), 2000)
     return rounded(out, "predicted_value", "threshold", "hours_to_breach").select(
         "series", "current_value", "predicted_value", "threshold", "hours_to_breach",
-        F.date_trunc("hour", "predicted_breach_time").alias("breach_hour"), "severity",
+        bucket_of(F.col("predicted_breach_time"), "hour").alias("breach_hour"), "severity",
     )
 
 
@@ -268,3 +268,13 @@ ORACLES = {
     "h13_write_forecasts": f"""WITH {SERIES}, src AS (SELECT * FROM series), {_LINEAR} SELECT series AS metric_name,
         ts AS prediction_time, round(predicted_value, 4) AS predicted_value, 'linear' AS method FROM lin""",
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "h4_linear": {'confidence': 'DOUBLE'},
+    "h5_seasonal": {'confidence': 'DOUBLE'},
+    "h5_seasonal_corrected": {'confidence': 'DOUBLE'},
+    "h8_holt_winters": {'confidence': 'DOUBLE'},
+    "h9_moving_average": {'confidence': 'DOUBLE'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

@@ -8,7 +8,7 @@ from ..functions.columns import ntz
 from ..operators import dedupe, parse, rollup, usage
 from ..session import scratch
 from ..sources import storage, views
-from .oracle_views import LOGS, PATTERNS
+from .oracle_views import LOGS, PATTERNS, typed
 from .parsing import patterned
 from .rollups import HSTATS, MSTATS, hours, minutes
 
@@ -167,3 +167,9 @@ ORACLES = {
         SELECT bucket AS day, cast(sum(CASE WHEN day(bucket) % 2 = 0 THEN total ELSE lines END) AS BIGINT) AS events,
           true AS has_bytes FROM b GROUP BY 1""",
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "a6_latest_reports": {'rank': 'INTEGER'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

@@ -14,7 +14,7 @@ from ..schemas import DAILY_ERRORS
 from ..session import scratch
 from ..sources import storage, views
 from ..streaming import jobs
-from .oracle_views import LOGS, PATTERNS
+from .oracle_views import LOGS, PATTERNS, typed
 from .storage import raw_folder
 from .usage import PJ, _COLOUR, _plans, _projects
 
@@ -180,3 +180,9 @@ ORACLES = {
     "f4_tail_stream": f"WITH {LOGS} SELECT host, app, severity, message FROM logs WHERE event_id % 10 <> 0",
     "a12_forward_events": f"WITH {PATTERNS} SELECT event_id, host, pattern_id FROM pat",
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "n4_stream_hourly_stats": {'rank': 'INTEGER'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ntz
 from ..operators import usage
 from ..sources import views
-from .oracle_views import LOGS
+from .oracle_views import LOGS, typed
 
 NOW = "2024-01-20 13:30:00"
 DAY = "2024-01-20 00:00:00"
@@ -212,3 +212,9 @@ ORACLES = {
           cast(ps + INTERVAL 1 MONTH AS TIMESTAMP) AS period_end, price AS base_amount, oe AS overage_events,
           round(oe * 0.01, 4) AS overage_charge, round(price + oe * 0.01, 4) AS total_amount, 'pending' AS status FROM i""",
 }
+
+# Column types as Spark has them.
+for _name, _types in {
+    "k14_invoices": {'overage_charge': 'DOUBLE'},
+}.items():
+    ORACLES[_name] = typed(ORACLES[_name], **_types)

@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("loglake.local.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         path = tempfile.mkdtemp(prefix="loglake-")
         spark.conf.set("loglake.local.dir", path)
     return path.rstrip("/")

@@ -82,11 +82,13 @@ def forward_events(events: DataFrame, sinks: list[Callable[[DataFrame], None]],
     """Hand every micro-batch to several writers; a failing one does not hold up the others."""
 
     def fan_out(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read once for all writers
         for sink in sinks:
             try:
                 sink(batch)
             except Exception as error:  # best effort, as forwarding must not stop the intake
                 print(f"forwarding batch {batch_id} failed: {error}")
+        batch.unpersist()
 
     return start_batches(events, fan_out, checkpoint, once)
 
@@ -294,7 +296,9 @@ def start_usage_quota(
 
     def account(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch.persist()  # written and then looked up for the days it touches
         if batch.isEmpty():  # no window has closed yet
+            batch.unpersist()
             return
         rows = batch.withColumn("dt", F.to_date("timestamp_hour"))
         rows.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/hourly/batch={batch_id}")
@@ -303,5 +307,6 @@ def start_usage_quota(
         usage.quota_by_day(usage.daily_usage(hourly), projects, plans).write.mode("overwrite").parquet(
             f"{path}/quota/batch={batch_id}"
         )
+        batch.unpersist()
 
     return start_batches(stream_hourly_usage(events, delay=delay), account, checkpoint, once)
