@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import top_k
 from ..functions.skew import with_group_index
+from ..session import stored
 from .parse import extract_case_ids
 
 PART = 10_000
@@ -53,7 +54,10 @@ def _case_sizes(events: DataFrame) -> DataFrame:
 def with_sequence(events: DataFrame, part: int = PART) -> DataFrame:
     """Number the events 0, 1, 2 ... inside each case by time."""
     order = ["ts", "event_id"]
-    long_cases = _case_sizes(events).where(F.col("event_count") > part).select("case_id")
+    # Written once: it is used three times, and its size is then known to the joins.
+    long_cases = stored(
+        _case_sizes(events).where(F.col("event_count") > part).select("case_id"), "long_cases"
+    )
     w = Window.partitionBy("case_id").orderBy(*order)
     if long_cases.isEmpty():
         return events.withColumn("seq", F.row_number().over(w).cast("long") - 1)

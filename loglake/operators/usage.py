@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of, in_zone
 from ..functions.skew import with_group_index
+from ..session import stored
 
 USAGE_ERRORS = ["err", "crit"]
 MB = 1024 * 1024
@@ -191,6 +192,8 @@ def admit_events(events: DataFrame, limits: DataFrame, project: str = "tenant_id
         ev.groupBy(project, "_day").agg(F.count(F.lit(1)).alias("_n"))
         .join(lim, project).where("_n > _limit").select(project, "_day", "_limit")
     )
+    # Written once: it is used three times, and its size is then known to the join.
+    over = stored(over, "over_limit")
     if over.isEmpty():
         return events.withColumn("admitted", F.lit(True))
     marked = ev.join(over, [project, "_day"], "left")
