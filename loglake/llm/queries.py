@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import packing, token_blocks
+from . import decontaminate, near_dups, packing, repeats, token_blocks
 
 
 def table(spark, sf_dir: str, name: str):
@@ -28,9 +28,50 @@ def packing_query(spark, sf_dir: str):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def near_dups_query(spark, sf_dir: str):
+    found = near_dups.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "class_id", "group_id", "group_docs", "kept")
+
+
+def decontaminate_query(spark, sf_dir: str):
+    return decontaminate.find_items(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def repeats_query(spark, sf_dir: str):
+    return repeats.remove_repeats(documents(spark, sf_dir), with_text=False)
+
+
 QUERIES = {
     "op1_token_blocks": token_blocks_query,
+    "op2_near_dups": near_dups_query,
+    "op3_decontaminate": decontaminate_query,
+    "op8_repeats": repeats_query,
     "op9_packing": packing_query,
 }
 
-ORACLES: dict = {}
+REPEATS_SQL = """
+WITH words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+), places AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20
+), windows AS (
+    SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS run FROM places
+), ranked AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM windows
+), removed AS (
+    SELECT doc_id, list(DISTINCT j) AS gone FROM (
+        SELECT doc_id, unnest(range(i, i + 20)) AS j FROM ranked WHERE k > 1
+    ) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    sha256(array_to_string(
+        CASE WHEN gone IS NULL THEN w
+             ELSE list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(gone, p)), lambda p: w[p]) END, ' '
+    )) AS kept_sha256
+FROM words LEFT JOIN removed USING (doc_id)
+"""
+
+ORACLES: dict = {
+    "op8_repeats": REPEATS_SQL,
+}
