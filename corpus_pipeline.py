@@ -1,22 +1,63 @@
-"""A corpus in stages; each takes the documents its predecessor kept."""
+"""A training corpus in five stages.
+
+Each stage takes the documents that the one before kept, and all but the last
+return rows with the columns of `documents`:
+
+1. quality: documents that the classifier rejects go;
+2. near_dups: the first document of each group of near copies stays;
+3. decontamination: documents that hold a benchmark item go;
+4. secrets: secrets in texts are masked, all documents stay;
+5. packing: the rest is cut into pieces and packed into sequences.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from loglake.llm import decontaminate, near_dups, packing, quality, secret_scan
+from loglake.session import stored
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 0
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit_documents(docs, labels))
+
+
+def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.keep_first(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.mask_secrets(docs)
 
-from loglake.llm import packing
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, TOKENIZER, END_ID, with_ids=False)
 
-def pack_stage(spark, docs, sf_dir):
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
+STAGES = [
+    ("quality", good_quality),
+    ("near_dups", first_of_near_copies),
+    ("decontamination", without_benchmark),
+    ("secrets", secrets_masked),
+    ("packing", packed),
+]
 
-STAGES = [("packing", pack_stage)]
+# The classifier, the sketches and the tokenizer are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
