@@ -265,7 +265,7 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept = kept.select(F.struct("doc_id", "text_hash", "copies").alias("_kept"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash")
+        F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash")
     )
     found = stored(rows.join(
         kept, F.col("_id").eqNullSafe(F.col("_kept.doc_id")) & (F.col("_hash") == F.col("_kept.text_hash"))
