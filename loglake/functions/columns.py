@@ -34,13 +34,23 @@ def filled(col: Column, default: str) -> Column:
     return F.when(F.length(col) > 0, col).otherwise(F.lit(default))
 
 
+LIMIT_IN_PLAN = 1000  # spark.sql.optimizer.windowGroupLimitThreshold
+NO_LIMIT = 2**31 - 1
+SALTS = 64
+
+
 def top_k(df: DataFrame, by: list, order: list, k: int, rank: str = "rank") -> DataFrame:
     """First k rows of each group.
 
     Spark cuts every map partition to k rows per group before the shuffle
-    (WindowGroupLimit), so a hot group does not reach one task whole.
+    (WindowGroupLimit), so a hot group does not reach one task whole.  It does
+    so up to k = 1000 only; beyond, the group is cut in salted parts first.
     """
     w = Window.partitionBy(*by).orderBy(*order)
+    if LIMIT_IN_PLAN < k < NO_LIMIT:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+        parts = Window.partitionBy(*by, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(parts)).where(F.col("_r") <= k).drop("_salt", "_r")
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bucket_of
 from ..schemas import TREND_ERRORS
+from .dedupe import event_order
 
 
 def daily_error_patterns(highlights: DataFrame) -> DataFrame:
@@ -24,6 +26,20 @@ def daily_error_patterns(highlights: DataFrame) -> DataFrame:
     )
 
 
+def daily_error_patterns_of_events(events: DataFrame, errors=tuple(TREND_ERRORS)) -> DataFrame:
+    """Error patterns of each day from the events themselves, so none is missed.
+
+    Severity and sample are those of the day's first event of the pattern.
+    """
+    order = event_order(events)
+    first = F.min(F.struct(*dict.fromkeys([*order, "severity", "message"])))
+    found = events.where(F.lower("severity").isin(list(errors)) & (F.length("pattern_id") > 0))
+    return (
+        found.groupBy(bucket_of(F.col("ts"), "day").alias("day"), "pattern_id").agg(first.alias("s"))
+        .select("day", "pattern_id", "s.severity", F.col("s.message").alias("sample_message"))
+    )
+
+
 def issue_state_as_of(daily: DataFrame, day: Column) -> DataFrame:
     """State after the days up to `day` went through upsert and resolve, in one aggregation."""
     latest = F.struct("severity", "sample_message")

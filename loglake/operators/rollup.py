@@ -151,9 +151,9 @@ def _kind(kind: str, key: Column, cnt: Column, first: Column) -> Column:
 
 
 def minute_highlights(
-    events: DataFrame, k: int = 50, bucket: str = "minute", tz: str = "UTC", sources: int = 5
+    events: DataFrame, k: int | None = 50, bucket: str = "minute", tz: str = "UTC", sources: int = 5
 ) -> DataFrame:
-    """Unique events of each minute with occurrences and sources; the k most frequent."""
+    """Unique events of each minute with occurrences and sources; the k most frequent (all for None)."""
     order = event_order(events)
     sample = F.struct(*dict.fromkeys([*order, "severity", "host", "app", "message"]))
     facts = events.groupBy(
@@ -173,7 +173,7 @@ def minute_highlights(
         )),
     )
     merged = _merge_by_pattern(rows, "bucket", sources)
-    best = top_k(merged, ["bucket"], [F.desc("occurrences"), *[F.asc(f"first.{c}") for c in order]], k)
+    best = top_k(merged, ["bucket"], [F.desc("occurrences"), *[F.asc(f"first.{c}") for c in order]], k if k else 2**31 - 1)
     return best.select(
         "bucket", "pattern_id", "rank", "first.severity", "first.host", "first.app",
         "first.message", "occurrences", "source_hosts", "source_apps",
@@ -211,10 +211,30 @@ def _summed(stats: DataFrame, source: str, window: str, dims: list[str]) -> Data
     )
 
 
-def hourly_stats(stats: DataFrame, k: int = 5) -> DataFrame:
-    """Hour totals and the top k of severity, host, app, host/app: `(hour, dim, key, cnt, rank)`."""
-    summed = _summed(stats, "bucket", "hour", TOP_DIMS + ["total", "unique"])
-    return top_k(summed, ["hour", "dim"], [F.desc("cnt"), F.asc("key")], k)
+def hourly_sums(stats: DataFrame) -> DataFrame:
+    """Hour sums of every key, uncut: `(hour, dim, key, cnt)`, for exact shares and distinct counts."""
+    return _summed(stats, "bucket", "hour", TOP_DIMS + ["total", "unique"])
+
+
+def ranked_counts(summed: DataFrame, window: str, k: int, cut_severities: bool = False) -> DataFrame:
+    """All severities and the first k of the other dims of each window, with their rank.
+
+    Each severity is a group of its own in the first cut, which keeps the
+    other lists short before they are shuffled; error totals stay whole.
+    `cut_severities` ranks severities away like the rest.
+    """
+    order = [F.desc("cnt"), F.asc("key")]
+    if cut_severities:
+        return top_k(summed, [window, "dim"], order, k)
+    own = F.when(F.col("dim") == "severity", F.col("key"))
+    short = top_k(summed.withColumn("_own", own), [window, "dim", "_own"], order, k, "_rank")
+    w = Window.partitionBy(window, "dim").orderBy(*order)
+    return short.drop("_own", "_rank").withColumn("rank", F.row_number().over(w))
+
+
+def hourly_stats(stats: DataFrame, k: int = 5, cut_severities: bool = False) -> DataFrame:
+    """Hour totals, all severities, the top k of host, app, host/app: `(hour, dim, key, cnt, rank)`."""
+    return ranked_counts(hourly_sums(stats), "hour", k, cut_severities)
 
 
 def hourly_highlights(highlights: DataFrame, k: int | None = 15, sources: int = 5) -> DataFrame:
@@ -292,13 +312,7 @@ def daily_stats(stats: DataFrame, k: int = 10, exact: bool = True) -> DataFrame:
     """
     source = "bucket" if exact else "hour"
     summed = _summed(stats, source, "day", ["severity", "host", "app", "total", "unique"])
-    # Each severity is a group of its own here, so all of them pass the cut that
-    # keeps the host and app lists short before they are shuffled and ranked.
-    order = [F.desc("cnt"), F.asc("key")]
-    own = F.when(F.col("dim") == "severity", F.col("key"))
-    short = top_k(summed.withColumn("_own", own), ["day", "dim", "_own"], order, k, "_rank")
-    w = Window.partitionBy("day", "dim").orderBy(*order)
-    return short.drop("_own", "_rank").withColumn("rank", F.row_number().over(w))
+    return ranked_counts(summed, "day", k)
 
 
 def _error_hours(hourly: DataFrame, errors=tuple(DAILY_ERRORS)) -> DataFrame:

@@ -2,9 +2,8 @@
 
 Series can be of any length.  What needs the whole series is either an
 aggregate (combined on the map side and joined back) or uses
-`with_group_index`, which spreads one long series over many tasks.  Models
-that look at a bounded history first cut each series to its newest points,
-again before the shuffle; only then do windows per series apply.
+`with_group_index`, which spreads one long series over many tasks.  No model
+cuts the history it is given; `keep_last` does that, before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import plus_seconds, top_k
 from ..functions.skew import with_group_index
 
-HISTORY = 168
-
 
 def keep_last(df: DataFrame, n: int = 1000) -> DataFrame:
     """Newest n points of each series."""
@@ -232,11 +229,11 @@ def forecast_seasonal(
 _POINT = "series string, horizon_hours int, ts timestamp_ntz, value double, lower_bound double, upper_bound double, confidence double"
 
 
-def moving_average_forecast(df: DataFrame, horizons=(1, 6, 24, 72), history: int = HISTORY) -> DataFrame:
-    """Mean of the newest points for every horizon."""
+def moving_average_forecast(df: DataFrame, horizons=(1, 6, 24, 72), history: int | None = None) -> DataFrame:
+    """Mean of the points, or of the newest `history`, for every horizon."""
     h = F.col("horizon_hours")
     stats = (
-        keep_last(df, history).groupBy("series")
+        (keep_last(df, history) if history else df).groupBy("series")
         .agg(F.count("value").alias("n"), F.avg("value").alias("value"),
              F.stddev_pop("value").alias("sd"), F.max("ts").alias("last_ts"))
         .withColumn("sd", F.when(F.col("n") > 1, F.col("sd")).otherwise(F.col("value") * 0.1))
@@ -252,75 +249,111 @@ def moving_average_forecast(df: DataFrame, horizons=(1, 6, 24, 72), history: int
     )
 
 
-def _smooth(values: np.ndarray, horizons, alpha, beta, gamma, period, corrected):
-    """Additive Holt-Winters over one short history; yields (h, value, low, high, confidence)."""
-    n = len(values)
+BLOCK = 4096  # points a task smooths at once
+
+
+def _start(values: np.ndarray, period: int) -> np.ndarray:
+    """Level, trend and season after the first two periods are looked at: the state before point `period`."""
     first, second = values[:period], values[period:2 * period]
     level = first.sum() / period
-    trend = (second.sum() - first.sum()) / period**2
-    seasonal = (first + second) / 2 - level
-    for i in range(period, n):
+    return np.concatenate([[level, (second.sum() - first.sum()) / period**2], (first + second) / 2 - level])
+
+
+def _advance(state: np.ndarray, values: np.ndarray, at: int, alpha: float, beta: float, gamma: float, period: int, const: float = 1.0) -> np.ndarray:
+    """State after the points `values`, the first of which has place `at`.
+
+    Every step is linear in (state, 1), so the columns of a matrix of states
+    can be advanced at once; `const` holds their last component.
+    """
+    level, trend, season = state[0], state[1], list(state[2:])
+    for i, v in enumerate(values, at):
         k = i % period
         before = level
-        level = alpha * (values[i] - seasonal[k]) + (1 - alpha) * (level + trend)
+        level = alpha * (v * const - season[k]) + (1 - alpha) * (level + trend)
         trend = beta * (level - before) + (1 - beta) * trend
-        seasonal[k] = gamma * (values[i] - level) + (1 - gamma) * seasonal[k]
+        season[k] = gamma * (v * const - level) + (1 - gamma) * season[k]
+    return np.stack([level, trend, *season])
+
+
+def _forecast(state, tail, n, horizons, period, corrected):
+    """(h, value, low, high, confidence) from the last state and the last `period` values."""
+    level, trend, season = state[0], state[1], state[2:]
     if corrected:
-        fitted = level + seasonal[np.arange(n - period, n) % period]
-        residual = values[n - period:] - fitted
+        residual = tail - (level + season[np.arange(n - period, n) % period])
     else:
-        residual = values[::-1][:period] - (level + seasonal)
+        residual = tail[::-1] - (level + season)
     sigma = math.sqrt((residual**2).mean())
     for h in horizons:
         k = (n + h - (1 if corrected else 0)) % period
-        point = level + h * trend + seasonal[k]
+        point = level + h * trend + season[k]
         margin = 1.96 * sigma * (1 + 0.1 * math.sqrt(h))
         yield h, max(0.0, point), max(0.0, point - margin), point + margin, max(0.5, 1 - 0.01 * h)
 
 
 def holt_winters(
     df: DataFrame, horizons=(1, 6, 24, 72), alpha: float = 0.3, beta: float = 0.1, gamma: float = 0.2,
-    period: int = 24, history: int = HISTORY, corrected: bool = False,
+    period: int = 24, corrected: bool = False,
 ) -> DataFrame:
-    """Exponential smoothing with trend and season over the newest points.
+    """Exponential smoothing with trend and season over all points.
 
-    Each series is cut to `history` points before it is grouped, so a task
-    gets at most that many rows per series.  The recurrence is sequential,
-    hence the grouped pandas function.  Series shorter than two periods get
-    the moving average.
+    The recurrence is sequential but linear in its state.  A long series is cut
+    into blocks that different tasks turn into one matrix each (how the block
+    changes any state); a last task per series applies the matrices in order,
+    one small row per block.  Series shorter than two periods get the moving
+    average; use `keep_last` before for a bounded history.
     """
-    recent = top_k(df, ["series"], [F.desc("ts")], history, "_rank").drop("_rank")
-    sizes = recent.groupBy("series").agg(F.count(F.lit(1)).alias("_n"))
-    enough = sizes.where(F.col("_n") >= 2 * period).select("series")
+    block = max(BLOCK, 2 * period)
+    placed = with_group_index(df.select("series", "ts", "value"), ["series"], [F.col("ts")], "_idx")
+    sizes = placed.groupBy("series").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last"))
+    enough = sizes.where(F.col("_n") >= 2 * period)
     points = list(horizons)
 
-    def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        values = pdf["value"].to_numpy(dtype=float)
-        last = pdf["ts"].iloc[-1]
+    def change(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_idx")
+        values, at = pdf["value"].to_numpy(dtype=float), int(pdf["_idx"].iloc[0])
+        if at == 0:  # the state itself, as a matrix with one column
+            matrix = _advance(_start(values, period), values[period:], period, alpha, beta, gamma, period)[:, None]
+        else:
+            size = period + 2
+            columns = np.hstack([np.eye(size), np.zeros((size, 1))])
+            matrix = _advance(columns, values, at, alpha, beta, gamma, period, np.append(np.zeros(size), 1.0))
+        return pd.DataFrame({
+            "series": [pdf["series"].iloc[0]], "block": [at // block], "n": [int(pdf["_n"].iloc[0])], "last": [pdf["_last"].iloc[0]],
+            "matrix": [matrix.ravel().tolist()], "tail": [values[-period:].tolist()],
+        })
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        state, tail = np.array(pdf["matrix"].iloc[0]), np.array(pdf["tail"].iloc[0])
+        for matrix, values in zip(pdf["matrix"].iloc[1:], pdf["tail"].iloc[1:]):
+            state = np.reshape(matrix, (period + 2, -1)) @ np.append(state, 1.0)
+            tail = np.append(tail, values)[-period:]
+        n, last = int(pdf["n"].iloc[0]), pdf["last"].iloc[0]
         rows = [
             (pdf["series"].iloc[0], h, last + pd.Timedelta(hours=h), v, lo, hi, c)
-            for h, v, lo, hi, c in _smooth(values, points, alpha, beta, gamma, period, corrected)
+            for h, v, lo, hi, c in _forecast(state, tail, n, points, period, corrected)
         ]
         return pd.DataFrame(rows, columns=["series", "horizon_hours", "ts", "value",
                                            "lower_bound", "upper_bound", "confidence"])
 
-    smoothed = (
-        recent.join(enough, "series", "left_semi").select("series", "ts", "value")
-        .groupBy("series").applyInPandas(model, _POINT)
+    blocks = (
+        placed.join(enough, "series").withColumn("_block", F.floor(F.col("_idx") / block))
+        .groupBy("series", "_block").applyInPandas(
+            change, "series string, block long, n long, last timestamp_ntz, matrix array<double>, tail array<double>"
+        )
     )
-    rest = recent.join(enough, "series", "left_anti")
-    return smoothed.unionByName(moving_average_forecast(rest, horizons, history))
+    smoothed = blocks.groupBy("series").applyInPandas(chain, _POINT)
+    rest = df.join(enough.select("series"), "series", "left_anti")
+    return smoothed.unionByName(moving_average_forecast(rest, horizons))
 
 
 # --- capacity and trend -----------------------------------------------------
 
 
-def _recent_fit(df: DataFrame, window: int, history: int) -> DataFrame:
-    """Newest value, size and the line through the newest `window` points of each series."""
-    ranked = top_k(df, ["series"], [F.desc("ts")], history, "r")
-    inside = F.col("r") <= window
-    y, x = F.when(inside, F.col("value")), -F.col("r").cast("double")
+def _recent_fit(df: DataFrame, window: int) -> DataFrame:
+    """Newest value, number (up to `window`) and line of the newest `window` points of each series."""
+    ranked = top_k(df, ["series"], [F.desc("ts")], window, "r")
+    y, x = F.col("value"), -F.col("r").cast("double")
     return ranked.groupBy("series").agg(
         F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"),
         F.max(F.when(F.col("r") == 1, F.col("value"))).alias("current_value"),
@@ -329,11 +362,9 @@ def _recent_fit(df: DataFrame, window: int, history: int) -> DataFrame:
     )
 
 
-def capacity_breach(
-    df: DataFrame, thresholds: DataFrame, max_horizon_hours: int = 72, history: int = HISTORY
-) -> DataFrame:
+def capacity_breach(df: DataFrame, thresholds: DataFrame, max_horizon_hours: int = 72) -> DataFrame:
     """When a series will reach its threshold `(series, threshold)` on the recent line."""
-    fit = _recent_fit(df, 24, history).where("n >= 12").join(thresholds, "series")
+    fit = _recent_fit(df, 24).where("n >= 12").join(thresholds, "series")
     now = F.col("current_value") >= F.col("threshold")
     hours = F.when(now, 0.0).otherwise((F.col("threshold") - F.col("current_value")) / F.col("slope"))
     hit = fit.withColumn("already", now).where(F.col("already") | (F.col("slope") > 0)).withColumn(
@@ -359,9 +390,9 @@ def capacity_breach(
     )
 
 
-def detect_trend(df: DataFrame, window: int = 24, history: int = HISTORY) -> DataFrame:
+def detect_trend(df: DataFrame, window: int = 24) -> DataFrame:
     """Direction, size and significance of the newest points; one row per series."""
-    fit = _recent_fit(df, window, history)
+    fit = _recent_fit(df, window)
     r2 = F.when(F.col("vy") > 0, F.col("r2")).otherwise(0.0)
     slope, mean = F.col("slope"), F.col("mean")
     stable = F.abs(slope) < mean * 0.01
@@ -385,29 +416,30 @@ def detect_trend(df: DataFrame, window: int = 24, history: int = HISTORY) -> Dat
     )
 
 
-def decompose(df: DataFrame, period: int = 24, history: int = HISTORY) -> DataFrame:
-    """Additive parts of the newest points; series need two periods.
+def decompose(df: DataFrame, period: int = 24) -> DataFrame:
+    """Additive parts of all points; series need two periods.
 
     Trend and residual are 0 at the ends, where the centred mean does not fit.
+    Each point is handed to the `period + 1` means it is part of, and phases
+    and series are aggregates, so a long series is never in one task.
     """
     half = period // 2
-    ranked = top_k(df, ["series"], [F.desc("ts")], history, "_r")
-    by_series = Window.partitionBy("series")
-    in_time = by_series.orderBy("ts")
-    by_phase = Window.partitionBy("series", "_phase")
-    idx, n = F.col("_idx"), F.col("_n")
-    inner = (idx >= half) & (idx < n - half)
-    parts = (
-        ranked.withColumn("_n", F.count(F.lit(1)).over(by_series))
-        .where(F.col("_n") >= 2 * period)
-        .withColumn("_idx", n - F.col("_r"))
-        .withColumn("_phase", idx % period)
-        .withColumn("_trend", F.when(inner, F.avg("value").over(in_time.rowsBetween(-half, half))))
-        .withColumn("_mean", F.coalesce(F.avg(F.col("value") - F.col("_trend")).over(by_phase), F.lit(0.0)))
-        .withColumn("_share", F.col("_mean") / F.count(F.lit(1)).over(by_phase))
-        .withColumn("seasonal", F.col("_mean") - F.sum("_share").over(by_series) / period)
+    placed = with_group_index(df.select("series", "ts", "value"), ["series"], [F.col("ts")], "_idx")
+    sizes = placed.groupBy("series").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2 * period)
+    points = placed.join(sizes, "series")
+    shifts = F.array(*[F.lit(i) for i in range(-half, half + 1)])
+    trends = (
+        points.select("series", "_n", "value", "_idx", F.explode(shifts).alias("_shift"))
+        .withColumn("_idx", F.col("_idx") + F.col("_shift")).where((F.col("_idx") >= half) & (F.col("_idx") < F.col("_n") - half))
+        .groupBy("series", "_idx").agg(F.avg("value").alias("_trend"))
+    )
+    phased = points.join(trends, ["series", "_idx"], "left").withColumn("_phase", F.col("_idx") % period)
+    phases = phased.groupBy("series", "_phase").agg(
+        F.coalesce(F.avg(F.col("value") - F.col("_trend")), F.lit(0.0)).alias("_mean")
     )
-    return parts.select(
+    level = phases.groupBy("series").agg((F.sum("_mean") / period).alias("_level"))
+    seasonal = phases.join(level, "series").select("series", "_phase", (F.col("_mean") - F.col("_level")).alias("seasonal"))
+    return phased.join(seasonal, ["series", "_phase"]).select(
         "series", "ts", "value", F.coalesce("_trend", F.lit(0.0)).alias("trend"), "seasonal",
         F.coalesce(F.col("value") - F.col("_trend") - F.col("seasonal"), F.lit(0.0)).alias("residual"),
     )

@@ -8,17 +8,26 @@ from ..functions.columns import ntz
 from ..operators import issues, rollup
 from ..session import stored
 from .oracle_views import PATTERNS
+from .parsing import patterned
 from .rollups import HH, PRIO, highlights
 
 DAY = "2024-01-15 00:00:00"
 LAST = "2024-01-30 00:00:00"
 
 
-def daily_patterns(spark, d):
-    """Stored once: state, resolution and timeline all read it."""
+def listed_patterns(spark, d):
+    """Error patterns that made the daily top lists: the form the reports use."""
     return stored(issues.daily_error_patterns(rollup.daily_highlights(highlights(spark, d))), "daily_patterns")
 
 
+def all_patterns(spark, d):
+    """Every error pattern of each day, from the events."""
+    return stored(issues.daily_error_patterns_of_events(patterned(spark, d)), "daily_patterns")
+
+
+daily_patterns = listed_patterns
+
+
 def _today(daily):
     return daily.where(F.col("day") == ntz(DAY))
 
@@ -64,10 +73,30 @@ def e6_issue_timeline(spark, d):
     return issues.issue_timeline(daily_patterns(spark, d), ntz(LAST))
 
 
+def _on(source, query):
+    """The query over another source of daily patterns."""
+    def run(spark, d):
+        return query(source(spark, d))
+    return run
+
+
+_EXACT = {
+    "e1_daily_error_patterns_exact": lambda x: x,
+    "e2_upsert_issues_exact": lambda x: issues.upsert_issues(_before(x), _today(x)),
+    "e3_resolve_missing_exact": lambda x: issues.resolve_missing(
+        issues.upsert_issues(_before(x), _today(x)), _today(x), ntz(DAY)),
+    "e4_active_issues_exact": lambda x: issues.active_issues(issues.issue_state_as_of(x, ntz(DAY))),
+    "e4_resolved_issues_exact": lambda x: issues.resolved_issues(
+        issues.issue_state_as_of(x, ntz(DAY)), ntz("2024-01-13 00:00:00")),
+    "e5_trend_report_exact": lambda x: issues.trend_report(issues.issue_state_as_of(x, ntz(DAY)), ntz(DAY)),
+    "e5_trend_details_exact": lambda x: issues.trend_details(issues.issue_state_as_of(x, ntz(DAY)), ntz(DAY)),
+    "e6_issue_timeline_exact": lambda x: issues.issue_timeline(x, ntz(LAST)),
+}
+
 QUERIES = {f.__name__: f for f in (
     e1_daily_error_patterns, e2_upsert_issues, e3_resolve_missing, e4_active_issues,
     e4_resolved_issues, e5_trend_report, e5_trend_details, e6_issue_timeline,
-)}
+)} | {name: _on(all_patterns, query) for name, query in _EXACT.items()}
 
 DAILY = PATTERNS + HH + f""",
 dh AS (SELECT date_trunc('day', hour) AS day, pattern_id, severity, message,
@@ -118,3 +147,10 @@ ORACLES = {
           CASE WHEN (nx IS NULL OR nx > day + INTERVAL 1 DAY) AND day < TIMESTAMP '{LAST}' THEN day + INTERVAL 1 DAY END AS resolved_day
         FROM w""",
 }
+
+# The same over all error patterns of the events.
+_ALL = PATTERNS + """,
+daily AS (SELECT date_trunc('day', ts) AS day, pattern_id, arg_min(severity, {'t': ts, 'e': event_id}) AS severity,
+    arg_min(message, {'t': ts, 'e': event_id}) AS sample_message FROM pat
+  WHERE lower(severity) IN ('err','error','crit','critical','alert','emerg','emergency') GROUP BY ALL)"""
+ORACLES |= {name: ORACLES[name.removesuffix("_exact")].replace(DAILY, _ALL) for name in _EXACT}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ntz
 from ..operators import dedupe, rollup
+from ..schemas import PRI_SEVERITIES
 from ..session import stored
 from ..sources import views
 from .oracle_views import LOGS, PATTERNS, typed
@@ -155,6 +156,71 @@ def d19_recent_issues(spark, d):
     return rollup.recent_issues(health(spark, d))
 
 
+def all_severities(spark, d):
+    """The log view with all eight severities, one for each event by its number."""
+    names = F.array(*[F.lit(x) for x in PRI_SEVERITIES])
+    return patterned(spark, d).withColumn("severity", F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")))
+
+
+def _eight_minutes(spark, d):
+    return rollup.minute_stats(all_severities(spark, d))
+
+
+def d5_hourly_exact(spark, d):
+    return rollup.hourly_stats(_eight_minutes(spark, d))
+
+
+def d5_hourly_cut(spark, d):
+    return rollup.hourly_stats(_eight_minutes(spark, d), cut_severities=True)
+
+
+def _eight_hours(spark, d):
+    return stored(rollup.hourly_stats(_eight_minutes(spark, d)), "hourly_stats")
+
+
+def d11_notable_incidents_exact(spark, d):
+    none = highlights(spark, d).where(F.lit(False))
+    return _texts(rollup.notable_incidents(_eight_hours(spark, d), none)).drop("highlights")
+
+
+def d13_error_insights_exact(spark, d):
+    none = highlights(spark, d).where(F.lit(False))
+    return _texts(rollup.error_insights(_eight_hours(spark, d), none)).select("hour", "total_errors", "severity_breakdown")
+
+
+def _eight_sums(spark, d):
+    return stored(rollup.hourly_sums(_eight_minutes(spark, d)), "hourly_sums")
+
+
+def d15_kpis_exact(spark, d):
+    return rollup.kpis_24h(_eight_sums(spark, d))
+
+
+def d16_top_hosts_exact(spark, d):
+    return rollup.top_share(_eight_sums(spark, d), "host", 6)
+
+
+def d16_top_severities_exact(spark, d):
+    return rollup.top_share(_eight_sums(spark, d), "severity", 6)
+
+
+def d17_error_trend_exact(spark, d):
+    return rollup.error_trend(_eight_sums(spark, d))
+
+
+def full_highlights(spark, d):
+    """Every pattern of each hour, from uncut minutes."""
+    return stored(rollup.hourly_highlights(rollup.minute_highlights(patterned(spark, d), None), None), "highlights")
+
+
+def d9_service_health_exact(spark, d):
+    return rollup.service_health(full_highlights(spark, d)).select("hour", "app", "anomalies")
+
+
+def d18_service_status_exact(spark, d):
+    return rollup.service_status(rollup.service_health(full_highlights(spark, d)))
+
+
 def _chart_input(spark, d):
     return views.logs(spark, d).select("event_id", "ts", "host", "severity", F.to_date("ts").alias("day"))
 
@@ -197,7 +263,9 @@ QUERIES = {f.__name__: f for f in (
     d6_minute_rollup, d7_hourly_highlights, d8_analysis_levels, d9_service_health, d10_daily_exact,
     d10_daily_of_top_lists, d11_notable_incidents, d12_daily_highlights, d12_condensed,
     d13_error_insights, d14_hourly_counts, d15_kpis, d16_top_severities, d16_top_hosts,
-    d16_top_apps, d17_error_trend, d18_service_status, d19_recent_issues,
+    d16_top_apps, d17_error_trend, d18_service_status, d19_recent_issues, d5_hourly_exact, d5_hourly_cut,
+    d11_notable_incidents_exact, d13_error_insights_exact, d15_kpis_exact, d16_top_hosts_exact, d16_top_severities_exact,
+    d17_error_trend_exact, d9_service_health_exact, d18_service_status_exact,
     *[_chart(a) for a in ("sum", "avg", "count", "min", "max", "last")], d20_chart_plain,
     d21_log_volume, d21_error_rate, d21_top_hosts, d21_severity_dist, d21_activity_frequency,
 )}
@@ -220,7 +288,7 @@ HSTATS = MSTATS + """,
 hsum AS (SELECT date_trunc('hour', bucket) AS hour, dim, key, cast(sum(cnt) AS BIGINT) AS cnt
          FROM mstats WHERE dim <> 'pattern' GROUP BY ALL),
 hstats AS (SELECT *, row_number() OVER (PARTITION BY hour, dim ORDER BY cnt DESC, key) AS rank FROM hsum
-           QUALIFY rank <= 5)"""
+           QUALIFY rank <= 5 OR dim = 'severity')"""
 
 
 def highlight_ctes(unit: str, k: int) -> str:
@@ -383,6 +451,32 @@ ORACLES = {
         GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
 }
 
+# The same over all eight severities; `sums` stands in for the cut lists.
+_EIGHT = (
+    PATTERNS + f""",
+pat8 AS (SELECT * REPLACE ({PRI_SEVERITIES}[event_id % 8 + 1] AS severity) FROM pat)"""
+    + HSTATS[len(PATTERNS):].replace("FROM pat GROUP BY ALL", "FROM pat8 GROUP BY ALL")
+)
+_SUMS = _EIGHT[:_EIGHT.index(",\nhstats AS")] + ",\nhstats AS (SELECT * FROM hsum)"
+ORACLES |= {
+    "d5_hourly_exact": f"WITH {_EIGHT} SELECT hour, dim, key, cnt, rank FROM hstats",
+    "d5_hourly_cut": f"WITH {_EIGHT} SELECT hour, dim, key, cnt, rank FROM hstats WHERE rank <= 5",
+    "d11_notable_incidents_exact": f"""WITH {_EIGHT}{HH}{INCIDENT}
+        SELECT hour, total_errors, severity_breakdown, date_trunc('day', hour) AS day FROM inc""",
+    "d13_error_insights_exact": f"""WITH {_EIGHT}{HH}{INCIDENT}, seen AS (SELECT hour FROM hstats WHERE dim = 'total' ORDER BY hour DESC LIMIT 24)
+        SELECT hour, total_errors, severity_breakdown FROM inc JOIN seen USING (hour) ORDER BY hour DESC LIMIT 8""",
+    "d15_kpis_exact": ORACLES["d15_kpis"].replace(HSTATS, _SUMS),
+    "d16_top_hosts_exact": _share("host", 6).replace(HSTATS, _SUMS),
+    "d16_top_severities_exact": _share("severity", 6).replace(HSTATS, _SUMS),
+    "d17_error_trend_exact": ORACLES["d17_error_trend"].replace(HSTATS, _SUMS),
+    "d9_service_health_exact": f"""WITH {PATTERNS} SELECT hour, app, count(*) AS anomalies FROM (SELECT date_trunc('hour', ts) AS hour,
+          first_value(app) OVER (PARTITION BY date_trunc('hour', ts), pattern_id ORDER BY ts, event_id) AS app FROM pat) GROUP BY ALL""",
+    "d18_service_status_exact": f"""WITH {PATTERNS}, sh AS (SELECT date_trunc('hour', ts) AS hour,
+          first_value(app) OVER (PARTITION BY date_trunc('hour', ts), pattern_id ORDER BY ts, event_id) AS app FROM pat),
+        rh AS (SELECT DISTINCT hour FROM sh ORDER BY hour DESC LIMIT 24)
+        SELECT app, count(*) AS anomalies, CASE WHEN count(*) > 10 THEN 'critical' ELSE 'warning' END AS status
+        FROM sh JOIN rh USING (hour) GROUP BY app""",
+}
 # Column types as Spark has them.
 for _name, _types in {
     "d2_pattern_sources": {'rank': 'INTEGER'},
@@ -390,6 +484,8 @@ for _name, _types in {
     "d5_hourly_stats": {'rank': 'INTEGER'},
     "d7_hourly_highlights": {'rank': 'INTEGER'},
     "d10_daily_exact": {'rank': 'INTEGER'},
+    "d5_hourly_exact": {'rank': 'INTEGER'},
+    "d5_hourly_cut": {'rank': 'INTEGER'},
     "d10_daily_of_top_lists": {'rank': 'INTEGER'},
     "d12_daily_highlights": {'rank': 'INTEGER'},
     "d12_condensed": {'rank': 'INTEGER'},

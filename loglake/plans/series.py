@@ -70,13 +70,25 @@ _HW = ("value", "lower_bound", "upper_bound", "confidence")
 
 
 def h8_holt_winters(spark, d):
-    return rounded(series.holt_winters(mixed(spark, d)), *_HW)
+    return rounded(series.holt_winters(series.keep_last(mixed(spark, d), 168)), *_HW)
 
 
 def h9_moving_average(spark, d):
+    return rounded(series.moving_average_forecast(mixed(spark, d), history=168), *_HW)
+
+
+def h8_holt_winters_whole(spark, d):
+    return rounded(series.holt_winters(mixed(spark, d)), *_HW)
+
+
+def h9_moving_average_whole(spark, d):
     return rounded(series.moving_average_forecast(mixed(spark, d)), *_HW)
 
 
+def h12_decompose_whole(spark, d):
+    return rounded(series.decompose(points(spark, d)), "trend", "seasonal", "residual")
+
+
 def _thresholds(df):
     return df.groupBy("series").agg((F.max("value") * 0.9).alias("threshold"))
 
@@ -86,7 +98,7 @@ def h10_capacity_breach(spark, d):
     out = series.capacity_breach(df, _thresholds(df), 2000)
     return rounded(out, "predicted_value", "threshold", "hours_to_breach").select(
         "series", "current_value", "predicted_value", "threshold", "hours_to_breach",
-        bucket_of(F.col("predicted_breach_time"), "hour").alias("breach_hour"), "severity",
+        bucket_of(F.col("predicted_breach_time"), "hour").alias("breach_hour"), "severity", "recommendation",
     )
 
 
@@ -95,7 +107,7 @@ def h11_detect_trend(spark, d):
 
 
 def h12_decompose(spark, d):
-    return rounded(series.decompose(points(spark, d)), "trend", "seasonal", "residual")
+    return rounded(series.decompose(series.keep_last(points(spark, d), 168)), "trend", "seasonal", "residual")
 
 
 def h13_write_anomalies(spark, d):
@@ -119,6 +131,7 @@ def h13_write_forecasts(spark, d):
 QUERIES = {f.__name__: f for f in (
     h1_keep_last, h2_zscore, h3_iqr, h4_linear, h5_seasonal, h5_seasonal_corrected, h6_pattern_changes,
     h7_health_details, h7_health_summary, h8_holt_winters, h9_moving_average, h10_capacity_breach,
+    h8_holt_winters_whole, h9_moving_average_whole, h12_decompose_whole,
     h11_detect_trend, h12_decompose, h13_write_anomalies, h13_write_forecasts,
 )}
 
@@ -243,7 +256,10 @@ ORACLES = {
         SELECT series, cur AS current_value, round(CASE WHEN done THEN cur ELSE cur + slope * 2000 END, 4) + 0.0 AS predicted_value,
           round(threshold, 4) + 0.0 AS threshold, round(hrs, 4) + 0.0 AS hours_to_breach,
           date_trunc('hour', last_ts + to_microseconds(cast(round(hrs * 3600000000) AS BIGINT))) AS breach_hour,
-          CASE WHEN done OR hrs < 12 THEN 'critical' ELSE 'warning' END AS severity FROM b WHERE done OR hrs <= 2000""",
+          CASE WHEN done OR hrs < 12 THEN 'critical' ELSE 'warning' END AS severity,
+          CASE WHEN done THEN printf('%s has already exceeded threshold (%.1f >= %.1f). Immediate action required.', series, cur, threshold)
+          ELSE printf('At current rate, %s will exceed %d in approximately %d hours. Consider scaling or optimization.', series, cast(round(threshold) AS BIGINT), cast(round(hrs) AS BIGINT))
+          END AS recommendation FROM b WHERE done OR hrs <= 2000""",
     "h11_detect_trend": f"""WITH {MIXED}, {_RECENT},
         t AS (SELECT series, cur, slope, mean, n >= 24 AS ok, CASE WHEN n >= 24 AND vy > 0 THEN r2 ELSE 0.0 END AS rr FROM fit),
         u AS (SELECT *, CASE WHEN ok THEN rr > 0.5 END AS sig, CASE WHEN ok THEN CASE WHEN abs(slope) < mean * 0.01 THEN 'stable'
@@ -269,6 +285,7 @@ ORACLES = {
         ts AS prediction_time, round(predicted_value, 4) AS predicted_value, 'linear' AS method FROM lin""",
 }
 
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(" QUALIFY r <= 168", "") for name in ("h8_holt_winters", "h9_moving_average", "h12_decompose")}
 # Column types as Spark has them.
 for _name, _types in {
     "h4_linear": {'confidence': 'DOUBLE'},
@@ -276,5 +293,7 @@ for _name, _types in {
     "h5_seasonal_corrected": {'confidence': 'DOUBLE'},
     "h8_holt_winters": {'confidence': 'DOUBLE'},
     "h9_moving_average": {'confidence': 'DOUBLE'},
+    "h8_holt_winters_whole": {'confidence': 'DOUBLE'},
+    "h9_moving_average_whole": {'confidence': 'DOUBLE'},
 }.items():
     ORACLES[_name] = typed(ORACLES[_name], **_types)

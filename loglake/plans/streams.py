@@ -122,10 +122,25 @@ def a12_forward_events(spark, d):
     return spark.read.schema("event_id long, host string, pattern_id string").json(out)
 
 
+def a12_forward_failing_sink(spark, d):
+    """Two writers of which one always fails: its rows come from the dead letters."""
+    good, dead = scratch(spark, "forward"), scratch(spark, "dead")
+
+    def fails(batch):
+        raise OSError("receiver is down")
+
+    _done(jobs.forward_events(
+        log_stream(spark, d), {"good": lambda b: b.write.mode("append").json(good), "bad": fails},
+        scratch(spark, "checkpoint"), dead,
+    ))
+    sent = spark.read.schema("event_id long, host string, pattern_id string").json(good).withColumn("sink", F.lit("good"))
+    return sent.unionByName(spark.read.parquet(dead).select("event_id", "host", "pattern_id", "sink"))
+
+
 QUERIES = {f.__name__: f for f in (
     n1_stream_parse, n2_stream_dedupe, n2_stream_dedupe_counted, n3_stream_minute_stats, n4_stream_hourly_stats,
     n5_stream_sample, n6_stream_issue_state, n7_stream_usage_quota, n8_stream_alerts, f4_tail_stream,
-    a12_forward_events,
+    a12_forward_events, a12_forward_failing_sink,
 )}
 
 
@@ -155,7 +170,7 @@ ORACLES = {
     "n3_stream_minute_stats": f"WITH {_stats('minute')} SELECT * FROM st WHERE {_closed('bucket', '1 MINUTE', '1 MINUTE')}",
     "n4_stream_hourly_stats": f"""WITH {_stats('hour')} SELECT bucket AS hour, dim, key, cnt,
         row_number() OVER (PARTITION BY bucket, dim ORDER BY cnt DESC, key) AS rank FROM st
-        WHERE dim <> 'pattern' AND {_closed('bucket', '1 HOUR', '10 MINUTE')} QUALIFY rank <= 5""",
+        WHERE dim <> 'pattern' AND {_closed('bucket', '1 HOUR', '10 MINUTE')} QUALIFY rank <= 5 OR dim = 'severity'""",
     "n5_stream_sample": f"""WITH {LOGS} SELECT host, severity, app, event_id FROM logs
         QUALIFY row_number() OVER (PARTITION BY host, severity, app ORDER BY md5(concat(event_id, '|7')), event_id) <= 5""",
     "n6_stream_issue_state": f"""WITH {PATTERNS},
@@ -179,6 +194,7 @@ ORACLES = {
         HAVING count(*) FILTER (severity IN ('err', 'crit')) >= 5 AND {_closed('hour', '1 HOUR', '10 MINUTE')}""",
     "f4_tail_stream": f"WITH {LOGS} SELECT host, app, severity, message FROM logs WHERE event_id % 10 <> 0",
     "a12_forward_events": f"WITH {PATTERNS} SELECT event_id, host, pattern_id FROM pat",
+    "a12_forward_failing_sink": f"WITH {PATTERNS} SELECT event_id, host, pattern_id, unnest(['good', 'bad']) AS sink FROM pat",
 }
 
 # Column types as Spark has them.

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import filled, top_k
+from ..functions.columns import filled
 from ..operators import report, usage
 from ..operators.dedupe import sample_per_key
 from ..operators.parse import parse_logs, with_pattern_id
-from ..operators.rollup import TOP_DIMS
+from ..operators.rollup import TOP_DIMS, ranked_counts
 from ..schemas import STORED_EVENT
 
 # --- running ----------------------------------------------------------------
@@ -78,16 +78,23 @@ def tail_stream(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.get_json_object("value", "$").isNotNull()).select(event.alias("e")).select("e.*")
 
 
-def forward_events(events: DataFrame, sinks: list[Callable[[DataFrame], None]], checkpoint: str, once: bool = True):
-    """Hand every micro-batch to several writers; a failing one does not hold up the others."""
+def forward_events(
+    events: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], checkpoint: str, dead_letters: str, once: bool = True
+):
+    """Hand every micro-batch to several named writers; a failing one does not hold up the others.
+
+    The batch a writer failed on is kept, with the error, in
+    `dead_letters/sink=<name>/batch=<id>`, from where it can be sent again.
+    """
 
     def fan_out(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # read once for all writers
-        for sink in sinks:
+        for name, sink in sinks.items():
             try:
                 sink(batch)
-            except Exception as error:  # best effort, as forwarding must not stop the intake
-                print(f"forwarding batch {batch_id} failed: {error}")
+            except Exception as error:  # the intake goes on, the rows are not lost
+                failed = batch.withColumn("error", F.lit(str(error)[:1000]))
+                failed.write.mode("overwrite").parquet(f"{dead_letters}/sink={name}/batch={batch_id}")
         batch.unpersist()
 
     return start_batches(events, fan_out, checkpoint, once)
@@ -184,12 +191,12 @@ def start_minute_stats(events: DataFrame, path: str, checkpoint: str, delay: str
 
 
 def closed_hours(batch: DataFrame, k: int = 5) -> DataFrame:
-    """Hour totals and top lists from the counts of closed hours.
+    """Hour totals, all severities and top lists from the counts of closed hours.
 
     `unique` is the number of different patterns of the hour.
     """
     counts = with_unique(batch).where(F.col("dim").isin(TOP_DIMS + ["total", "unique"])).withColumnRenamed("bucket", "hour")
-    return top_k(counts, ["hour", "dim"], [F.desc("cnt"), F.asc("key")], k)
+    return ranked_counts(counts, "hour", k)
 
 
 def start_hourly_stats(events: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", k: int = 5, once: bool = True):
