@@ -1,13 +1,18 @@
 """Personal data and secrets in text columns: find, mask, redact, classify.
 
-Everything here is a per-row expression: one array of spans per text, no
-shuffle.  A text of any length is scanned whole.
+Everything here works per row, without a shuffle: an Arrow function finds the
+matches of a batch of texts, in time linear in their length and number, and
+expressions do the rest.  A text of any length is scanned whole.  White space
+and word borders are those of Unicode.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,25 +39,26 @@ DETECTORS = [
 NAMES = [d.name for d in DETECTORS]
 SECRETS = ["api_key", "password", "jwt", "aws_key"]
 
-# Marks around matches: code points that Unicode reserves as never used in text.
-OPEN, CLOSE = "﷐", "﷑"
-
-SPAN = "struct<ord:int,pii_type:string,start_pos:int,end_pos:int,original:string,confidence:double>"
-NONE = f"CAST(array() AS array<{SPAN}>)"
+SPAN = "ord:int,pii_type:string,start_pos:int,end_pos:int,original:string,confidence:double"
+# Kept spans do not overlap; `before` is the text between a span and the one before it.
+FOUND = f"spans:array<struct<{SPAN}>>,kept:array<struct<before:string,pii_type:string,original:string>>,rest:string"
 
 # Cheap conditions that every text with such a match meets; most texts are
-# spared the full pattern.  `_t` is the text, `_low` the same in lower case.
+# spared the full pattern.
 MAY_HOLD = {
-    "email": "contains(_t, '@')",
-    "phone": "_t RLIKE '[0-9]{4}'",
-    "ssn": "_t RLIKE '[0-9]{4}'",
-    "credit_card": "_t RLIKE '[0-9]{12}'",
-    "ip_address": "_t RLIKE '[0-9][.][0-9]'",
-    "api_key": "contains(_low, 'api')",
-    "password": "contains(_low, 'passw') OR contains(_low, 'pwd')",
-    "jwt": "contains(_low, 'eyj')",
-    "aws_key": "contains(_low, 'akia') OR contains(_low, 'abia') OR contains(_low, 'acca') OR contains(_low, 'asia')",
+    "email": lambda text, low: "@" in text,
+    "phone": lambda text, low: FOUR_DIGITS.search(text),
+    "ssn": lambda text, low: FOUR_DIGITS.search(text),
+    "credit_card": lambda text, low: TWELVE_DIGITS.search(text),
+    "ip_address": lambda text, low: DOTTED.search(text),
+    "api_key": lambda text, low: "api" in low,
+    "password": lambda text, low: "passw" in low or "pwd" in low,
+    "jwt": lambda text, low: "eyj" in low,
+    "aws_key": lambda text, low: "akia" in low or "abia" in low or "acca" in low or "asia" in low,
 }
+FOUR_DIGITS, TWELVE_DIGITS, DOTTED = (re.compile(p) for p in ("[0-9]{4}", "[0-9]{12}", "[0-9][.][0-9]"))
+A_DIGIT = re.compile("[0-9]")
+NEED_DIGITS = {"phone", "ssn", "credit_card", "ip_address"}
 
 
 def _chosen(types) -> list[tuple[int, Detector]]:
@@ -62,27 +68,44 @@ def _chosen(types) -> list[tuple[int, Detector]]:
     return [(i, d) for i, d in enumerate(DETECTORS) if types is None or d.name in types]
 
 
-def _spans_sql(order: int, det: Detector) -> str:
-    """Matches of one detector with their positions.
+def _matches(text: str, detectors: list) -> list[tuple]:
+    """All matches in detector order, then by position."""
+    low, out = text.lower(), []
+    digits = A_DIGIT.search(text)
+    for order, name, pattern, confidence in detectors:
+        if (digits or name not in NEED_DIGITS) and MAY_HOLD[name](text, low):
+            out += [(order, name, m.start(), m.end(), m[0], confidence) for m in pattern.finditer(text)]
+    return out
 
-    The matches are marked in the text and the text is split at the marks:
-    pieces at odd places are matches, and positions are sums of lengths.
-    """
-    pattern = det.pattern.replace("'", r"\x27")
-    return f"""
-    IF({MAY_HOLD[det.name]},
-      aggregate(
-        split(regexp_replace(_clean, r'(?i){pattern}', '{OPEN}$0{CLOSE}'), '[{OPEN}{CLOSE}]'),
-        named_struct('pos', 0, 'i', 0, 'out', {NONE}),
-        (a, p) -> named_struct(
-          'pos', a.pos + length(p), 'i', a.i + 1,
-          'out', IF(a.i % 2 = 1,
-            array_append(a.out, named_struct(
-              'ord', {order}, 'pii_type', '{det.name}', 'start_pos', a.pos, 'end_pos', a.pos + length(p),
-              'original', substring(_t, a.pos + 1, length(p)), 'confidence', {det.confidence}D)),
-            a.out)),
-        a -> a.out),
-      {NONE})"""
+
+def _without_overlaps(spans: list[tuple]) -> list[tuple]:
+    """Spans by position; the earlier detector wins where two overlap."""
+    starts, kept = [], []
+    for s in spans:
+        at = bisect_left(starts, s[3])  # spans from here on start after this one ends
+        if not at or kept[at - 1][3] <= s[2]:
+            starts.insert(at, s[2])
+            kept.insert(at, s)
+    return kept
+
+
+def _finder(types):
+    detectors = [(i, d.name, re.compile(d.pattern, re.IGNORECASE), d.confidence) for i, d in _chosen(types)]
+
+    @F.pandas_udf(FOUND)
+    def find(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            spans = _matches(text, detectors) if text else []
+            kept, at = [], 0
+            for _, name, start, end, original, _ in _without_overlaps(spans):
+                kept.append({"before": text[at:start], "pii_type": name, "original": original})
+                at = end
+            names = ("ord", "pii_type", "start_pos", "end_pos", "original", "confidence")
+            rows.append(([dict(zip(names, s, strict=True)) for s in spans], kept, text[at:] if kept else None))
+        return pd.DataFrame(rows, columns=["spans", "kept", "rest"])
+
+    return find
 
 
 def masked_sql(kind: str, v: str) -> str:
@@ -106,18 +129,10 @@ def masked_sql(kind: str, v: str) -> str:
     END"""
 
 
-def with_spans(df: DataFrame, text: str = "text", types=None, out: str = "spans", keep_text: bool = False) -> DataFrame:
+def with_spans(df: DataFrame, text: str = "text", types=None, out: str = "spans") -> DataFrame:
     """Add the array of matches, in detector order, then by position."""
-    chosen = _chosen(types)
-    spans = "concat(" + ",".join(_spans_sql(i, d) for i, d in chosen) + ")" if chosen else NONE
-    # A text that holds the marks itself gets `?` there; lengths stay the same.
-    clean = f"IF(contains(_t, '{OPEN}') OR contains(_t, '{CLOSE}'), translate(_t, '{OPEN}{CLOSE}', '??'), _t)"
-    with_text = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    found = (
-        with_text.withColumns({"_low": F.lower("_t"), "_clean": F.expr(clean)})
-        .withColumn(out, F.expr(spans)).drop("_low", "_clean")
-    )
-    return found if keep_text else found.drop("_t")
+    found = _finder(types)(F.col(text))
+    return df.withColumn("_found", found).withColumn(out, F.col("_found.spans")).drop("_found")
 
 
 def pii_matches(df: DataFrame, id_col: str = "id", text: str = "text", types=None) -> DataFrame:
@@ -129,31 +144,13 @@ def pii_matches(df: DataFrame, id_col: str = "id", text: str = "text", types=Non
     )
 
 
-# Spans without overlaps, by position; the earlier detector wins.
-_KEPT_SQL = f"""
-    array_sort(transform(
-      aggregate(_spans, {NONE},
-        (kept, s) -> IF(exists(kept, k -> k.start_pos < s.end_pos AND s.start_pos < k.end_pos),
-                        kept, array_append(kept, s))),
-      s -> named_struct('start_pos', s.start_pos, 'end_pos', s.end_pos, 'pii_type', s.pii_type, 'original', s.original)))"""
-
-
 def _replace_spans(df: DataFrame, text: str, types, replacement: str, out: str) -> DataFrame:
     """Text with every kept span replaced; `replacement` is SQL over the span `s`."""
     rebuilt = f"""
-    IF(size(_kept) > 0,
-      concat(
-        array_join(transform(_kept, (s, i) -> concat(
-          substring(_t, IF(i > 0, get(_kept, i - 1).end_pos, 0) + 1,
-                    s.start_pos - IF(i > 0, get(_kept, i - 1).end_pos, 0)),
-          {replacement})), ''),
-        substring(_t, element_at(_kept, -1).end_pos + 1)),
-      {text})"""
-    return (
-        with_spans(df, text, types, "_spans", keep_text=True)
-        .withColumn("_kept", F.expr(_KEPT_SQL)).withColumn(out, F.expr(rebuilt))
-        .drop("_spans", "_kept", "_t")
-    )
+    IF(size(_found.kept) > 0,
+      concat(array_join(transform(_found.kept, s -> concat(s.before, {replacement})), ''), _found.rest),
+      `{text}`)"""
+    return df.withColumn("_found", _finder(types)(F.col(text))).withColumn(out, F.expr(rebuilt)).drop("_found")
 
 
 def mask_pii(df: DataFrame, text: str = "text", types=None, out: str = "masked") -> DataFrame:
@@ -259,7 +256,7 @@ def scan_affected(rows: DataFrame, id_col: str = "id", k: int = 100) -> DataFram
     return rows.where("pii_count > 0").orderBy(id_col).limit(k).select(id_col, "pii_count", "pii_types")
 
 
-# Column rules of the plan templates.
+# Column rules of the plan templates; `apply_policy` takes their names too.
 TEMPLATES = {
     "standard": {},
     "pii": {"email": "hash", "phone": "mask", "ssn": "redact"},
@@ -267,8 +264,13 @@ TEMPLATES = {
 }
 
 
-def apply_policy(df: DataFrame, rules: dict[str, str], salt: str = "") -> DataFrame:
-    """Apply hash, mask, redact or pseudonymize to columns; absent columns are skipped."""
+def apply_policy(df: DataFrame, rules: dict[str, str] | str, salt: str = "") -> DataFrame:
+    """Apply hash, mask, redact or pseudonymize to columns; absent columns are skipped.
+
+    `rules` is a column-to-rule mapping or the name of a template.
+    """
+    if isinstance(rules, str):
+        rules = TEMPLATES[rules]
     for column, rule in rules.items():
         if column not in df.columns:
             continue

@@ -43,7 +43,7 @@ def test_positions_of_repeated_text(spark):
 
 
 def test_text_that_holds_the_marks(spark):
-    text = f"{c.OPEN}a{c.CLOSE} ip 1.2.3.4 {c.OPEN}"
+    text = "\ufdd0a\ufdd1 ip 1.2.3.4 \ufdd0"
     (r,) = c.pii_matches(frame(spark, text)).collect()
     assert text[r.start_pos:r.end_pos] == r.original == "1.2.3.4"
     assert c.redact_pii(frame(spark, text)).first().redacted == text.replace("1.2.3.4", "[REDACTED]")
@@ -89,3 +89,32 @@ def test_unknown_names(spark):
     with pytest.raises(ValueError):
         c.pii_matches(frame(spark, "x"), types=["shoe_size"])
     assert c.pii_matches(frame(spark, "bob@x.org"), types=["name"]).count() == 0
+
+
+def test_no_break_spaces_belong_to_numbers(spark):
+    df = frame(spark, "call 555\u00a0123\u00a04567 now")
+    (r,) = c.pii_matches(df, types=["phone"]).collect()
+    assert r.original == "555\u00a0123\u00a04567"
+    assert c.redact_pii(df).first().redacted == "call [REDACTED] now"
+
+
+def test_time_is_linear_in_matches():
+    """Four times the matches take about four times as long, not sixteen."""
+    import time
+
+    detectors = [(i, d.name, c.re.compile(d.pattern, c.re.IGNORECASE), d.confidence) for i, d in enumerate(c.DETECTORS)]
+
+    def took(n):
+        text = " and ".join(f"user{i}@example.com" for i in range(n))
+        begin = time.process_time()
+        assert len(c._without_overlaps(c._matches(text, detectors))) == n
+        return time.process_time() - begin
+
+    took(1000)
+    assert took(16000) < 12 * max(took(4000), 0.01)
+
+
+def test_template_by_name(spark):
+    df = spark.createDataFrame([("a@b.org", "555-123-4567", "123-45-6789")], "email string, phone string, ssn string")
+    r = c.apply_policy(df, "pii").first()
+    assert (len(r.email), r.phone, r.ssn) == (64, "***-***-4567", "[REDACTED]")
