@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 ISO_TIMESTAMP = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})"
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 MAC = r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}\b"
-IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+IPV4 = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
 HEX_RUN = r"\b[0-9a-fA-F]{16,}\b"
 QUOTED = r'"[^"]{5,}"'
 HEX_NUMBER = r"\b0x[0-9a-fA-F]+\b"
-WHOLE_NUMBER = r"\b\d+\b"
+WHOLE_NUMBER = r"(?U)\b\d+\b"
+DIGITS = r"\p{Nd}+"
+# White space of any script, and the separator controls.
+SPACES = r"[\s\p{Z}\x85\x1c-\x1f]+"
 ZONED_TIMESTAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[.\d]*[+-]\d{2}:\d{2}"
 PLAIN_TIMESTAMP = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}[.\d]*"
 
@@ -42,7 +45,7 @@ JSON_CLEANUP = [
 
 def squeeze(col: Column) -> Column:
     """Whitespace runs become one space, ends are trimmed."""
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+    return F.trim(F.regexp_replace(col, SPACES, " "))
 
 
 def strip(col: Column) -> Column:
@@ -64,8 +67,17 @@ def mask_variable_parts(col: Column, digits_gone: bool = False) -> Column:
 
 
 def json_object(col: Column) -> Column:
-    """Condition: the text is one JSON object."""
-    return col.rlike(r"^\s*\{") & F.get_json_object(col, "$").isNotNull()
+    """Condition: the text is one JSON object and nothing more.
+
+    Spark's JSON functions stop reading after the first value, so the text is
+    looked at inside an array, which must then hold one element, and inside an
+    object: text behind the object breaks one of them.
+    """
+    inside = F.from_json(F.concat(F.lit("["), col, F.lit("]")), "array<string>")
+    return (
+        col.rlike(r"^\s*\{") & F.get_json_object(col, "$").isNotNull() & (F.size(inside) == 1)
+        & F.get_json_object(F.concat(F.lit('{"v":'), col, F.lit("}")), "$").isNotNull()
+    )
 
 
 def json_message(col: Column) -> Column:
@@ -93,8 +105,8 @@ def plain_pattern(col: Column, mask_first: bool = False) -> Column:
     if mask_first:
         col = F.regexp_replace(col, ZONED_TIMESTAMP, "TIMESTAMP")
         col = F.regexp_replace(col, PLAIN_TIMESTAMP, "TIMESTAMP")
-        return F.regexp_replace(mask_variable_parts(col), r"\d+", "N")
-    return mask_variable_parts(squeeze(F.regexp_replace(col, r"\d+", "N")), digits_gone=True)
+        return F.regexp_replace(mask_variable_parts(col), DIGITS, "N")
+    return mask_variable_parts(squeeze(F.regexp_replace(col, DIGITS, "N")), digits_gone=True)
 
 
 def json_pattern(body: Column) -> Column:

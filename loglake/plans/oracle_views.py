@@ -19,12 +19,16 @@ IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 HEX_RUN = r"\b[0-9a-fA-F]{16,}\b"
 
 
+# White space of any script, and the separator controls.
+SPACES = r"[\s\x0b\p{Z}\x{85}\x1c-\x1f]+"
+
+
 def sub(expr: str, pattern: str, word: str) -> str:
     return f"regexp_replace({expr}, '{pattern}', '{word}', 'g')"
 
 
 def squeeze(expr: str) -> str:
-    return f"trim(regexp_replace({expr}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({expr}, '{SPACES}', ' ', 'g'))"
 
 
 def mask(expr: str) -> str:
@@ -37,7 +41,7 @@ def mask(expr: str) -> str:
 
 
 def plain_pattern(expr: str) -> str:
-    return mask(squeeze(sub(expr, r"\d+", "N")))
+    return mask(squeeze(sub(expr, r"\p{Nd}+", "N")))
 
 
 PATTERNS = LOGS + f""",

@@ -92,6 +92,23 @@ def b4_mask_first(spark, d):
     return parse.normalize_messages(df, mask_first=True).select("event_id", "pattern")
 
 
+_OTHER_DIGITS = "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
+
+
+def _foreign_logs(spark, d):
+    """Numbers in other digits after no-break spaces; every third message is JSON with a tail."""
+    number = F.translate(F.col("user_id").cast("string"), "0123456789", _OTHER_DIGITS)
+    text = F.concat("event_type", F.lit("\u00a0\u2003took "), number, F.lit(" ms"))
+    tail = F.concat(F.lit('{"c": "X", "msg": "'), "event_type", F.lit('"} trailing '), F.col("user_id").cast("string"))
+    return views.table(spark, d, "events").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, tail).otherwise(text).alias("message")
+    )
+
+
+def b4_normalize_unicode(spark, d):
+    return parse.normalize_messages(_foreign_logs(spark, d)).select("event_id", "pattern")
+
+
 def b5_pattern_id(spark, d):
     return patterned(spark, d).select("event_id", "pattern_id")
 
@@ -157,7 +174,7 @@ def c4_latest_version(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     b1_parse_logs, b2_level_fallback, b3_mask_tokens, b3_mask_documents, b4_normalize_messages,
-    b4_normalize_json, b4_mask_first, b5_pattern_id, b6_clean_messages, b6_clean_documents,
+    b4_normalize_json, b4_normalize_unicode, b4_mask_first, b5_pattern_id, b6_clean_messages, b6_clean_documents,
     b7_apply_rules, b8_metric_series, b9_case_ids, c1_dedupe, c2_occurrences, c3_sample,
     c4_latest_version,
 )}
@@ -200,6 +217,10 @@ ORACLES = {
         WHEN 1 THEN concat('NET:', {_json_body('body')})
         WHEN 2 THEN {_json_body('body')}
         ELSE {plain_pattern('message')} END AS pattern FROM jl""",
+    "b4_normalize_unicode": f"""WITH fl AS (SELECT event_id, CASE WHEN event_id % 3 = 0
+          THEN concat('{{"c": "X", "msg": "', event_type, '"}} trailing ', user_id)
+          ELSE concat(event_type, chr(160), chr(8195), 'took ', translate(cast(user_id AS VARCHAR), '0123456789', '{_OTHER_DIGITS}'), ' ms')
+          END AS message FROM events) SELECT event_id, {plain_pattern('message')} AS pattern FROM fl""",
     "b4_mask_first": f"""WITH {LOGS} SELECT event_id, {sub(mask(sub(
         "concat(message, ' at ', strftime(ts, '%Y-%m-%d %H:%M:%S'))", _ZT, 'TIMESTAMP')), chr(92) + 'd+', 'N')}
         AS pattern FROM logs""",

@@ -185,3 +185,16 @@ def test_case_ids(spark):
     ).coalesce(1)
     assert column(parse.extract_case_ids(df), "case_id") == ["r9", "s1"]
     assert column(parse.extract_case_ids(df, r"_ID: (\S+)"), "case_id") == ["t-1"]
+
+
+@pytest.mark.parametrize("text,pattern", [
+    ('{"c":"X","msg":"hi 5"} trailing 7', '{"c":"X","msg":"hi N"} trailing N'),
+    ('{"c":"X","msg":"hi 5"}{"a":1}', '{"c":"X","msg":"hi N"}{"a":N}'),
+    ('{"c":"X","msg":"hi 5"},{"a":1}', '{"c":"X","msg":"hi N"},{"a":N}'),
+    ('{"c":"X","msg":"hi 5"}],[{"a":1}', '{"c":"X","msg":"hi N"STR"a":N}'),
+    (' {"c":"X","msg":"hi 5"} ', "X:hi N"),
+    ("took \u06f1\u06f2 ms\u00a0now", "took N ms now"),
+])
+def test_patterns_of_whole_texts(spark, text, pattern):
+    df = spark.createDataFrame([(text,)], "message string")
+    assert parse.normalize_messages(df).first().pattern == pattern
