@@ -193,7 +193,10 @@ def sampled(docs: DataFrame, ids: DataFrame, sample: int) -> np.ndarray:
     wanted = ids.orderBy(order, "doc_id").limit(sample).select("doc_id").distinct()
     texts = docs.join(F.broadcast(wanted), "doc_id", "left_semi").select("text").limit(sample)
     rows = [r.x for r in texts.mapInArrow(_measured, "x array<double>").collect()]
-    return np.array(rows, float) if rows else np.zeros((0, 0))
+    if not rows:
+        return np.zeros((0, 0))
+    x = np.array(rows, float)
+    return x[np.lexsort(x.T)]  # the same order in every run
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
