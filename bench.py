@@ -43,7 +43,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     # Inputs a collector would have left behind: raw lines, stored events, minute counts.
-    logs = views.logs(spark, SF_DIR)
+    # The given tables are one small file each; more files let all cores read.
+    logs = stored(views.logs(spark, SF_DIR).repartition(int(CPUS)), "logs")
     raw = scratch(spark, "raw")
     views.with_raw(logs).select(F.col("raw").alias("value"), "transport").write.partitionBy("transport").text(raw)
     patterned = stored(parse.with_pattern_id(logs), "patterned")
@@ -51,7 +52,7 @@ def main() -> None:
     events, chars = logs.count(), views.texts(spark, SF_DIR).agg(F.sum(F.octet_length("text"))).first()[0]
     points = views.metric_points(spark, SF_DIR)
     cases = views.process_events(spark, SF_DIR)
-    texts = views.texts(spark, SF_DIR)
+    texts = stored(views.texts(spark, SF_DIR).repartition(int(CPUS)), "texts")
 
     def ingest():
         lines = storage.read_raw_lines(spark, raw)

@@ -31,8 +31,9 @@ def process_events(
 
     ready = scope(prepared)
     if not ready.isEmpty():
-        out = ready
+        out, order = ready, ["case_id", "ts", "event_id"]
     else:
+        order = ["ts", "event_id"]  # the first events of the range, whatever their case
         found = extract_case_ids(scope(logs), pattern)
         out = found.select(
             "tenant_id", "case_id",
@@ -42,7 +43,7 @@ def process_events(
                 F.lit("severity"), F.col("severity"), F.lit("message"), F.substring("message", 1, 200)
             ).alias("attributes"),
         )
-    return out if limit is None else out.orderBy("case_id", "ts", "event_id").limit(limit)
+    return out if limit is None else out.orderBy(*order).limit(limit)
 
 
 def _case_sizes(events: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import top_k
 
-# Words a read-only query may not hold.
+# Words a read-only query may not hold, and its two messages.
 FORBIDDEN_WORDS = ["DROP", "DELETE", "TRUNCATE", "ALTER", "CREATE", "INSERT", "UPDATE",
                    "GRANT", "REVOKE", "ATTACH", "DETACH"]
 
@@ -25,18 +25,37 @@ def check_read_only(sql: str) -> str | None:
     return None
 
 
+# Functions that run code of the JVM.
+CODE_CALLS = re.compile(r"\b(?:try_)?(?:reflect|java_method)\(", re.IGNORECASE)
+ON_FILES = "spark.sql.runSQLOnFiles"
+
+
 def run_query(
     spark: SparkSession, sql: str, params: dict | None = None, read_only: bool = True,
     tables: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """SQL over registered tables; `:name` parameters are bound, not pasted in."""
+    """SQL over registered tables; `:name` parameters are bound, not pasted in.
+
+    A read-only query may not name files as tables, and its analysed plan may
+    not hold functions that run JVM code.
+    """
     if read_only:
         error = check_read_only(sql)
         if error:
             raise ValueError(error)
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=params or {})
+    if not read_only:
+        return spark.sql(sql, args=params or {})
+    before = spark.conf.get(ON_FILES)
+    spark.conf.set(ON_FILES, "false")
+    try:
+        df = spark.sql(sql, args=params or {})
+    finally:
+        spark.conf.set(ON_FILES, before)
+    if CODE_CALLS.search(df._jdf.queryExecution().analyzed().toString()):
+        raise ValueError("Query calls a function that is not allowed")
+    return df
 
 
 def describe_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -100,17 +119,27 @@ def _value_counts(df: DataFrame, columns: list[str] | None) -> DataFrame:
     return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def profile_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Profile of every column from one pass: columns become rows, then one grouping."""
-    return (
-        _value_counts(df, columns).groupBy("column")
-        .agg(
-            F.count("value").alias("cardinality"),
-            F.sum("count").alias("total_count"),
-            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("null_count"),
-        )
-        .withColumn("null_percent", F.col("null_count") / F.col("total_count") * 100)
+def profile_table(df: DataFrame, columns: list[str] | None = None, exact: bool = False) -> DataFrame:
+    """Profile of every column in one aggregate; an empty table gives rows of zeros.
+
+    Different values are estimated from sketches that combine on the map side;
+    `exact` counts them, which shuffles every different value.
+    """
+    names = columns or df.columns
+    count = F.count_distinct if exact else F.approx_count_distinct
+    one = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[count(F.col(c)).alias(f"_d{i}") for i, c in enumerate(names)],
+        *[F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(names)],
     )
+    rows = F.array(*[
+        F.struct(
+            F.lit(c).alias("column"), F.col(f"_d{i}").alias("cardinality"), F.col("_rows").alias("total_count"),
+            F.col(f"_n{i}").alias("null_count"),
+            F.when(F.col("_rows") > 0, F.col(f"_n{i}") / F.col("_rows") * 100).otherwise(0.0).alias("null_percent"),
+        ) for i, c in enumerate(names)
+    ])
+    return one.select(F.inline(rows))
 
 
 def profile_table_top(df: DataFrame, k: int = 100, columns: list[str] | None = None) -> DataFrame:

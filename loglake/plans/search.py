@@ -93,7 +93,7 @@ def g4_top_values(spark, d):
 
 
 def g5_profile_table(spark, d):
-    p = sql_surface.profile_table(_nullable_logs(spark, d))
+    p = sql_surface.profile_table(_nullable_logs(spark, d), exact=True)
     return p.withColumn("null_percent", F.round("null_percent", 6))
 
 

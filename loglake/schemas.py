@@ -4,17 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-LOG_EVENT = T.StructType([
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("host", T.StringType()),
-    T.StructField("app", T.StringType()),
-    T.StructField("severity", T.StringType()),
-    T.StructField("facility", T.StringType()),
-    T.StructField("message", T.StringType()),
-    T.StructField("raw", T.StringType()),
-    T.StructField("transport", T.StringType()),
-])
-
 # One line of a stored minute bucket (NDJSON).
 STORED_EVENT = T.StructType([
     T.StructField("timestamp", T.StringType()),
@@ -29,15 +18,6 @@ STORED_EVENT = T.StructType([
     T.StructField("occurrences", T.LongType()),
 ])
 
-ISSUE_STATE = T.StructType([
-    T.StructField("pattern_id", T.StringType()),
-    T.StructField("first_seen", T.TimestampNTZType()),
-    T.StructField("last_seen", T.TimestampNTZType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("severity", T.StringType()),
-    T.StructField("sample_message", T.StringType()),
-])
-
 # ---------------------------------------------------------------------------
 # Fixed values.  They must stay as they are for the results to agree.
 # ---------------------------------------------------------------------------

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # No Python call sites inside plans: building large expressions is much faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -49,9 +53,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_OWNED: list[str] = []  # folders of the open workspaces, the innermost last
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Owns the intermediate tables written inside it and deletes them at the end.
+
+    Results that read such tables must be written or collected before.
+    """
+    path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    _OWNED.append(path)
+    try:
+        yield path
+    finally:
+        _OWNED.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path in the innermost workspace, or else below the shared folder."""
+    return f"{_OWNED[-1] if _OWNED else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df):

@@ -56,21 +56,36 @@ def read_buckets(
 ) -> DataFrame:
     """Stored events of the minute buckets in [start, end) (UTC); lines that are no JSON are skipped.
 
-    The range is a condition on the file path, so files outside are not opened.
+    With both ends given only the folders of those days are listed; the range
+    is a condition on the file path, so files outside are not opened.
     """
-    df = (
+    lower = None if start is None else bucket_of(in_zone(start, tz), "minute")
+    upper = None if end is None else in_zone(end, tz)
+    paths = [root] if start is None or end is None else _day_folders(spark, root, lower, upper)
+    reader = (
         spark.read.schema(STORED_EVENT).option("mode", "DROPMALFORMED")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(root)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     )
+    if not paths:
+        return spark.createDataFrame([], STORED_EVENT).withColumn("bucket", F.lit(None).cast("timestamp_ntz"))
+    df = reader.json(paths)
     at = _path_time(F.col("_metadata.file_path"))
     df = df.where(at.isNotNull())
     if start is not None:
-        df = df.where(at >= bucket_of(in_zone(start, tz), "minute"))
+        df = df.where(at >= lower)
     if end is not None:
-        df = df.where(at < in_zone(end, tz))
+        df = df.where(at < upper)
     return df.withColumn("bucket", at)
 
 
+def _day_folders(spark: SparkSession, root: str, lower: Column, upper: Column) -> list[str]:
+    """Folders of the days in [lower, upper), of either layout, that are there."""
+    days = spark.range(1).select(F.explode(F.sequence(
+        bucket_of(lower, "day"), bucket_of(upper, "day"), F.expr("INTERVAL 1 DAY")
+    )).alias("d")).select(F.date_format("d", "yyyy/MM/dd").alias("a"), F.date_format("d", "'y='yyyy/'m='MM/'d='dd").alias("b"))
+    return [f"{root}/{folder}" for row in days.collect() for folder in row if _exists(spark, f"{root}/{folder}")]
+
+
 def bucket_files(spark: SparkSession, root: str, pattern: str = "*.{ndjson,json}") -> DataFrame:
     """`(bucket, path, size, lines)` of every bucket file."""
     lines = (
@@ -115,12 +130,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_report(df: DataFrame, root: str, key: str = "hour") -> None:
-    """Append report rows of windows that are not stored yet."""
+    """Append report rows of windows that are not stored yet, partitioned by day.
+
+    Only the days being written are looked up in what is stored.
+    """
     spark = df.sparkSession
+    df = df.withColumn("dt", F.to_date(key))
     if _exists(spark, root):
-        stored = spark.read.parquet(root).select(key).distinct()
-        df = df.join(stored, key, "left_anti")
-    df.write.mode("append").parquet(root)
+        stored = spark.read.parquet(root).select(key, "dt").join(df.select("dt").distinct(), "dt", "left_semi")
+        df = df.join(stored.select(key).distinct(), key, "left_anti")
+    df.write.partitionBy("dt").mode("append").parquet(root)
 
 
 def latest_reports(reports: DataFrame, limit: int, key: str = "hour") -> DataFrame:
@@ -137,7 +156,10 @@ def apply_retention(df: DataFrame, days: int, now: Column, tz: str = "UTC") -> D
     cutoff = in_zone(now, tz) - F.make_dt_interval(F.lit(days))
     if "dt" in df.columns:
         return df.where(F.col("dt").cast("timestamp_ntz") >= cutoff)
-    return df.where(bucket_of(in_zone(F.col("ts"), tz), "day") >= cutoff)
+    day = bucket_of(cutoff, "day")
+    first = F.when(day < cutoff, day + F.expr("INTERVAL 1 DAY")).otherwise(day)
+    # A plain comparison with a constant, so that it reaches the file scan.
+    return df.where(F.col("ts") >= (first if tz.upper() == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), first)))
 
 
 def drop_expired_partitions(spark: SparkSession, root: str, days: int, now: str, tz: str = "UTC") -> list[str]:

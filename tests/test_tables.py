@@ -8,9 +8,11 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
-from loglake.functions.columns import ntz
+from loglake.functions.columns import ntz, top_k
 from loglake.operators import issues, parse, process, report, rollup, sql_surface, usage
+from loglake.session import stored, workspace
 from loglake.sources import storage
+from loglake.streaming import jobs
 
 D = dt.datetime
 
@@ -171,3 +173,83 @@ def test_xes_document(spark, tmp_path):
                       "org:resource": "r", "k": "v\n1"}
     assert second.find("date").get("value") == "2024-01-01T00:00:02.000005"
     assert log.find("string").get("value") == "P & Q"
+
+
+def test_profile_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "a long, b string")
+    for exact in (False, True):
+        rows = sql_surface.profile_table(df, exact=exact).collect()
+        assert [(r.column, r.cardinality, r.total_count, r.null_percent) for r in rows] == [("a", 0, 0, 0.0), ("b", 0, 0, 0.0)]
+
+
+@pytest.mark.parametrize("sql", [
+    "select reflect('java.lang.System', 'getProperty', 'user.name') as x",
+    "select `reflect`('java.lang.System', 'getProperty', 'user.name') as x",
+    "select java_method('java.lang.System', 'getProperty', 'user.name') as x",
+    "select try_reflect('java.lang.System', 'getProperty', 'user.name') as x",
+])
+def test_read_only_queries_run_no_code(spark, sql):
+    with pytest.raises(ValueError):
+        sql_surface.run_query(spark, sql)
+
+
+def test_read_only_queries_read_no_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    sql = f"select * from parquet.`{tmp_path}/x`"
+    with pytest.raises(Exception, match="NOT_FOUND"):
+        sql_surface.run_query(spark, sql)
+    assert sql_surface.run_query(spark, sql, read_only=False).count() == 3
+    assert sql_surface.run_query(spark, "select count(*) as n from t", tables={"t": spark.range(4)}).first().n == 4
+
+
+def test_workspace_deletes_its_tables(spark):
+    with workspace(spark) as path:
+        kept = stored(spark.range(5), "t").count()
+        assert os.listdir(path.removeprefix("file:"))
+    assert kept == 5 and not os.path.exists(path.removeprefix("file:"))
+
+
+def severe_hour(spark):
+    """One hour of seven severities: 27 errors, and more of four harmless kinds."""
+    counts = {"err": 10, "crit": 9, "emerg": 8, "info": 40, "debug": 30, "notice": 20, "warn": 15}
+    rows = [(i, dt.datetime(2024, 1, 1, 5, i % 60), s, "h", "a", s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    return spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, severity string, host string, app string, pattern_id string")
+
+
+def test_rare_severities_count(spark):
+    hourly = rollup.hourly_stats(rollup.minute_stats(severe_hour(spark)))
+    (r,) = report.alerts(hourly, None, 20).collect()
+    assert r.total_errors == 27 and "emerg: 8" in r.body
+    assert report.alerts(rollup.hourly_stats(rollup.minute_stats(severe_hour(spark)), cut_severities=True), None, 20).count() == 0
+    (r,) = report.alerts(jobs.closed_hours(severe_hour(spark).groupBy(
+        F.date_trunc("hour", "ts").alias("bucket"), F.lit("severity").alias("dim"), F.col("severity").alias("key")
+    ).agg(F.count(F.lit(1)).alias("cnt"))), None, 20).collect()
+    assert r.total_errors == 27
+
+
+@pytest.mark.parametrize("k", [5, 1001, 5000])
+def test_top_k_is_cut_before_the_shuffle(spark, k):
+    df = spark.range(20000).select((F.col("id") % 2).alias("g"), "id")
+    out = top_k(df, ["g"], [F.desc("id")], k)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan or plan.count("Window") >= 2
+    rows = out.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).collect()
+    assert all(r.n == k and r.lo == 20000 - 2 * k + r.g for r in rows)
+
+
+def test_errors_beyond_the_lists_are_issues(spark):
+    rows = [(i, dt.datetime(2024, 1, 1), "err", "h", "a", f"m{i}", f"p{i:03d}") for i in range(80)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, severity string, host string, app string, message string, pattern_id string")
+    assert issues.daily_error_patterns_of_events(df).count() == 80
+    lists = rollup.daily_highlights(rollup.hourly_highlights(rollup.minute_highlights(df)))
+    assert issues.daily_error_patterns(lists).count() == 15
+
+
+def test_limit_takes_the_first_events_of_the_range(spark):
+    at = [dt.datetime(2024, 1, 1, 0, i) for i in range(4)]
+    logs = spark.createDataFrame(
+        [(i, at[i], "t0", "h", "a", "info", f"request_id=r{9 - i} x") for i in range(4)],
+        "event_id long, ts timestamp_ntz, tenant_id string, host string, app string, severity string, message string")
+    none = spark.createDataFrame([], "tenant_id string, case_id string, activity string, ts timestamp_ntz, event_id long, resource string")
+    out = process.process_events(none, logs, "t0", F.lit(at[0]), F.lit(at[3]), limit=2)
+    assert sorted(r.event_id for r in out.collect()) == [0, 1]
