@@ -52,46 +52,59 @@ def _case_sizes(events: DataFrame) -> DataFrame:
     )
 
 
+def _long_cases(events: DataFrame, part: int) -> DataFrame:
+    """Cases of more than `part` events; written once, so its size is known to the joins."""
+    return stored(_case_sizes(events).where(F.col("event_count") > part).select("case_id"), "long_cases")
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    return with_group_index(events, ["case_id"], [F.col("ts"), F.col("event_id")], "seq")
+
+
 def with_sequence(events: DataFrame, part: int = PART) -> DataFrame:
     """Number the events 0, 1, 2 ... inside each case by time."""
-    order = ["ts", "event_id"]
-    # Written once: it is used three times, and its size is then known to the joins.
-    long_cases = stored(
-        _case_sizes(events).where(F.col("event_count") > part).select("case_id"), "long_cases"
-    )
-    w = Window.partitionBy("case_id").orderBy(*order)
+    long_cases = _long_cases(events, part)
+    w = Window.partitionBy("case_id").orderBy("ts", "event_id")
+    seq = F.row_number().over(w).cast("long") - 1
     if long_cases.isEmpty():
-        return events.withColumn("seq", F.row_number().over(w).cast("long") - 1)
-    short = events.join(long_cases, "case_id", "left_anti").withColumn(
-        "seq", F.row_number().over(w).cast("long") - 1
-    )
-    long = with_group_index(
-        events.join(long_cases, "case_id", "left_semi"), ["case_id"], [F.col(c) for c in order], "seq"
-    )
-    return short.unionByName(long)
+        return events.withColumn("seq", seq)
+    short = events.join(long_cases, "case_id", "left_anti").withColumn("seq", seq)
+    return short.unionByName(_numbered(events.join(long_cases, "case_id", "left_semi")))
 
 
 def traces(events: DataFrame, part: int = PART) -> DataFrame:
-    """Ordered activities per case, in parts of at most `part` events.
+    """Ordered activities per case: one row for every `part` events of a case.
 
     `event_count`, `start_ts`, `end_ts` and `duration_ms` describe the whole
-    case; cases of ordinary length have the one part 0.
+    case; a case of up to `part` events has the one row of part 0.  Ordinary
+    cases take one grouping; only cases known to be longer are numbered.
     """
-    numbered = with_sequence(events, part)
-    parts = (
-        numbered.groupBy("case_id", F.floor(F.col("seq") / part).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "activity"))).alias("a"))
-        .select("case_id", "part", F.transform("a", lambda s: s["activity"]).alias("activities"))
-    )
+    row = F.struct("ts", "event_id", "activity")
+    long_cases = _long_cases(events, part)
+    some_long = not long_cases.isEmpty()
+    short = events.join(long_cases, "case_id", "left_anti") if some_long else events
+    out = short.groupBy("case_id").agg(
+        F.array_sort(F.collect_list(row)).alias("a"), F.count(F.lit(1)).alias("event_count"),
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
+    ).select("case_id", F.lit(0).cast("long").alias("part"), F.col("a.activity").alias("activities"), "event_count", "start_ts", "end_ts")
+    if some_long:
+        long = events.join(long_cases, "case_id", "left_semi")
+        parts = (
+            _numbered(long).groupBy("case_id", F.floor(F.col("seq") / part).alias("part"))
+            .agg(F.array_sort(F.collect_list(F.struct("seq", "activity"))).alias("a"))
+            .select("case_id", "part", F.col("a.activity").alias("activities"))
+        )
+        out = out.unionByName(parts.join(_case_sizes(long), "case_id"))
     micros = F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("start_ts").cast("timestamp"))
-    return parts.join(_case_sizes(events), "case_id").withColumn(
-        "duration_ms", F.floor(micros / 1000).cast("long")
-    )
+    return out.withColumn("duration_ms", F.floor(micros / 1000).cast("long"))
 
 
 def variants(trace_parts: DataFrame, k: int = 50, examples: int = 5) -> DataFrame:
     """Different activity sequences by number of cases, the k most frequent.
 
+    One row per variant and part, as in `traces`; `part` is 0 alone for
+    variants of up to that many events.
+
     Sequences are compared by a 128-bit digest over all their parts; the
     activities themselves are only fetched for the k variants returned.
     """
