@@ -43,6 +43,8 @@ STEPS = 300
 RATE = 0.2
 DECAY = 2e-5
 
+SLICE = 1 << 20  # bytes of text measured at a time
+
 CLASSES = {
     "upper": byte_class(range(0x41, 0x5B)),
     "letters": byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B)]),
@@ -64,7 +66,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     many = np.maximum(n, 1)
     total = {}
     for name, members in CLASSES.items():
-        total[name] = np.diff(np.append(0, np.cumsum(members[data], dtype=np.int64))[offsets])
+        total[name] = np.diff(np.append(0, np.cumsum(members[data], dtype=np.int32))[offsets])
     text = np.repeat(np.arange(n_texts), n)
     hashes = words.hashes()
     salt = mix(text.astype(np.uint64))
@@ -181,7 +183,7 @@ def remainder(doc_id: Column) -> Column:
 
 def _measured(batches):
     for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column("text")):
+        for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
             values = measures(data, offsets)
             lists = pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())
             yield pa.RecordBatch.from_arrays([lists], ["x"])
@@ -213,7 +215,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> M
 def _scores(model: Model | None, texts) -> np.ndarray:
     parts = [
         np.full(end - first, 0.5) if model is None else model.score(measures(data, offsets))
-        for first, end, data, offsets in text_slices(texts)
+        for first, end, data, offsets in text_slices(texts, SLICE)
     ]
     return np.concatenate(parts) if parts else np.zeros(0)
 

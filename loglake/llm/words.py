@@ -40,13 +40,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict = {}
+POWER_STEP = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_POWERS.get("up", ())) < n:
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        size = max(n, SLICE_BYTES + 4096)
+        size = -(-n // POWER_STEP) * POWER_STEP
         for name, base in (("up", BASE), ("down", inverse)):
             p = np.full(size, base)
             p[0] = 1
