@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ntz
 from ..operators import dedupe, parse, rollup, usage
 from ..session import scratch
-from ..sources import storage, views
+from ..sources import storage, tables, views
 from .oracle_views import LOGS, PATTERNS, typed
 from .parsing import patterned
 from .rollups import HSTATS, MSTATS, hours, minutes
@@ -126,10 +126,29 @@ def k6_bucket_usage(spark, d):
     return usage.bucket_usage(files, totals, "day").select("day", "events", (F.col("bytes") > 0).alias("has_bytes"))
 
 
+def a9_roll_forward(spark, d):
+    """Two runs over ranges that overlap: each hour and day is counted once."""
+    root, logs = scratch(spark, "tables"), patterned(spark, d)
+    tables.roll_forward(logs, root, ntz("2024-01-05 00:00:00"), ntz("2024-01-07 12:00:00"))
+    tables.roll_forward(logs, root, ntz("2024-01-06 00:00:00"), ntz("2024-01-09 00:00:00"))
+    read = lambda name, key: spark.read.parquet(f"{root}/{name}").select(
+        F.lit(name).alias("name"), F.col(key).alias("window"), "dim", "key", "cnt")
+    return read("hours", "hour").unionByName(read("days", "day"))
+
+
+def e2_stored_issues(spark, d):
+    """The stored issue table after six days, one at a time."""
+    root, logs = scratch(spark, "issues"), patterned(spark, d)
+    for day in range(10, 16):
+        out = tables.roll_issues(logs, root, ntz(f"2024-01-{day} 00:00:00"))
+    return out
+
+
 QUERIES = {f.__name__: f for f in (
     a1_read_raw_lines, a2_read_buckets, a3_bucket_time, a4_write_events, a5_write_report, a6_latest_reports,
     a7_apply_retention, a7_drop_expired, a8_missing_rollups, a9_missing_hours, a9_missing_days,
     *[_export(f) for f in ("csv", "json", "parquet")], a11_page_table, k6_bucket_usage,
+    a9_roll_forward, e2_stored_issues,
 )}
 
 _FIRST = PATTERNS + """,
@@ -137,7 +156,21 @@ fi AS (SELECT *, date_trunc('day', ts) AS bucket, count(*) OVER (PARTITION BY da
   FROM pat QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts), pattern_id ORDER BY ts, event_id) = 1)"""
 _TOP_HOSTS = f"WITH {LOGS} SELECT host, count(*) AS count FROM logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
 
+_ISSUE_DAYS = """d AS (SELECT date_trunc('day', ts) AS day, pattern_id, arg_min(severity, {'t': ts, 'e': event_id}) AS severity,
+    arg_min(message, {'t': ts, 'e': event_id}) AS sample_message FROM pat
+  WHERE severity IN ('err', 'crit') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-16' GROUP BY ALL)"""
+
 ORACLES = {
+    "a9_roll_forward": f"""WITH {HSTATS}, h AS (SELECT * FROM hstats WHERE hour >= TIMESTAMP '2024-01-05' AND hour < TIMESTAMP '2024-01-09'),
+        ds AS (SELECT date_trunc('day', bucket) AS day, dim, key, cast(sum(cnt) AS BIGINT) AS cnt FROM mstats
+          WHERE dim IN ('severity', 'host', 'app', 'total', 'unique') AND bucket >= TIMESTAMP '2024-01-05' AND bucket < TIMESTAMP '2024-01-09' GROUP BY ALL),
+        dr AS (SELECT *, row_number() OVER (PARTITION BY day, dim ORDER BY cnt DESC, key) AS r FROM ds)
+        SELECT 'hours' AS name, hour AS "window", dim, key, cnt FROM h
+        UNION ALL SELECT 'days', day, dim, key, cnt FROM dr WHERE r <= 10 OR dim = 'severity'""",
+    "e2_stored_issues": f"""WITH {PATTERNS}, {_ISSUE_DAYS}
+        SELECT pattern_id, min(day) AS first_seen, max(day) AS last_seen,
+          CASE WHEN max(day) = TIMESTAMP '2024-01-15' THEN 'active' ELSE 'resolved' END AS status,
+          arg_max(severity, day) AS severity, arg_max(sample_message, day) AS sample_message FROM d GROUP BY pattern_id""",
     "a1_read_raw_lines": f"WITH {LOGS} SELECT date_trunc('second', ts) AS ts, host, app, severity, facility, message, transport FROM logs",
     "a2_read_buckets": f"""WITH {_FIRST} SELECT bucket, pattern_id, host, occurrences, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp
         FROM fi WHERE bucket >= TIMESTAMP '2024-01-10' AND bucket < TIMESTAMP '2024-01-12'""",

@@ -198,6 +198,36 @@ def missing_windows(reports: DataFrame, start: Column, end: Column, step: str =
     return wanted.join(reports.select(key).distinct(), key, "left_anti")
 
 
+def read_version(spark: SparkSession, root: str) -> DataFrame | None:
+    """Newest complete version of a table kept by `write_version`; None if there is none."""
+    versions = _versions(spark, root)
+    return spark.read.parquet(f"{root}/version={versions[-1]:09d}") if versions else None
+
+
+def write_version(df: DataFrame, root: str, keep: int = 2) -> None:
+    """Replace a table safely: a new version beside the old one, which may be what `df` reads.
+
+    Spark's success mark makes a version visible, so a lost job leaves the old
+    one in place; older versions than the newest `keep` are deleted.
+    """
+    spark = df.sparkSession
+    versions = _versions(spark, root)
+    df.write.mode("overwrite").parquet(f"{root}/version={(versions[-1] + 1 if versions else 0):09d}")
+    for old in _versions(spark, root)[:-keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version={old:09d}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(base)]
+    found = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(v for v in found if _exists(spark, f"{root}/version={v:09d}/_SUCCESS"))
+
+
 def export_table(df: DataFrame, fmt: str, path: str) -> None:
     """Write a result as csv (with header), json or parquet."""
     writer = df.write.mode("overwrite")

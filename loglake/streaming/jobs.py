@@ -220,6 +220,9 @@ def start_alerts(events: DataFrame, path: str, checkpoint: str, threshold: int,
 _ISSUE_ROW = "pattern_id string, day timestamp, state string, severity string"
 _ISSUE_STATE = "first_day timestamp, last_day timestamp, severity string, active boolean"
 _DAY_MS = 86_400_000
+# A resolved pattern is forgotten after so many days; its rows stand in the
+# stored issue table, and if it comes back later it starts as new.
+EXPIRE_DAYS = 90
 
 
 def error_pattern_days(events: DataFrame, errors: list[str], delay: str = "1 hour") -> DataFrame:
@@ -236,9 +239,15 @@ def _advance(key, frames, state: GroupState):
     """One pattern: its new days in order, or the time-out that closes it."""
     rows = []
     if state.hasTimedOut:
-        first, last, severity, _ = state.get
-        rows.append((key[0], pd.Timestamp(last) + pd.Timedelta(days=1), "resolved", severity))
-        state.update((first, last, severity, False))
+        first, last, severity, active = state.get
+        if active:
+            rows.append((key[0], pd.Timestamp(last) + pd.Timedelta(days=1), "resolved", severity))
+            state.update((first, last, severity, False))
+            state.setTimeoutTimestamp(max(
+                int(pd.Timestamp(last).timestamp() * 1000) + EXPIRE_DAYS * _DAY_MS, state.getCurrentWatermarkMs() + 1
+            ))
+        else:
+            state.remove()
         yield pd.DataFrame(rows, columns=["pattern_id", "day", "state", "severity"])
         return
     days = pd.concat(list(frames)).sort_values("day")
@@ -270,7 +279,8 @@ def stream_issue_state(pattern_days: DataFrame, delay: str = "1 day") -> DataFra
     """Lifecycle rows (new, ongoing, reopened, resolved) from pattern days.
 
     `pattern_days` has one row per pattern and day, so a task sees at most
-    one row per day of a pattern, however frequent the pattern is.
+    one row per day of a pattern, however frequent the pattern is.  State is
+    kept until a pattern has been quiet for `EXPIRE_DAYS`.
     """
     return (
         pattern_days.withWatermark("day", delay)
@@ -307,10 +317,11 @@ def start_usage_quota(
         if batch.isEmpty():  # no window has closed yet
             batch.unpersist()
             return
-        rows = batch.withColumn("dt", F.to_date("timestamp_hour"))
-        rows.write.mode("overwrite").partitionBy("dt").parquet(f"{path}/hourly/batch={batch_id}")
-        # Only the day folders the batch touches are read again.
-        hourly = spark.read.parquet(f"{path}/hourly").join(rows.select("dt").distinct(), "dt", "left_semi")
+        rows = batch.withColumn("dt", F.to_date("timestamp_hour")).withColumn("batch", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(f"{path}/hourly")
+        # Only the folders of the days the batch touches are listed and read again: as many as windows are open.
+        days = [r.dt for r in rows.select("dt").distinct().collect()]
+        hourly = spark.read.option("basePath", f"{path}/hourly").parquet(*[f"{path}/hourly/dt={d}" for d in days]).drop("batch")
         usage.quota_by_day(usage.daily_usage(hourly), projects, plans).write.mode("overwrite").parquet(
             f"{path}/quota/batch={batch_id}"
         )

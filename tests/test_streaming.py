@@ -99,7 +99,10 @@ def test_forwarding_goes_on_when_a_sink_fails(spark, tmp_path):
     def broken(batch):
         raise RuntimeError("down")
 
-    run(jobs.forward_events(s, [broken, lambda b: b.write.mode("append").json(out)], str(tmp_path / "cp")))
+    sinks = {"bad": broken, "good": lambda b: b.write.mode("append").json(out)}
+    run(jobs.forward_events(s, sinks, str(tmp_path / "cp"), str(tmp_path / "dead")))
+    dead = spark.read.parquet(str(tmp_path / "dead"))
+    assert dead.count() == 30 and {(r.sink, r.error) for r in dead.select("sink", "error").collect()} == {("bad", "down")}
     assert spark.read.json(out).count() == 30
 
 
