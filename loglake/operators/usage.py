@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of, in_zone
@@ -14,28 +14,38 @@ MB = 1024 * 1024
 
 
 def hourly_usage(events: DataFrame, project: str = "tenant_id", errors=tuple(USAGE_ERRORS)) -> DataFrame:
-    """`(project_id, timestamp_hour, event_count, error_count, unique_hosts)`."""
+    """`(project_id, timestamp_hour, event_count, error_count, unique_hosts, data_size_bytes)`.
+
+    Bytes are those of the messages.
+    """
     return events.groupBy(
         F.col(project).alias("project_id"), bucket_of(F.col("ts"), "hour").alias("timestamp_hour")
     ).agg(
         F.count(F.lit(1)).alias("event_count"),
         F.count_if(F.col("severity").isin(list(errors))).alias("error_count"),
         F.count_distinct("host").alias("unique_hosts"),
+        F.coalesce(F.sum(F.octet_length("message")), F.lit(0)).cast("long").alias("data_size_bytes"),
     )
 
 
 def merge_usage(old: DataFrame, delta: DataFrame, mode: str = "add") -> DataFrame:
-    """New hourly counts into the stored ones: `add` for live counts, `replace` for a backfill."""
+    """New hourly counts into the stored ones: `add` for live counts, `replace` for a backfill.
+
+    Added hosts cannot be told apart from known ones, so `unique_hosts` keeps
+    the larger number there.
+    """
     if mode not in ("add", "replace"):
         raise ValueError(f"unknown mode {mode!r}")
     keys = ["project_id", "timestamp_hour"]
-    counts = ["event_count", "error_count"]
+    counts = [c for c in ("event_count", "error_count", "unique_hosts", "data_size_bytes") if c in old.columns and c in delta.columns]
     new = delta.select(*keys, *[F.col(c).alias(f"_{c}") for c in counts])
 
     def merged(c):
-        if mode == "add":
-            return F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))
-        return F.coalesce(F.col(f"_{c}"), F.col(c))
+        if mode == "replace":
+            return F.coalesce(F.col(f"_{c}"), F.col(c))
+        if c == "unique_hosts":
+            return F.greatest(c, f"_{c}")
+        return F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))
 
     return old.select(*keys, *counts).join(new, keys, "full_outer").select(
         *keys, *[merged(c).alias(c) for c in counts]
@@ -43,15 +53,22 @@ def merge_usage(old: DataFrame, delta: DataFrame, mode: str = "add") -> DataFram
 
 
 def daily_usage(hourly: DataFrame, tz: str = "UTC") -> DataFrame:
-    """`(project_id, date, event_count, error_count, peak_events_per_hour)`."""
+    """`(project_id, date, event_count, error_count, peak_events_per_hour[, total_data_size_bytes])`."""
+    size = [F.sum("data_size_bytes").alias("total_data_size_bytes")] if "data_size_bytes" in hourly.columns else []
     return hourly.groupBy(
         "project_id", bucket_of(in_zone(F.col("timestamp_hour"), tz), "day").alias("date")
     ).agg(
         F.sum("event_count").alias("event_count"), F.sum("error_count").alias("error_count"),
-        F.max("event_count").alias("peak_events_per_hour"),
+        F.max("event_count").alias("peak_events_per_hour"), *size,
     )
 
 
+def with_storage(daily: DataFrame) -> DataFrame:
+    """Add `storage_bytes`, the bytes received up to each day; one row per project and day."""
+    so_far = Window.partitionBy("project_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return daily.withColumn("storage_bytes", F.sum("total_data_size_bytes").over(so_far))
+
+
 def usage_history(df: DataFrame, project: str, since: Column) -> DataFrame:
     """Hourly or daily rows of a project from `since` on, in time order."""
     at = "timestamp_hour" if "timestamp_hour" in df.columns else "date"
@@ -95,10 +112,6 @@ def bucket_usage(files: DataFrame, totals: DataFrame, unit: str = "hour") -> Dat
     )
 
 
-def storage_total(files: DataFrame) -> DataFrame:
-    return files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("storage_bytes"))
-
-
 def last_event_at(hourly: DataFrame) -> DataFrame:
     return hourly.where("event_count > 0").groupBy("project_id").agg(
         F.max("timestamp_hour").alias("last_event_at")

@@ -19,7 +19,7 @@ def _hourly(spark, d):
 
 
 def _daily(spark, d):
-    return usage.daily_usage(_hourly(spark, d)).withColumn("storage_bytes", F.col("event_count") * 4096)
+    return usage.with_storage(usage.daily_usage(_hourly(spark, d)))
 
 
 def _projects(spark, d):
@@ -36,7 +36,7 @@ def k1_hourly_usage(spark, d):
 
 def _merged(mode):
     def query(spark, d):
-        h = _hourly(spark, d).drop("unique_hosts")
+        h = _hourly(spark, d)
         old = h.where(F.col("timestamp_hour") < ntz(DAY))
         delta = h.where(F.col("timestamp_hour") >= ntz("2024-01-15 00:00:00"))
         return usage.merge_usage(old, delta, mode)
@@ -132,9 +132,11 @@ QUERIES = {f.__name__: f for f in (
 
 HU = LOGS + """,
 hu AS (SELECT tenant_id AS project_id, date_trunc('hour', ts) AS timestamp_hour, count(*) AS event_count,
-  count(*) FILTER (severity IN ('err', 'crit')) AS error_count, count(DISTINCT host) AS unique_hosts FROM logs GROUP BY 1, 2),
+  count(*) FILTER (severity IN ('err', 'crit')) AS error_count, count(DISTINCT host) AS unique_hosts,
+  cast(sum(strlen(message)) AS BIGINT) AS data_size_bytes FROM logs GROUP BY 1, 2),
 du AS (SELECT project_id, date_trunc('day', timestamp_hour) AS date, cast(sum(event_count) AS BIGINT) AS event_count,
-  cast(sum(error_count) AS BIGINT) AS error_count, max(event_count) AS peak_events_per_hour FROM hu GROUP BY 1, 2)"""
+  cast(sum(error_count) AS BIGINT) AS error_count, max(event_count) AS peak_events_per_hour,
+  cast(sum(data_size_bytes) AS BIGINT) AS total_data_size_bytes FROM hu GROUP BY 1, 2)"""
 PJ = HU + """,
 pj AS (SELECT DISTINCT tenant_id AS project_id, concat('Project ', tenant_id) AS name,
   CASE tenant_id WHEN 't0' THEN 'starter' WHEN 't1' THEN 'professional' WHEN 't2' THEN 'business' ELSE 'starter' END AS plan_id,
@@ -146,10 +148,11 @@ pp AS (SELECT *, cast(coalesce(custom, day_limit) AS BIGINT) AS lim FROM pj JOIN
 _COLOUR = "CASE WHEN {p} >= 100 THEN 'red' WHEN {p} >= 90 THEN 'orange' WHEN {p} >= 80 THEN 'yellow' ELSE 'green' END"
 
 
-def _merge_sql(value):
+def _merge_sql(value, hosts):
     return f"""WITH {HU}, a AS (SELECT * FROM hu WHERE timestamp_hour < TIMESTAMP '{DAY}'),
       b AS (SELECT * FROM hu WHERE timestamp_hour >= TIMESTAMP '2024-01-15')
-      SELECT project_id, timestamp_hour, {value.format(c='event_count')} AS event_count, {value.format(c='error_count')} AS error_count
+      SELECT project_id, timestamp_hour, {value.format(c='event_count')} AS event_count, {value.format(c='error_count')} AS error_count,
+        {hosts} AS unique_hosts, {value.format(c='data_size_bytes')} AS data_size_bytes
       FROM a FULL OUTER JOIN b USING (project_id, timestamp_hour)"""
 
 
@@ -162,7 +165,8 @@ VIEW = PJ + f""",
 cur AS ({_CUR.format(l='timestamp_hour', n=_NOW)}),
 pv AS (SELECT project_id, name, plan_id, plan_name, status, coalesce(current_day, 0) AS current_day_events,
   coalesce(current_hour, 0) AS current_hour_events, lim AS daily_limit, coalesce(current_day, 0) / lim * 100 AS up,
-  coalesce((SELECT arg_max(event_count, date) * 4096 / 1048576 FROM du WHERE du.project_id = pp.project_id
+  coalesce((SELECT arg_max(stored, date) / 1048576 FROM (
+    SELECT *, sum(total_data_size_bytes) OVER (PARTITION BY project_id ORDER BY date) AS stored FROM du) du WHERE du.project_id = pp.project_id
     AND date >= TIMESTAMP '{DAY}' - INTERVAL 2 DAY), 0.0) AS sm,
   (SELECT max(timestamp_hour) FROM hu WHERE hu.project_id = pp.project_id) AS last_event_at
   FROM pp LEFT JOIN cur USING (project_id))"""
@@ -170,12 +174,12 @@ _USED = f"LEFT JOIN (SELECT project_id, event_count AS used FROM du WHERE date =
 
 ORACLES = {
     "k1_hourly_usage": f"WITH {HU} SELECT * FROM hu",
-    "k2_merge_add": _merge_sql("coalesce(a.{c}, 0) + coalesce(b.{c}, 0)"),
-    "k2_merge_replace": _merge_sql("coalesce(b.{c}, a.{c})"),
+    "k2_merge_add": _merge_sql("coalesce(a.{c}, 0) + coalesce(b.{c}, 0)", "greatest(a.unique_hosts, b.unique_hosts)"),
+    "k2_merge_replace": _merge_sql("coalesce(b.{c}, a.{c})", "coalesce(b.unique_hosts, a.unique_hosts)"),
     "k3_daily_usage": f"WITH {HU} SELECT * FROM du",
     "k3_daily_usage_tz": f"""WITH {HU} SELECT project_id, date_trunc('day', {_TEH.format(x='timestamp_hour')}) AS date,
         cast(sum(event_count) AS BIGINT) AS event_count, cast(sum(error_count) AS BIGINT) AS error_count,
-        max(event_count) AS peak_events_per_hour FROM hu GROUP BY 1, 2""",
+        max(event_count) AS peak_events_per_hour, cast(sum(data_size_bytes) AS BIGINT) AS total_data_size_bytes FROM hu GROUP BY 1, 2""",
     "k4_hourly_history": f"WITH {HU} SELECT * FROM hu WHERE project_id = 't1' AND timestamp_hour >= TIMESTAMP '2024-01-24'",
     "k4_daily_history": f"WITH {HU} SELECT * FROM du WHERE project_id = 't1' AND date >= TIMESTAMP '2024-01-10'",
     "k4_usage_range": f"""WITH {HU} SELECT cast(sum(event_count) AS BIGINT) AS event_count FROM hu WHERE project_id = 't2'
