@@ -166,9 +166,9 @@ def _found_types(spans: Column) -> Column:
 
 
 def classify_text(df: DataFrame, text: str = "text", types=None, strict: bool = False) -> DataFrame:
-    """Add classification, risk level, number and types of matches.
+    """Add classification, risk level, number and types of matches, and the matches themselves.
 
-    `strict` counts tokens and cloud keys among the secrets.
+    A match is (pii_type, masked, confidence), in detector order.  `strict` counts tokens and cloud keys among the secrets.
     """
     s = with_spans(df, text, types, "_spans").withColumn("pii_types", _found_types(F.col("_spans")))
 
@@ -190,6 +190,8 @@ def classify_text(df: DataFrame, text: str = "text", types=None, strict: bool =
         .withColumn("risk_level", risk.otherwise("low"))
         .withColumn("pii_count", F.size("_spans"))
         .withColumn("pii_detected", F.col("pii_count") > 0)
+        .withColumn("matches", F.expr(f"""transform(_spans, s -> named_struct(
+            'pii_type', s.pii_type, 'masked', {masked_sql("s.pii_type", "s.original")}, 'confidence', s.confidence))"""))
         .drop("_spans")
     )
 

@@ -68,6 +68,10 @@ def j4_classify(spark, d):
     )
 
 
+def j4_matches(spark, d):
+    return compliance.classify_text(_texts(spark, d)).select("id", F.inline("matches"))
+
+
 def j5_validate(spark, d):
     out = compliance.validate_compliance(_texts(spark, d), max_pii=1, allowed=["email", "phone"])
     return out.select("id", "pii_count", "compliant", F.array_join(F.transform("violations", lambda v: v["rule"]), ",").alias("rules"))
@@ -91,7 +95,7 @@ def j7_apply_policy(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     j1_pii_matches, j1_pii_matches_logs, j1_secrets, j2_mask_ip, j2_mask_all, j2_mask_logs, j3_redact_all,
-    j3_redact_spaced, j4_classify, j5_validate,
+    j3_redact_spaced, j4_matches, j4_classify, j5_validate,
     j6_scan_summary, j6_scan_affected, j7_apply_policy,
 )}
 
@@ -166,6 +170,7 @@ ORACLES = {
           WHEN list_contains(ts, 'ip_address') THEN 'internal|medium' ELSE 'public|low' END AS c FROM per)
         SELECT id, split_part(c, '|', 1) AS classification, split_part(c, '|', 2) AS risk_level, pii_count > 0 AS pii_detected,
           pii_count, pii_types FROM c""",
+    "j4_matches": f"WITH {_DOC} SELECT id, pii_type, masked, confidence FROM m",
     "j5_validate": f"""WITH {_PER}, v AS (SELECT id, pii_count, pii_count > 1 AS v1,
           len(list_filter(ts, lambda t: t NOT IN ('email', 'phone'))) > 0 AS v2 FROM per)
         SELECT id, pii_count, NOT (v1 OR v2) AS compliant, concat_ws(',', CASE WHEN v1 THEN 'max_pii_count' END,

@@ -90,7 +90,7 @@ _ISO = "strftime({x}, '%Y-%m-%dT%H:%M:%S+00:00')"
 _SUMMARY = """concat('Local model unavailable, generated deterministic summary.', chr(10), 'Total events: ', total_events, chr(10), sevs,
   CASE WHEN key_samples IS NOT NULL THEN concat(chr(10), 'Key samples:', chr(10), key_samples) ELSE '' END)"""
 _NL = "chr(10)"
-_ALERT_STATS = f"""concat('Statistics:', {_NL}, '• Total Events: ', format('{{:,}}', total_events),
+ALERT_STATS = f"""concat('Statistics:', {_NL}, '• Total Events: ', format('{{:,}}', total_events),
    CASE WHEN errs IS NOT NULL THEN concat({_NL}, '• Errors: ', errs) ELSE '' END, {_NL}, '• Top Hosts: ', ha3, {_NL}, '• Top Apps: ', a3)"""
 
 ORACLES = {
@@ -133,7 +133,7 @@ ORACLES = {
             THEN concat(left(message, 77), '...') ELSE message END, ' (', occurrences, 'x)'), chr(10) ORDER BY er) FILTER (er <= 5),
             CASE WHEN max(n) > 5 THEN concat(chr(10), '• ... and ', max(n) - 5, ' more errors') ELSE '' END) AS app_errors FROM eh GROUP BY hour)
         SELECT hour, total_events, total_errors, concat_ws(chr(10) || chr(10), concat('High Error Count: ', total_errors, ' errors'),
-          app_errors, {_ALERT_STATS}) AS body FROM wide LEFT JOIN ae USING (hour) WHERE total_errors >= 5""",
+          app_errors, {ALERT_STATS}) AS body FROM wide LEFT JOIN ae USING (hour) WHERE total_errors >= 5""",
     "l3_alerts_anomaly": f"""WITH {HSTATS}, {WIDE} SELECT hour, total_events, total_errors,
-        concat('Anomaly: Spike of logins seen', chr(10), chr(10), {_ALERT_STATS}) AS body FROM wide WHERE hour(hour) = 3""",
+        concat('Anomaly: Spike of logins seen', chr(10), chr(10), {ALERT_STATS}) AS body FROM wide WHERE hour(hour) = 3""",
 }

@@ -68,7 +68,7 @@ def g1_run_query(spark, d):
 def g2_describe_tables(spark, d):
     names = ("events", "documents", "nation", "region")
     return sql_surface.describe_tables(spark, {n: views.table(spark, d, n) for n in names}).select(
-        "table", "position", "column", "row_count"
+        "table", "position", "column", "type", "row_count"
     )
 
 
@@ -137,10 +137,11 @@ ORACLES = {
     "g1_run_query": _SQL.replace(":since", "TIMESTAMP '1995-01-01'").replace(":least", "2").replace(
         "sum(orders)", "cast(sum(orders) AS BIGINT)"),
     "g2_describe_tables": """WITH c AS (SELECT table_name AS "table", cast(column_index AS INTEGER) AS position,
-          column_name AS "column" FROM duckdb_columns() WHERE table_name IN ('events', 'documents', 'nation', 'region')),
+          column_name AS "column", CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+          WHEN 'INTEGER' THEN 'int' ELSE lower(data_type) END AS "type" FROM duckdb_columns() WHERE table_name IN ('events', 'documents', 'nation', 'region')),
         n AS (SELECT 'events' AS "table", count(*) AS row_count FROM events UNION ALL SELECT 'documents', count(*) FROM documents
           UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region)
-        SELECT "table", position - (SELECT min(position) FROM c) AS position, "column", row_count FROM c JOIN n USING ("table")""",
+        SELECT "table", position - (SELECT min(position) FROM c) AS position, "column", "type", row_count FROM c JOIN n USING ("table")""",
     "g3_table_stats": f"""WITH {LOGS} SELECT count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts,
         count(DISTINCT tenant_id) AS tenant_count FROM logs""",
     "g4_profile_column": f"""WITH {_NULLABLE} SELECT 'message' AS "column", {_PROFILE} FROM cells WHERE "column" = 'message'""",

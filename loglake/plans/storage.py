@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import ntz
-from ..operators import dedupe, parse, rollup, usage
+from ..operators import dedupe, parse, usage
 from ..session import scratch
 from ..sources import storage, tables, views
 from .oracle_views import LOGS, PATTERNS, typed
@@ -101,9 +101,8 @@ def a9_missing_days(spark, d):
 def _export(fmt):
     def query(spark, d):
         path = scratch(spark, "export")
-        df = rollup.chart_top_hosts(views.logs(spark, d))
-        storage.export_table(df, fmt, path)
-        reader = spark.read.schema("host string, count long")
+        storage.export_table(views.logs(spark, d).select("event_id", "ts", "host", "severity", "message"), fmt, path)
+        reader = spark.read.schema("event_id long, ts timestamp_ntz, host string, severity string, message string")
         return (reader.option("header", "true") if fmt == "csv" else reader).format(fmt).load(path)
     query.__name__ = f"a10_export_{fmt}"
     return query
@@ -154,7 +153,7 @@ QUERIES = {f.__name__: f for f in (
 _FIRST = PATTERNS + """,
 fi AS (SELECT *, date_trunc('day', ts) AS bucket, count(*) OVER (PARTITION BY date_trunc('day', ts), pattern_id) AS occurrences
   FROM pat QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts), pattern_id ORDER BY ts, event_id) = 1)"""
-_TOP_HOSTS = f"WITH {LOGS} SELECT host, count(*) AS count FROM logs GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
+_EXPORTED = f"WITH {LOGS} SELECT event_id, ts, host, severity, message FROM logs"
 
 _ISSUE_DAYS = """d AS (SELECT date_trunc('day', ts) AS day, pattern_id, arg_min(severity, {'t': ts, 'e': event_id}) AS severity,
     arg_min(message, {'t': ts, 'e': event_id}) AS sample_message FROM pat
@@ -192,7 +191,7 @@ ORACLES = {
     "a9_missing_days": f"""WITH {LOGS} SELECT h AS window_start FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01',
           TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS h)
         WHERE h NOT IN (SELECT date_trunc('day', ts) FROM logs WHERE severity = 'crit' AND event_id % 40 = 1)""",
-    **{f"a10_export_{f}": _TOP_HOSTS for f in ("csv", "json", "parquet")},
+    **{f"a10_export_{f}": _EXPORTED for f in ("csv", "json", "parquet")},
     "a11_page_table": """SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 1000
         ORDER BY o_orderkey DESC LIMIT 25 OFFSET 50""",
     "k6_bucket_usage": f"""WITH {_FIRST}, b AS (SELECT bucket, count(*) AS lines, cast(sum(occurrences) AS BIGINT) AS total FROM fi GROUP BY 1)

@@ -15,6 +15,8 @@ from ..session import scratch
 from ..sources import storage, views
 from ..streaming import jobs
 from .oracle_views import LOGS, PATTERNS, typed
+from .reports import ALERT_STATS, WIDE
+from .rollups import HSTATS
 from .storage import raw_folder
 from .usage import PJ, _COLOUR, _plans, _projects
 
@@ -103,7 +105,7 @@ def n7_stream_usage_quota(spark, d):
 
 def n8_stream_alerts(spark, d):
     path = _batches(spark, jobs.start_alerts, log_stream(spark, d), 5)
-    return _plain(spark.read.parquet(path), "hour").select("hour", "total_events", "total_errors")
+    return _plain(spark.read.parquet(path), "hour").select("hour", "total_events", "total_errors", "body")
 
 
 def f4_tail_stream(spark, d):
@@ -189,9 +191,9 @@ ORACLES = {
         r AS (SELECT *, CASE WHEN act THEN u / l * 100 ELSE 100.0 END AS p FROM q)
         SELECT project_id, date, {_COLOUR.format(p='p')} AS quota_status, u AS usage_count, l AS "limit",
           round(p, 4) AS usage_percent, p >= 100 AS exceeded FROM r""",
-    "n8_stream_alerts": f"""WITH {LOGS} SELECT date_trunc('hour', ts) AS hour, count(*) AS total_events,
-        count(*) FILTER (severity IN ('err', 'crit')) AS total_errors FROM logs GROUP BY 1
-        HAVING count(*) FILTER (severity IN ('err', 'crit')) >= 5 AND {_closed('hour', '1 HOUR', '10 MINUTE')}""",
+    "n8_stream_alerts": f"""WITH {HSTATS}, {WIDE} SELECT hour, total_events, total_errors,
+        concat_ws(chr(10) || chr(10), concat('High Error Count: ', total_errors, ' errors'), {ALERT_STATS}) AS body
+        FROM wide WHERE total_errors >= 5 AND {_closed('hour', '1 HOUR', '10 MINUTE')}""",
     "f4_tail_stream": f"WITH {LOGS} SELECT host, app, severity, message FROM logs WHERE event_id % 10 <> 0",
     "a12_forward_events": f"WITH {PATTERNS} SELECT event_id, host, pattern_id FROM pat",
     "a12_forward_failing_sink": f"WITH {PATTERNS} SELECT event_id, host, pattern_id, unnest(['good', 'bad']) AS sink FROM pat",

@@ -229,8 +229,11 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def export_table(df: DataFrame, fmt: str, path: str) -> None:
-    """Write a result as csv (with header), json or parquet."""
-    writer = df.write.mode("overwrite")
+    """Write a result as csv (with header), json or parquet; times keep their microseconds."""
+    writer = (
+        df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    )
     if fmt == "csv":
         writer.option("header", "true").csv(path)
     elif fmt == "json":
