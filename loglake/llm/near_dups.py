@@ -251,8 +251,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = sketched.select("doc_id", "text_hash", "key", "n_words")
     labelled = rows.join(components(links), "key", "left").withColumn("label", F.coalesce("label", "key"))
     first = F.min(F.struct("doc_id", "text_hash"))
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    groups = labelled.groupBy("label").agg(first.alias("first"), F.count(F.lit(1)).alias("group_docs"))
+    # Written first: a join with a table can split the rows of a large group over many tasks,
+    # a join with an aggregate on the same key cannot.
+    classes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("class_id")), "class_ids")
+    groups = stored(labelled.groupBy("label").agg(first.alias("first"), F.count(F.lit(1)).alias("group_docs")), "groups")
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     return labelled.join(classes, "key").join(groups, "label").select(
         "doc_id", "text_hash", "n_words", "class_id", F.col("first.doc_id").alias("group_id"), "group_docs", kept.alias("kept")
