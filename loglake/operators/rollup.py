@@ -72,11 +72,19 @@ def _long_counts(facts: DataFrame, host_apps: bool = True) -> DataFrame:
 
 def minute_stats(events: DataFrame, tz: str = "UTC", bucket: str = "minute") -> DataFrame:
     """Counts per minute by severity, host, app, host/app, pattern; total and unique."""
-    facts = event_facts(events, bucket, tz)
-    # Both parts read the same exchange of facts; only (bucket, pattern) pairs are counted for `unique`.
-    unique = facts.select("bucket", "pattern_id").distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("cnt"))
-    counts = _long_counts(facts.withColumn("u", F.lit(0).cast("long"))).drop("u")
-    return counts.unionByName(unique.select("bucket", F.lit("unique").alias("dim"), F.lit("").alias("key"), "cnt"))
+    facts = event_facts(events, bucket, tz).withColumn("u", F.lit(0).cast("long"))
+    counts = _long_counts(facts).drop("u")
+    # Each pattern row also adds one to `unique`, so the events are read once;
+    # a union with a count of its own would read them twice, as Spark prunes
+    # the two branches to different columns and reuses no exchange.
+    row = F.struct("dim", "key", "cnt")
+    one = F.struct(F.lit("unique").alias("dim"), F.lit("").alias("key"), F.lit(1).cast("long").alias("cnt"))
+    both = F.when(F.col("dim") == "pattern", F.array(row, one)).otherwise(F.array(row))
+    return (
+        counts.select("bucket", F.explode(both).alias("r"))
+        .groupBy("bucket", F.col("r.dim").alias("dim"), F.col("r.key").alias("key"))
+        .agg(F.sum("r.cnt").alias("cnt"))
+    )
 
 
 def rebuild_minute_stats(stored: DataFrame) -> DataFrame:
