@@ -1,7 +1,7 @@
 """Token ids of many texts: only words not seen before go through the tokenizer.
 
 A text is cut at places where the tokenizer's own pre-split always cuts:
-before white space that follows other text, after a line feed, and between an
+before white space that follows other text, after a single line feed, and between an
 ASCII letter or digit and ASCII punctuation.  The ids of a text are then the
 ids of its pieces, and equal pieces are encoded once per task process.
 """
@@ -74,8 +74,10 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(n_texts + 1, np.int64)
         space, word = SPACE[data], ASCII_WORD[data]
         cut = np.zeros(len(data), bool)
+        # A line feed that ends a longer run of white space is split off by look-ahead alone.
+        longer = np.append(False, space[:-2])[: len(data) - 1]
         cut[1:] = (space[1:] & ~space[:-1]) | (word[:-1] & ASCII_SIGN[data[1:]]) | (
-            (data[:-1] == 0x0A) & ~space[1:]
+            (data[:-1] == 0x0A) & ~space[1:] & ~longer
         )
         odd = odd_texts(data, offsets)
         for i in odd:
