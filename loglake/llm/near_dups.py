@@ -4,24 +4,34 @@ Two documents are near copies if the edit similarity of their word sequences
 (1 - edit distance / words of the longer one) is at least `SIMILARITY`.  Words
 are runs of letters, digits and non-ASCII characters, in lower case.
 
+The ranges of word counts below are laid out for a similarity of 0.8 or more.
+
 1. Documents with the same words are one class, so copies cost nothing later.
-2. Order MinHash: every run of 5 words is labelled with its occurrence number
-   in the text; a sketch takes the 2 labelled runs with the least hashes and
-   keeps them in text order.  Texts that share most runs in the same order
-   share a sketch with high probability; `SKETCHES` sketches are tried.
-3. Classes that share a sketch form a bucket.  Each is aligned with the
-   bucket's leader, never with all others.  Those that are no near copies of
-   the leader go on to smaller buckets, keyed by one more sketch, until no
-   bucket has two members left.
-4. Alignment keeps to a band around the diagonal as wide as the similarity
+2. Keys that near copies share.  Texts of up to `SHORT` words: all that is
+   left when up to as many words are taken out as may be edited; near copies
+   have one of these in common for certain.  Longer texts: order MinHash, where
+   every run of words is labelled with its occurrence number in the text; a
+   sketch takes the 2 labelled runs with the least hashes and keeps them in text
+   order, and `SKETCHES` sketches are taken.  Runs have 2 words up to `MIDDLE`
+   words and 3 words above.  The ranges overlap by as much as near copies can
+   differ in length, so that any two of them have keys of one kind.
+3. Classes that share a key form a bucket.  Each is aligned with the bucket's
+   leader first, `LEADERS` times over with another leader; a bucket's next leader
+   is the least member that the links so far do not connect with the last one.
+4. What is still in different groups within a bucket is compared in blocks of
+   `BLOCK` classes: pairs whose word counts rule out the similarity are dropped,
+   all others are aligned.  So every pair that shares a key is connected by
+   links or aligned.
+5. Alignment keeps to a band around the diagonal as wide as the similarity
    allows, and gives the exact edit distance within it.
-5. Linked classes form groups (connected components, labels passed along links
+6. Linked classes form groups (connected components, labels passed along links
    and shortened until nothing changes).
 
-Recall is that of the sketches: a pair whose runs have Jaccard similarity J
-(in the same order) shares one with probability 1 - (1 - J**2)**20: 0.99 at
-J = 0.45, which is about one word in twenty changed.  Documents under 5 words
-are compared whole.
+Recall is that of the keys: 1 for texts of up to `SHORT` words; above, a pair
+whose runs have Jaccard similarity J (in the same order) shares a sketch with
+probability 1 - (1 - J**2)**60.  With 20 % of the words changed J is about 0.34
+for changes at random places, which gives 0.999, and 0.25 where no two changes
+are within a run, which gives 0.98.
 
 Defined results: a null text counts as empty; texts without words are copies
 only if they are equal; rows without an id or with repeated ids are rows of
@@ -31,6 +41,8 @@ then the least hash of its text; an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,10 +52,14 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .words import ALNUM, LOWER, Words, edit_distance, mix, powers, text_slices, windows
 
-RUN = 5
+LEAST, SHORT, MIDDLE = 4, 14, 31  # words
+RUNS = ((2, 12, MIDDLE), (3, 26, None))  # words of a run, and of the texts it is used for
 SAMPLED = 2
-SKETCHES = 20
+SKETCHES = 60
 SIMILARITY = 0.8
+LEADERS = 2
+BLOCK = 256
+BINS = 256  # of word counts
 MOST = np.uint64(2**64 - 1)
 SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 OTHER = np.uint64(0xA0761D6478BD642F)
@@ -58,7 +74,7 @@ def _sums(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(spread ^ np.diff(first).astype(np.uint64) * OTHER)
 
 
-def order_sketches(hashes: np.ndarray, first: np.ndarray, n: int, sampled: int = SAMPLED, run: int = RUN) -> np.ndarray:
+def order_sketches(hashes: np.ndarray, first: np.ndarray, n: int, sampled: int = SAMPLED, run: int = RUNS[-1][0]) -> np.ndarray:
     """n sketches of each text with `run` words or more; zeros for shorter ones."""
     counts = np.diff(first)
     out = np.zeros((len(counts), n), np.uint64)
@@ -100,7 +116,31 @@ def order_sketches(hashes: np.ndarray, first: np.ndarray, n: int, sampled: int =
     return out
 
 
-def _sketched(n: int):
+def left_overs(words: np.ndarray, most: int) -> np.ndarray:
+    """Keys of what is left of a text when up to `most` words are taken out."""
+    kept = [np.delete(words, gone) for k in range(most + 1) for gone in combinations(range(len(words)), k)]
+    return np.unique(_sums(np.concatenate(kept), np.cumsum([0, *map(len, kept)])))
+
+
+def keys_of_texts(hashes: np.ndarray, first: np.ndarray, n: int, similarity: float = SIMILARITY) -> list[np.ndarray | None]:
+    """The keys each text shares with its near copies; none for texts that have no other near copy."""
+    counts = np.diff(first)
+    out: list = [[] for _ in counts]
+    for i in np.flatnonzero((counts >= LEAST) & (counts <= SHORT)).tolist():
+        out[i].append(left_overs(hashes[first[i] : first[i + 1]], allowed(int(counts[i]), similarity)))
+    for run, low, high in RUNS:
+        fits = (counts >= low) & (counts <= (high or counts.max(initial=0)))
+        if fits.any():
+            which = np.flatnonzero(fits)
+            inside = np.repeat(fits, counts)
+            starts = np.append(0, np.cumsum(counts[which]))
+            sketches = order_sketches(hashes[inside], starts, n, run=run) * OTHER + np.uint64(run)
+            for i, own in zip(which.tolist(), sketches, strict=True):
+                out[i].append(own)
+    return [np.concatenate(keys) if keys else None for keys in out]
+
+
+def _sketched(n: int, similarity: float):
     def run(batches):
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text")):
@@ -113,33 +153,32 @@ def _sketched(n: int):
                     bytes_ = mix(data.astype(np.uint64) + np.uint64(1))
                     one[bare], two[bare] = (_sums(b, offsets)[bare] for b in (bytes_, mix(bytes_ ^ OTHER)))
                 raw = np.stack([one, two], axis=1).astype("<u8").tobytes()
-                sketches = order_sketches(hashes, words.first, n)
-                rows = pa.array(words.counts >= RUN)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, n * len(one) + 1, n, dtype=np.int32)), pa.array(sketches.view(np.int64).ravel())
-                )
+                keys = keys_of_texts(hashes, words.first, n, similarity)
                 own = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([
                     own.column("doc_id"), own.column("text_hash"),
                     pa.array([raw[16 * i : 16 * i + 16] for i in range(len(one))], pa.binary()),
                     pa.array(words.counts.astype(np.int64)),
-                    pc.if_else(rows, lists, pa.nulls(len(one), lists.type)),
+                    pa.array([k if k is None else k.view(np.int64) for k in keys], pa.list_(pa.int64())),
                 ], ["doc_id", "text_hash", "key", "n_words", "sketches"])
 
     return run
 
 
 def _sequences(batches):
-    """Word hashes (u32) of texts."""
+    """Word hashes (u32) of texts, and how many fall into each of `BINS` bins."""
     for batch in batches:
         for first, end, data, offsets in text_slices(batch.column("text")):
             words = Words(LOWER[data], offsets, ALNUM)
-            view = (words.hashes() >> np.uint64(32)).astype("<u4").tobytes()
+            hashes = (words.hashes() >> np.uint64(32)).astype("<u4")
+            view = hashes.tobytes()
             bounds = words.first.tolist()
+            bins = [np.bincount(hashes[a:b] % BINS, minlength=BINS).clip(max=65535).astype("<u2").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("key").slice(first, end - first),
                 pa.array([view[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-            ], ["key", "words"])
+                pa.array(bins, pa.binary()),
+            ], ["key", "words", "bins"])
 
 
 def _aligned(similarity: float):
@@ -157,6 +196,48 @@ def _aligned(similarity: float):
     return run
 
 
+def _apart(similarity: float):
+    """Pairs of different labels within each run of rows of one block that can be near copies."""
+    def pairs(rows: pa.Table, p: int, q: int):
+        keys = rows.column("key").to_pylist()
+        label = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1]
+        n = rows.column("n_words").to_numpy()
+        block = rows.column("block").to_numpy()
+        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), "<u2").reshape(len(n), BINS).astype(np.int32)
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, len(n))
+            most = (np.maximum(n[i], n[j]) * (1 - similarity) + 1e-9).astype(np.int64)
+            j = j[(label[j] != label[i]) & (np.abs(n[j] - n[i]) <= most) & ((p == q) | (block[j] != block[i]))]
+            # An edit adds one word at most and takes one away.
+            more = bins[j] - bins[i]
+            most = (np.maximum(n[i], n[j]) * (1 - similarity) + 1e-9).astype(np.int64)
+            for k in j[np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most].tolist():
+                yield min(keys[i], keys[k]), max(keys[i], keys[k])
+
+    def settled(rows: pa.Table):
+        found = list(pairs(rows, rows.column("p")[0].as_py(), rows.column("q")[0].as_py()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["key", "leader"]
+        )
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            place = np.stack([table.column(c).to_numpy() for c in ("bucket", "p", "q")])
+            starts = np.append(0, np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1)
+            for a, b in zip(starts, starts[1:], strict=False):
+                yield settled(table.slice(a, b - a))
+            held = table.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield settled(held)
+
+    return run
+
+
 def allowed(n_words: int, similarity: float) -> int:
     """Most edits between texts of which the longer has n words."""
     return int(n_words * (1 - similarity) + 1e-9)
@@ -179,10 +260,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def sketch_documents(docs: DataFrame, n: int = SKETCHES) -> DataFrame:
+def sketch_documents(docs: DataFrame, n: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """Stored rows of (doc_id, text_hash, key, n_words, sketches); key stands for the words of the text."""
     return stored(_source(docs).mapInArrow(
-        _sketched(n), "doc_id long, text_hash long, key binary, n_words long, sketches array<long>"
+        _sketched(n, similarity), "doc_id long, text_hash long, key binary, n_words long, sketches array<long>"
     ), "sketches")
 
 
@@ -191,53 +272,76 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY, n: int = SKETCHES) -> DataFrame:
-    """Links (key, leader) between classes of documents with the same words."""
+def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (key, leader) between classes of documents with the same words.
+
+    Near copies that share a key are linked, or connected by other links.
+    """
     classes = stored(
         sketched.where("sketches is not null").groupBy("key").agg(
             F.min(F.struct("doc_id", "text_hash")).alias("one"), F.max("n_words").alias("n_words"),
             F.first("sketches").alias("sketches"),
         ), "classes",
     )
-    members = classes.select("key", "one", "n_words", "sketches", F.posexplode("sketches").alias("t", "bucket"))
-    links, round_, sequences = None, 0, None
-    while True:
-        buckets = members.groupBy("t", "bucket").agg(
-            F.min(F.struct("one", "key", "n_words")).alias("lead"), F.count(F.lit(1)).alias("n")
-        ).where("n > 1").select("t", "bucket", "lead")
-        pairs = stored(members.join(buckets, ["t", "bucket"]).where("key <> lead.key").select(
-            "t", "bucket", "key", "n_words", F.col("lead.key").alias("leader"), F.col("lead.n_words").alias("leader_words"),
-        ), "pairs")
-        if pairs.isEmpty():
-            break
-        if sequences is None:
-            wanted = pairs.select("key").union(pairs.select("leader")).distinct().join(classes.select("key", "one"), "key")
-            texts = _source(docs).join(
-                wanted.select("key", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")),
-                F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash")),
-            ).select("key", "text")
-            sequences = stored(texts.mapInArrow(_sequences, "key binary, words binary"), "words").dropDuplicates(["key"])
-            sequences = stored(sequences, "words")
-        shorter, longer = F.least("n_words", "leader_words"), F.greatest("n_words", "leader_words")
-        distinct = pairs.where(longer - shorter <= longer * (1 - similarity) + 1e-9).select("key", "leader").distinct()
-        compared = stored(
-            distinct.join(sequences, "key").join(
+    members = classes.select("key", F.explode("sketches").alias("bucket"))
+    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
+    known = classes.select("key", "one", "n_words")
+    members = stored(members.join(shared, "bucket"), "together")
+    wanted = stored(members.select("key").distinct().join(known, "key"), "wanted")
+    members = stored(members.join(wanted, "key").select("bucket", "key", "one", "n_words"), "members")
+    texts = _source(docs).join(
+        wanted.select("key", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")),
+        F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash")),
+    ).select("key", "text")
+    sequences = stored(texts.mapInArrow(_sequences, "key binary, words binary, bins binary"), "words").dropDuplicates(["key"])
+    sequences = stored(sequences, "words")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return stored(
+            pairs.join(sequences.select("key", "words"), "key").join(
                 sequences.select(F.col("key").alias("leader"), F.col("words").alias("leader_words")), "leader"
             ).select("key", "leader", "words", "leader_words")
-            .mapInArrow(_aligned(similarity), "key binary, leader binary, near boolean"), "compared",
+            .mapInArrow(_aligned(similarity), "key binary, leader binary, near boolean").where("near").select("key", "leader"),
+            "near",
         )
-        found = compared.where("near").select("key", "leader")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """Members of buckets that hold several labels."""
+        found = stored(wanted.join(components(links), "key", "left").select("key", F.coalesce("label", "key").alias("label")), "labels")
+        rows = stored(members.join(found, "key"), "labelled")
+        mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        return stored(rows.join(stored(mixed.select("bucket"), "mixed"), "bucket"), "left")
+
+    left = members.withColumn("label", F.col("key"))
+    links, lead = None, F.min(F.struct("one", "key", "n_words", "label"))
+    led = None  # labels of the last leaders
+    for _ in range(LEADERS):
+        rest = left if led is None else left.join(led, "bucket").where("label <> led")
+        leads = stored(rest.groupBy("bucket").agg(lead.alias("lead")), "leads")
+        shorter, longer = F.least("n_words", "lead.n_words"), F.greatest("n_words", "lead.n_words")
+        pairs = left.join(leads, "bucket").where(
+            (F.col("label") != F.col("lead.label")) & (longer - shorter <= longer * (1 - similarity) + 1e-9)
+        ).select("key", F.col("lead.key").alias("leader")).distinct()
+        found = near(pairs)
         links = found if links is None else links.unionByName(found)
-        round_ += 1
-        if round_ == n:
-            break
-        # The rest of each bucket is split by one more sketch.
-        rest = pairs.join(found, ["key", "leader"], "left_anti").select("t", "bucket", "key")
-        members = stored(rest.join(classes, "key").select(
-            "key", "one", "n_words", "sketches", "t",
-            F.xxhash64("bucket", F.get("sketches", F.pmod(F.col("t") + round_, F.lit(n)))).alias("bucket"),
-        ), "members")
-    return stored(links.distinct(), "near") if links is not None else docs.sparkSession.createDataFrame([], "key binary, leader binary")
+        left = labelled(links)
+        if left.isEmpty():
+            return links
+        now = left.select("key", "label").distinct()
+        led = stored(leads.select("bucket", F.col("lead.key").alias("key")).join(now, "key").select(
+            "bucket", F.col("label").alias("led")
+        ), "led")
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = left.join(stored(sizes, "sizes"), "bucket").select(
+        "bucket", "key", "n_words", "label", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "blocks"
+    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "n_words", "label"
+    )
+    dealt = stored(dealt.join(sequences.select("key", "bins"), "key"), "dealt")
+    apart = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(
+        _apart(similarity), "key binary, leader binary"
+    ).distinct()
+    return links.unionByName(near(stored(apart, "apart")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -246,7 +350,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     class_id is the least id among documents with the same words, group_id
     that of the group of near copies; `kept` marks the first row of each group.
     """
-    sketched = sketch_documents(docs)
+    sketched = sketch_documents(docs, similarity=similarity)
     links = near_links(docs, sketched, similarity)
     rows = sketched.select("doc_id", "text_hash", "key", "n_words")
     labelled = rows.join(components(links), "key", "left").withColumn("label", F.coalesce("label", "key"))

@@ -92,6 +92,50 @@ def test_links_are_those_of_alignment(spark):
     assert {r.doc_id: r.group_id for r in got} == {i: root(i) for i in texts}
 
 
+def pair_rows(shared: int, own: int, pairs: int, changed: int):
+    """Pairs of texts, `changed` of their own words apart, that begin with one passage of `shared` words."""
+    passage, rows = prose(1, shared), []
+    for i in range(pairs):
+        words = [f"{w}{i}" for w in prose(600 + i, own)]
+        for k in range(2):
+            rows.append((10 * i + k, " ".join(passage + words)))
+            for at in random.Random(i).sample(range(own), changed):
+                words[at] = f"changed{i}"
+    random.Random(2).shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_near_copies_that_share_a_passage_with_all(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    rows = pair_rows(140, 60, 40, 4)
+    got = near_dups.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: r.group_id for r in got} == {d: d // 10 * 10 for d, _ in rows}
+
+
+def test_near_copies_at_the_limit(spark):
+    """All pairs of every length at the limit: short ones are found for certain."""
+    rows, want, found = [], set(), set()
+    for i in range(300):
+        n = 4 + i % 40 if i < 240 else 200
+        words = [f"{w}{i}" for w in prose(i, n)]
+        longer = n if i % 2 else n + 1  # a word is changed or added
+        most = near_dups.allowed(longer, 0.8)
+        if most:
+            copy = list(words)
+            for at in random.Random(i).sample(range(1, n - 1), most - (longer - n)):
+                copy[at] = "changed"
+            if longer > n:
+                copy.insert(n // 2, "added")
+            rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(copy))]
+            want.add((i, n))
+    got = {r.doc_id: r.group_id for r in near_dups.near_duplicates(frame(spark, rows)).collect()}
+    found = {(i, n) for i, n in want if got[10 * i + 1] == 10 * i}
+    assert {(i, n) for i, n in want - found if n <= 13} == set()
+    assert len(found) >= 0.98 * len(want)
+    assert all(g // 10 == d // 10 for d, g in got.items())
+
+
 def test_near_copies_edges(spark):
     rows = edge_rows()
     got = near_dups.near_duplicates(frame(spark, rows)).collect()
