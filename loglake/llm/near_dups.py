@@ -19,7 +19,7 @@ The ranges of word counts below are laid out for a similarity of 0.8 or more.
    leader first, `LEADERS` times over with another leader; a bucket's next leader
    is the least member that the links so far do not connect with the last one.
 4. What is still in different groups within a bucket is compared in blocks of
-   `BLOCK` classes: pairs whose word counts rule out the similarity are dropped,
+   `BLOCK` classes, the largest group of a bucket with the others only: pairs whose word counts rule out the similarity are dropped,
    all others are aligned.  So every pair that shares a key is connected by
    links or aligned.
 5. Alignment keeps to a band around the diagonal as wide as the similarity
@@ -331,10 +331,19 @@ def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
         led = stored(leads.select("bucket", F.col("lead.key").alias("key")).join(now, "key").select(
             "bucket", F.col("label").alias("led")
         ), "led")
-    sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # The largest label of a bucket is set against the others only, never against itself.
+    each = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = each.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
+        "bucket", F.col("most.label").alias("largest"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("large_blocks"),
+        F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"),
+    )
+    large, all_blocks = F.col("label") == F.col("largest"), F.col("blocks") + F.col("large_blocks")
+    at = F.when(large, F.col("blocks") + F.pmod(F.xxhash64("key"), F.col("large_blocks"))).otherwise(
+        F.pmod(F.xxhash64("key"), F.col("blocks"))
+    ).cast("int")
     dealt = left.join(stored(sizes, "sizes"), "bucket").select(
-        "bucket", "key", "n_words", "label", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "blocks"
-    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "key", "n_words", "label", at.alias("block"), F.when(large, F.col("blocks")).otherwise(all_blocks).alias("others")
+    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(
         "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "n_words", "label"
     )
     dealt = stored(dealt.join(sequences.select("key", "bins"), "key"), "dealt")
