@@ -1,7 +1,7 @@
 """Documents that hold benchmark items, up to a few edited words.
 
-A document holds an item of n words if one of its windows of n words (clipped
-at the end of the text) is within floor(0.2 n) word edits of it.  Words are
+A document holds an item of n words if one of its windows, of any number of
+words, is within k = floor(0.2 n) word edits of it.  Words are
 runs of letters, digits and non-ASCII characters in lower case.
 
 1. CGK embedding: a walk reads a word sequence of length n in 3 n steps; at
@@ -12,7 +12,10 @@ runs of letters, digits and non-ASCII characters in lower case.
 2. Bit sampling: a table's key is the notes of `SAMPLED` random steps.  There
    are `WALKS` walks of `TABLES` tables each.  Windows and items that share a
    key in any table are candidates.
-3. Banded alignment settles each candidate exactly.
+3. Banded alignment settles each candidate exactly.  Where no window of n words
+   (clipped at the end of the text) is close enough, the candidates are widened
+   by k words on both sides and the item is aligned with free ends, so that
+   words left out or put in count once.
 
 Only windows that can match are embedded: with k edits at most, n - k words of
 the window are words of the item, hence of some item of n words.
@@ -22,8 +25,9 @@ documents; the documents are neither shuffled nor joined.
 
 Defined results: null texts have no words; items under `LEAST` words are too
 short to tell and are left out; items without an id keep a null id; repeated
-rows are reported again, repeated items too; among windows of one item the
-closest counts, then the earliest; empty tables give no rows.
+rows are reported again, repeated items too; among windows of one item those
+of its own size come first, then the closest, then the earliest, then the
+shortest; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, LOWER, Words, edit_distance, text_slices
+from .words import ALNUM, LOWER, Words, edit_distance, ends_costs, text_slices
 
 DISTANCE = 0.2
 LEAST = 5
@@ -145,6 +149,7 @@ class Items:
             used[starts[n]] = True
         used = np.flatnonzero(used)
         best: dict = {}
+        wide: dict = {}  # (text, item): candidates whose own window is not close enough
         steps = 2 * int(self.sizes.max())
         chunk = max(1, LOGGED // (8 * steps * WALKS))
         for first in range(0, len(used), chunk):
@@ -156,10 +161,15 @@ class Items:
                 if len(start):
                     stop = np.minimum(start + n, end[start])
                     keys = self.keys(numbers, start, stop, logs, np.searchsorted(part, start), n)
-                    self._settle(numbers, start, stop, n, zip(tables, keys, strict=True), doc, best)
+                    self._settle(numbers, start, stop, n, zip(tables, keys, strict=True), doc, best, wide)
+        for (text, item), ranges in wide.items():
+            if (text, item) not in best:
+                found = self._widened(numbers, sorted(ranges), item, int(words.first[text]), int(words.first[text + 1]))
+                if found is not None:
+                    best[text, item] = found
         return [(text, item, a - int(words.first[text]), b - a, cost) for (text, item), (cost, a, b) in sorted(best.items())]
 
-    def _settle(self, numbers, start, stop, n: int, tables, doc, best: dict) -> None:
+    def _settle(self, numbers, start, stop, n: int, tables, doc, best: dict, wide: dict) -> None:
         """Align windows with the items that share a key with them."""
         most = allowed(n, self.distance)
         pairs = []
@@ -177,10 +187,35 @@ class Items:
         for w, item in zip(window[close].tolist(), which[close].tolist(), strict=True):
             a, b = int(start[w]), int(stop[w])
             cost = edit_distance(numbers[a:b].tolist(), self.words[item].tolist(), most)
+            text = int(doc[a])
             if cost <= most:
-                key, text = (cost, a, b), int(doc[a])
-                if (text, item) not in best or key < best[text, item]:
-                    best[text, item] = key
+                if (text, item) not in best or (cost, a, b) < best[text, item]:
+                    best[text, item] = (cost, a, b)
+            elif (text, item) not in best:
+                wide.setdefault((text, item), []).append((a, b))
+
+    def _widened(self, numbers, ranges: list, item: int, low: int, high: int):
+        """(distance, start, stop) of the closest window around the ranges, of any size, or None."""
+        own = self.words[item].tolist()
+        most = allowed(len(own), self.distance)
+        joined: list = []
+        for a, b in ranges:
+            a, b = max(low, a - most), min(high, b + most)
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        found = None
+        for a, b in joined:
+            text = numbers[a:b].tolist()
+            # From the right, so that each cost belongs to a start.
+            costs = ends_costs(text[::-1], own[::-1])[::-1]
+            cost = min(costs)
+            if cost <= most and (found is None or cost < found[0]):
+                s = costs.index(cost)
+                size = next(m for m in range(max(0, len(own) - cost), len(own) + cost + 1) if edit_distance(text[s : s + m], own, cost) == cost)
+                found = cost, a + s, a + s + size
+        return found
 
 
 def item_blocks(items: DataFrame, distance: float = DISTANCE) -> Iterator[Items]:

@@ -159,3 +159,27 @@ def edit_distance(a, b, most: int) -> int:
         up = (right_down | ~(level | right_up)) & full
         down = level & right_up
     return cost
+
+
+def ends_costs(text, pattern) -> list[int]:
+    """For each prefix of `text`, none first: the least edit distance of `pattern` to one of its ends.
+
+    As in `edit_distance`, with a column of the whole pattern as one machine
+    integer, and free starts: no cost for what stands before.
+    """
+    n = len(pattern)
+    at: dict = {}
+    for i, x in enumerate(pattern):
+        at[x] = at.get(x, 0) | 1 << i
+    full, final = (1 << n) - 1, 1 << (n - 1)
+    up, down, cost = full, 0, n
+    out = [cost]
+    for x in text:
+        same = at.get(x, 0)
+        level = ((((same & up) + up) ^ up) | same | down) & full
+        right_up, right_down = (down | ~(level | up)) & full, level & up
+        cost += bool(right_up & final) - bool(right_down & final)
+        right_up, right_down = right_up << 1 & full, right_down << 1 & full
+        up, down = (right_down | ~(level | right_up)) & full, level & right_up
+        out.append(cost)
+    return out

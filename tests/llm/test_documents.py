@@ -193,6 +193,34 @@ def test_leaks(spark, monkeypatch):
     assert sorted(r.doc_id for r in clean.collect()) == sorted({d for d, _ in rows} - {g[0] for g in got})
 
 
+def test_leaks_with_words_left_out_or_put_in(spark):
+    """Against brute force over windows of n-k to n+k words."""
+    items, rows = [(i, " ".join(prose(2500 + i, (15, 20, 40)[i % 3]))) for i in range(60)], []
+    for i, item in items:
+        words, rng = item.split(), random.Random(i)
+        most = decontaminate.allowed(len(words))
+        for k, n in enumerate((most - 1, most)):
+            less, more = list(words), list(words)
+            for _ in range(n):
+                del less[rng.randrange(1, len(less) - 1)]
+                more.insert(rng.randrange(1, len(more)), f"added{rng.randrange(10**6)}")
+            around = [prose(10 * i + k, 30), prose(9 * i + k, 30)]
+            rows += [(1000 * j + 10 * i + k, " ".join(around[0] + w + around[1])) for j, w in enumerate((less, more))]
+    texts, own = dict(rows), dict(items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_items(frame(spark, rows), bench).collect()
+    for r in got:
+        words, item = texts[r.doc_id].split(), own[r.item_id].split()
+        most = decontaminate.allowed(len(item))
+        sizes = range(len(item) - most, len(item) + most + 1)
+        assert levenshtein(words[r.start : r.start + r.n_words], item) == r.distance <= most and r.n_words in sizes
+        if r.n_words != len(item):
+            near = range(max(0, r.start - most), r.start + most + 1)
+            assert r.distance == min(levenshtein(words[s : s + n], item) for s in near for n in sizes)
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert found <= {(d, d % 1000 // 10) for d in texts} and len(found) >= 0.95 * len(rows)
+
+
 def test_leaks_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, " ".join(prose(1, 20)))], "item_id long, text string")
