@@ -40,7 +40,7 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, TOKENIZER, END_ID, with_ids=False)
+    return packing.pack_documents(docs, TOKENIZER, END_ID, with_ids=False, plain=True)
 
 
 STAGES = [

@@ -36,10 +36,10 @@ GROUP = 8000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = True, plain: bool = False) -> DataFrame:
     """Pieces of all documents: place in the document, length, checksum and (little-endian u32) ids."""
     def cut(batches):
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, plain)
         for batch in batches:
             names = batch.column("doc_id")
             for first, end, data, offsets in text_slices(batch.column("text")):
@@ -112,7 +112,7 @@ def place(cut: DataFrame, length: int = LENGTH, max_docs: int = MAX_DOCS, max_co
     return cut.select("*", dealt).groupBy("_group").applyInArrow(packed, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, max_docs: int = MAX_DOCS, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, max_docs: int = MAX_DOCS, with_ids: bool = True, plain: bool = False) -> DataFrame:
     """One row per piece with its sequence and offset; `ids` too, unless told otherwise."""
-    cut = pieces(docs, tokenizer, end_id, length, with_ids)
+    cut = pieces(docs, tokenizer, end_id, length, with_ids, plain)
     return place(stored(cut if with_ids else cut.drop("ids"), "pieces"), length, max_docs)

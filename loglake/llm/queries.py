@@ -28,13 +28,13 @@ def documents(spark, sf_dir: str):
 
 def token_blocks_query(spark, sf_dir: str):
     return token_blocks.encode_documents(
-        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2
+        documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2, plain=True
     )
 
 
 def packing_query(spark, sf_dir: str):
     packed = packing.pack_documents(
-        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False, plain=True
     )
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

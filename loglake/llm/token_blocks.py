@@ -113,9 +113,9 @@ def shard_ids(shard: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
-def _writer(tokenizer: str, end_id: int, percentile: int):
+def _writer(tokenizer: str, end_id: int, percentile: int, plain: bool):
     def shards(batches):
-        encoder, part, seq = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, seq = Encoder.of(tokenizer, plain), TaskContext.get().partitionId(), 0
         for batch in batches:
             names = batch.column("doc_id")
             for first, end, data, offsets in text_slices(batch.column("text")):
@@ -136,18 +136,18 @@ def _writer(tokenizer: str, end_id: int, percentile: int):
     return shards
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, percentile: int = PERCENTILE) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, percentile: int = PERCENTILE, plain: bool = False) -> None:
     """Encode `text` of (doc_id, text) rows and write all ids in ascending doc_id order.
 
     Rows are range-partitioned by document id, each partition is one run of
-    shards, and the number of a partition is its place in that order.
+    shards (`plain`: see `Encoder`), and the number of a partition is its place in that order.
     """
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
-    ordered.mapInArrow(_writer(tokenizer, end_id, percentile), SHARDS).write.parquet(path)
+    ordered.mapInArrow(_writer(tokenizer, end_id, percentile, plain), SHARDS).write.parquet(path)
 
 
 def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
@@ -188,8 +188,8 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
     return out.select(*columns, *(["ids"] if with_ids else []))
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, with_ids: bool = False, plain: bool = False) -> DataFrame:
     """Write the ids of all documents to a new folder in the shared place, and read them back."""
     path = scratch(docs.sparkSession, "tokens")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, plain=plain)
     return read_tokens(docs.sparkSession, path, with_ids)

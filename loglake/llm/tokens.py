@@ -22,16 +22,21 @@ KEPT_PIECES = 2_000_000  # pieces a process remembers: about 60 MB
 class Encoder:
     """Ids of slices of texts for one tokenizer file.
 
-    The strings of special tokens are ordinary text.  White space other than
+    With `plain`, ids are those of the tokenizer as it comes from its file: the
+    strings of special tokens stand for those tokens.  Without it they are
+    ordinary text.  A text with the string of a token that the tokenizer takes
+    out before its pre-split is encoded whole.  White space other than
     ASCII's, and the separators 0x1C-0x1F, can join a run of white space that
     the cuts would split: a text with one of them is encoded whole.
     """
 
     _made: dict = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not plain
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.strings = [t.content.encode() for t in added if t.content and (plain or not t.special)]
         self._forget()
 
     def _forget(self) -> None:
@@ -42,11 +47,11 @@ class Encoder:
         self.flat = np.zeros(0, np.uint32)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One per process and file."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, plain: bool = False) -> Encoder:
+        """One per process, file and kind."""
+        if (path, plain) not in cls._made:
+            cls._made[path, plain] = cls(path, plain)
+        return cls._made[path, plain]
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode pieces not known yet; their keys are sorted."""
@@ -67,6 +72,16 @@ class Encoder:
         there[there] = self.keys[place[there]] == keys[there]
         return place, there
 
+    def _with_strings(self, view: bytes, offsets: np.ndarray) -> list[int]:
+        """Texts with the string of an added token."""
+        hits = []
+        for string in self.strings:
+            at = view.find(string)
+            while at >= 0:
+                hits.append(at)
+                at = view.find(string, at + 1)
+        return np.unique(np.searchsorted(offsets, np.array(hits, np.int64), "right") - 1).tolist()
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids before each text and in all) of a slice."""
         n_texts = len(offsets) - 1
@@ -79,8 +94,8 @@ class Encoder:
         cut[1:] = (space[1:] & ~space[:-1]) | (word[:-1] & ASCII_SIGN[data[1:]]) | (
             (data[:-1] == 0x0A) & ~space[1:] & ~longer
         )
-        odd = odd_texts(data, offsets)
-        for i in odd:
+        view = data.tobytes()
+        for i in {*odd_texts(data, offsets).tolist(), *self._with_strings(view, offsets)}:
             cut[offsets[i] : offsets[i + 1]] = False
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
@@ -91,7 +106,6 @@ class Encoder:
         keys = mix((total[ends] - total[starts]) * down[starts])
         del total
         unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        view = data.tobytes()
         place, there = self._known(unique)
         if not there.all():
             new = np.flatnonzero(~there)

@@ -37,6 +37,19 @@ def test_pieces_give_the_ids_of_the_whole_text(path):
     assert got == [ids_of(path, t) for t in texts]
 
 
+@pytest.mark.parametrize("path", FILES)
+def test_ids_of_texts_with_strings_of_special_tokens(spark, path):
+    tokenizer = Tokenizer.from_file(path)
+    made = ["a b <|endoftext|> c", "x<|startoftext|>y, z\n<|endoftext|>", "<|endoftext|", "<|endoftext|>" * 3, "ends <|end", "oftext|> begins"]
+    texts = [t or "" for t in ODD_TEXTS if t is None or len(t) < 5000] + made
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    docs = frame(spark, list(enumerate(texts)))
+    got = token_blocks.encode_documents(docs, path, 2, with_ids=True, plain=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: [*ids, 2] for i, ids in want.items()}
+    packed = packing.pack_documents(docs, path, 0, plain=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packed} == {i: [*ids, 0] for i, ids in want.items()}
+
+
 def test_known_pieces_may_be_forgotten(monkeypatch):
     monkeypatch.setattr("loglake.llm.tokens.KEPT_PIECES", 5)
     encoder = Encoder(FILES[0])
