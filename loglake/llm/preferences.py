@@ -81,7 +81,8 @@ def swapped_pairs(turns: DataFrame) -> DataFrame:
     """Pairs for tables without judged ones: the conversation as it is against
     the same one with its last assistant turn taken from the neighbour, whose
     id differs in the last bit.  Without a neighbour that has an assistant
-    turn the rejected conversation lacks that turn.
+    turn the rejected conversation lacks that turn.  A conversation without an
+    assistant turn has nothing to prefer and gives no pair.
     """
     def at_last(c):
         return F.array_max(F.transform(c, lambda t, i: F.when(t["role"] == ASSISTANT, i)))
