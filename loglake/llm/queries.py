@@ -10,11 +10,14 @@ from . import (
     line_rules,
     near_dups,
     packing,
+    periods,
     preferences,
     quality,
     repeats,
     secret_scan,
+    spelling,
     token_blocks,
+    token_counts,
 )
 
 
@@ -74,6 +77,18 @@ def repeats_query(spark, sf_dir: str):
     return repeats.remove_repeats(documents(spark, sf_dir), with_text=False)
 
 
+def token_counts_query(spark, sf_dir: str):
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def spelling_query(spark, sf_dir: str):
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
+def periods_query(spark, sf_dir: str):
+    return periods.find_runs(documents(spark, sf_dir), with_text=False, plain=False)
+
+
 QUERIES = {
     "op1_token_blocks": token_blocks_query,
     "op2_near_dups": near_dups_query,
@@ -85,6 +100,9 @@ QUERIES = {
     "op8_repeats": repeats_query,
     "op9_packing": packing_query,
     "op10_secret_scan": secret_scan_query,
+    "op11_token_counts": token_counts_query,
+    "op12_spelling": spelling_query,
+    "op13_periods": periods_query,
 }
 
 REPEATS_SQL = """

@@ -16,7 +16,7 @@ HERE = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not the
 
 def test_all_are_registered():
     names = entry.queries()
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in names)] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in names)] == [] and "pipeline" in names
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
@@ -28,7 +28,7 @@ def test_same_rows_as_sql(spark, name):
 
 
 @HERE
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"op12_spelling"}))
 def test_one_row_or_more_per_document(spark, name):
     rows = queries.QUERIES[name](spark, FOLDER)
     docs = {r.doc_id for r in queries.documents(spark, FOLDER).select("doc_id").collect()}
