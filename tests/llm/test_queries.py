@@ -75,7 +75,7 @@ def folder(spark, tmp_path):
     item = " ".join(prose(7777, 25))
     plants = {
         2000: " ".join(edited(good[0].split(), 1, 3)), 2001: good[1], 2002: good[2] + " " + item,
-        2003: good[3] + " password=abcdefgh12345 and so on. " + " ".join(prose(888, 30)) + ".",
+        2003: good[3] + " Password=abcdefgh12345 and so on. " + ". ".join(" ".join(prose(8000 + k, 9)).capitalize() for k in range(24)) + ".",
     }
     rows = [(d, t, "en", "s", len(t)) for d, t in {**good, **bad, **plants}.items()] + [(5000, None, None, None, None), (5001, "", "en", None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
@@ -100,6 +100,7 @@ def test_pipeline(spark, folder):
             assert set(rows) == {r.doc_id for r in scores.collect() if r.score >= 0.3}
             assert set(good) <= set(rows) and len(set(bad) & set(rows)) <= 4
             kept = set(rows)
+            assert set(texts) - set(bad) - {5000, 5001} <= kept
         elif name == "near_dups":
             assert {2000, 2001} & set(rows) == set() and set(good) <= set(rows)
             groups = near_dups.near_duplicates(docs).collect()
