@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of
 from ..schemas import TREND_ERRORS
+from ..session import stored
+from ..sources import keyed
 from .dedupe import event_order
 
+KEY = ["pattern_id"]
+STATE_COLUMNS = ["pattern_id", "first_seen", "last_seen", "status", "severity", "sample_message"]
+
 
 def daily_error_patterns(highlights: DataFrame) -> DataFrame:
     """Error patterns of each day: `(day, pattern_id, severity, sample_message)`.
@@ -88,6 +93,32 @@ def resolve_missing(state: DataFrame, today: DataFrame, cutoff: Column) -> DataF
     )
 
 
+def advance_stored(today: DataFrame, root: str, cutoff: Column, buckets: int = keyed.BUCKETS, most: int = 8) -> int:
+    """One day of a stored issue table: upsert, then resolve; only changed rows are written.
+
+    `today` has one row per pattern.  Known rows are looked up in the buckets of
+    today's patterns, and active ones that stayed away are found by their
+    status.  The changes are one commit of `sources.keyed`, so the day counts
+    as a whole or not at all and can be repeated.  Buckets with more than
+    `most` changes since their base are compacted.  Returns the commit's number.
+    """
+    spark = today.sparkSession
+    count = keyed.n_buckets(spark, root) or buckets
+    today = stored(today.select("pattern_id", "day", "severity", "sample_message"), "today")
+    empty = spark.createDataFrame([], "pattern_id string, first_seen timestamp_ntz, last_seen timestamp_ntz, "
+                                      "status string, severity string, sample_message string")
+    known = keyed.read_rows(spark, root, KEY, keyed.touched(today, KEY, count), empty.schema)
+    known = empty if known is None else known.join(today.select(*KEY), KEY, "left_semi")
+    seen = upsert_issues(known, today)
+    everything = keyed.read_rows(spark, root, KEY, schema=empty.schema)
+    if everything is not None:
+        away = everything.where((F.col("status") == "active") & (F.col("last_seen") < cutoff)).join(today.select(*KEY), KEY, "left_anti")
+        seen = seen.unionByName(away.withColumn("status", F.lit("resolved")))
+    number = keyed.put_rows(seen.select(STATE_COLUMNS), root, KEY, count)
+    keyed.compact(spark, root, KEY, most, empty.schema)
+    return number
+
+
 def active_issues(state: DataFrame) -> DataFrame:
     return state.where("status = 'active'").orderBy(F.desc("last_seen"), "pattern_id")
 

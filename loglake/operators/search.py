@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of
+from ..sources import grams
 
 SEARCHED = ("message", "host", "app", "user_id")
 
@@ -20,13 +21,18 @@ def _in_range(df: DataFrame, start: Column, end: Column) -> DataFrame:
     return df
 
 
-def _matches(df: DataFrame, q: str) -> Column:
-    """Case-insensitive substring; the text is taken as it is, `%` and `_` included."""
+def _searched(df: DataFrame) -> Column:
+    """The text that searches look into, in lower case."""
     parts = [
         F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")
         for c in SEARCHED
     ]
-    return F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(q.lower()))
+    return F.lower(F.concat_ws(" ", *parts))
+
+
+def _matches(df: DataFrame, q: str) -> Column:
+    """Case-insensitive substring; the text is taken as it is, `%` and `_` included."""
+    return F.contains(_searched(df), F.lit(q.lower()))
 
 
 def _hits(df: DataFrame, q: str, start: Column, now: Column, severity: str) -> DataFrame:
@@ -50,6 +56,30 @@ def search_logs(
     return _hits(df, q, start, now, severity).orderBy(*_newest(df)).limit(limit)
 
 
+def index_events(events: DataFrame, index: str) -> int:
+    """Bring the gram index of a stored events table up to date; returns the files added."""
+    return grams.index_files(events, _searched(events), index)
+
+
+def narrowed(events: DataFrame, index: str, q: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """The stored table without the files that cannot hold q between two times; no match is lost."""
+    spark = events.sparkSession
+    if not q:
+        raise ValueError("empty search text")
+    files, _ = grams.files_to_read(spark, events, index, q, start, end)
+    if not files:
+        return events.where(F.lit(False))
+    return spark.read.schema(events.schema).option("basePath", files[0].rsplit("/", grams.PLACE)[0]).parquet(*files)
+
+
+def search_indexed(
+    events: DataFrame, index: str, q: str, now: Column, hours: int = 6, severity: str = "", limit: int = 100
+) -> DataFrame:
+    """`search_logs` of a stored table, reading only files whose grams and times allow a match."""
+    start = now - F.make_dt_interval(hours=F.lit(hours))
+    return search_logs(narrowed(events, index, q, start, now), q, now, hours, severity, limit)
+
+
 def search_stats(
     df: DataFrame, q: str, now: Column, hours: int = 6, severity: str = "", limit: int = 100
 ) -> DataFrame:

@@ -10,6 +10,8 @@ from ..functions.skew import with_group_index
 from ..session import stored
 
 USAGE_ERRORS = ["err", "crit"]
+HOST_BITS = 12
+HOST_ERROR = 3 * 1.04 / 2 ** (HOST_BITS / 2)  # three standard errors of a host sketch, as a share
 MB = 1024 * 1024
 
 
@@ -28,11 +30,53 @@ def hourly_usage(events: DataFrame, project: str = "tenant_id", errors=tuple(USA
     )
 
 
+def hourly_usage_mergeable(events: DataFrame, project: str = "tenant_id", errors=tuple(USAGE_ERRORS)) -> DataFrame:
+    """As `hourly_usage`, with the hosts as a sketch `hosts` that can be merged and `unique_hosts` estimated from it.
+
+    Nothing but the sketches, a few kilobytes each at most, is shuffled, and
+    sketches of hours add up to days and months without a look at the events.
+    Estimates are within `HOST_ERROR` of the exact number but for one in some
+    hundred, and exact for a handful of hosts.
+    """
+    return events.groupBy(
+        F.col(project).alias("project_id"), bucket_of(F.col("ts"), "hour").alias("timestamp_hour")
+    ).agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.count_if(F.col("severity").isin(list(errors))).alias("error_count"),
+        F.hll_sketch_agg("host", HOST_BITS).alias("hosts"),
+        F.coalesce(F.sum(F.octet_length("message")), F.lit(0)).cast("long").alias("data_size_bytes"),
+    ).withColumn("unique_hosts", F.hll_sketch_estimate("hosts"))
+
+
+def merge_usage_hosts(old: DataFrame, delta: DataFrame, mode: str = "add") -> DataFrame:
+    """`merge_usage` of mergeable rows: `add` unites the hosts of both, `replace` takes the new ones."""
+    keys = ["project_id", "timestamp_hour"]
+    counts = merge_usage(old.drop("unique_hosts"), delta.drop("unique_hosts"), mode)
+    rows = old.select(*keys, "hosts")
+    if mode == "replace":
+        rows = rows.join(delta.select(*keys), keys, "left_anti")
+    hosts = rows.unionByName(delta.select(*keys, "hosts")).groupBy(*keys).agg(F.hll_union_agg("hosts").alias("hosts"))
+    return counts.join(hosts, keys).withColumn("unique_hosts", F.hll_sketch_estimate("hosts"))
+
+
+def hosts_per(rows: DataFrame, unit: str, tz: str = "UTC") -> DataFrame:
+    """`(project_id, <unit>, event_count, error_count, hosts, unique_hosts)` per day, month and so on.
+
+    `rows` are mergeable rows of hours, or of this function for a smaller unit.
+    """
+    at = "timestamp_hour" if "timestamp_hour" in rows.columns else "day"
+    local = in_zone(F.col(at), tz) if at == "timestamp_hour" else F.col(at)
+    return rows.groupBy("project_id", bucket_of(local, unit).alias(unit)).agg(
+        F.sum("event_count").alias("event_count"), F.sum("error_count").alias("error_count"),
+        F.hll_union_agg("hosts").alias("hosts"),
+    ).withColumn("unique_hosts", F.hll_sketch_estimate("hosts"))
+
+
 def merge_usage(old: DataFrame, delta: DataFrame, mode: str = "add") -> DataFrame:
     """New hourly counts into the stored ones: `add` for live counts, `replace` for a backfill.
 
-    Added hosts cannot be told apart from known ones, so `unique_hosts` keeps
-    the larger number there.
+    From numbers alone added hosts cannot be told apart from known ones, so
+    `unique_hosts` keeps the larger one there; `merge_usage_hosts` unites them.
     """
     if mode not in ("add", "replace"):
         raise ValueError(f"unknown mode {mode!r}")

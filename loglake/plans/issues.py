@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ntz
 from ..operators import issues, rollup
-from ..session import stored
+from ..session import scratch, stored
+from ..sources import keyed
 from .oracle_views import PATTERNS
 from .parsing import patterned
 from .rollups import HH, PRIO, highlights
@@ -73,6 +74,15 @@ def e6_issue_timeline(spark, d):
     return issues.issue_timeline(daily_patterns(spark, d), ntz(LAST))
 
 
+def e2_keyed_issues(spark, d):
+    """The stored issue table after all days, one commit each; buckets are compacted on the way."""
+    daily, root = all_patterns(spark, d), scratch(spark, "issues")
+    for day in range(1, 31):
+        at = ntz(f"2024-01-{day:02d} 00:00:00")
+        issues.advance_stored(daily.where(F.col("day") == at), root, at, buckets=4, most=6)
+    return keyed.read_rows(spark, root, issues.KEY)
+
+
 def _on(source, query):
     """The query over another source of daily patterns."""
     def run(spark, d):
@@ -95,7 +105,7 @@ _EXACT = {
 
 QUERIES = {f.__name__: f for f in (
     e1_daily_error_patterns, e2_upsert_issues, e3_resolve_missing, e4_active_issues,
-    e4_resolved_issues, e5_trend_report, e5_trend_details, e6_issue_timeline,
+    e4_resolved_issues, e5_trend_report, e5_trend_details, e6_issue_timeline, e2_keyed_issues,
 )} | {name: _on(all_patterns, query) for name, query in _EXACT.items()}
 
 DAILY = PATTERNS + HH + f""",
@@ -154,3 +164,4 @@ daily AS (SELECT date_trunc('day', ts) AS day, pattern_id, arg_min(severity, {'t
     arg_min(message, {'t': ts, 'e': event_id}) AS sample_message FROM pat
   WHERE lower(severity) IN ('err','error','crit','critical','alert','emerg','emergency') GROUP BY ALL)"""
 ORACLES |= {name: ORACLES[name.removesuffix("_exact")].replace(DAILY, _ALL) for name in _EXACT}
+ORACLES["e2_keyed_issues"] = f"WITH {_ALL} SELECT * FROM {_state(LAST)}"

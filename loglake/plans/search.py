@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ntz
 from ..operators import rollup, search, sql_surface
-from ..sources import views
+from ..session import scratch
+from ..sources import storage, views
 from .oracle_views import LOGS, typed
 from .rollups import HSTATS, hours
 
@@ -28,6 +29,24 @@ def f1_search_literal(spark, d):
     return search.search_logs(logs, "5%_FULL", ntz(NOW), hours=24, limit=500)
 
 
+def _indexed(spark, d):
+    """The logs as a stored table with its gram index."""
+    root, index = scratch(spark, "events"), scratch(spark, "grams")
+    storage.write_events(views.logs(spark, d), root)
+    events = spark.read.parquet(root)
+    search.index_events(events, index)
+    return events, index
+
+
+def f1_indexed_search(spark, d):
+    return search.search_indexed(*_indexed(spark, d), "Request_ID=r1", ntz(NOW), hours=24).drop("dt", "hr")
+
+
+def f1_indexed_rare(spark, d):
+    """A text that few of all files hold."""
+    return search.search_indexed(*_indexed(spark, d), "REQUEST_ID=r1234", ntz(NOW), hours=24 * 31, limit=500).drop("dt", "hr")
+
+
 def f2_search_stats(spark, d):
     return search.search_stats(views.logs(spark, d), "request_id=r1", ntz(NOW), hours=24)
 
@@ -92,6 +111,20 @@ def g4_top_values(spark, d):
     return sql_surface.top_values(_nullable_logs(spark, d), "message", 100)
 
 
+def g4_frequent_values(spark, d):
+    found = sql_surface.frequent_values(_nullable_logs(spark, d), ["message"], 100)
+    return found.select("value", "count")
+
+
+def g5_frequent_values(spark, d):
+    return sql_surface.frequent_values(_nullable_logs(spark, d), k=10)
+
+
+def g5_frequent_values_small(spark, d):
+    """Summaries too small to prove every column: those are counted in full."""
+    return sql_surface.frequent_values(_nullable_logs(spark, d), k=10, tracked=16)
+
+
 def g5_profile_table(spark, d):
     p = sql_surface.profile_table(_nullable_logs(spark, d), exact=True)
     return p.withColumn("null_percent", F.round("null_percent", 6))
@@ -102,9 +135,9 @@ def g5_profile_table_top(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    f1_search, f1_search_severity, f1_search_literal, f2_search_stats, f3_recent_logs, f5_match_window,
+    f1_search, f1_search_severity, f1_search_literal, f1_indexed_search, f1_indexed_rare, f2_search_stats, f3_recent_logs, f5_match_window,
     g1_run_query, g2_describe_tables, g3_table_stats, g4_profile_column, g4_top_values,
-    g5_profile_table, g5_profile_table_top,
+    g5_profile_table, g5_profile_table_top, g4_frequent_values, g5_frequent_values, g5_frequent_values_small,
 )}
 
 _TEXT = "lower(concat(message, ' ', host, ' ', app, ' '))"
@@ -154,8 +187,16 @@ ORACLES = {
         QUALIFY rank <= 10""",
 }
 
+ORACLES["f1_indexed_search"] = ORACLES["f1_search"]
+ORACLES["f1_indexed_rare"] = f"""WITH {LOGS} SELECT * FROM logs WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 744 HOUR
+    AND ts <= TIMESTAMP '{NOW}' AND contains({_TEXT}, 'request_id=r1234') ORDER BY ts DESC, event_id DESC LIMIT 500"""
+ORACLES["g4_frequent_values"] = ORACLES["g4_top_values"]
+ORACLES["g5_frequent_values"] = ORACLES["g5_frequent_values_small"] = ORACLES["g5_profile_table_top"]
+
 # Column types as Spark has them.
 for _name, _types in {
     "g5_profile_table_top": {'rank': 'INTEGER'},
+    "g5_frequent_values": {'rank': 'INTEGER'},
+    "g5_frequent_values_small": {'rank': 'INTEGER'},
 }.items():
     ORACLES[_name] = typed(ORACLES[_name], **_types)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import ntz
+from ..functions.columns import bucket_of, ntz
 from ..operators import usage
 from ..sources import views
 from .oracle_views import LOGS, typed
@@ -44,6 +44,52 @@ def _merged(mode):
     return query
 
 
+def _host_checked(rows, events, at):
+    """Estimated hosts against the exact ones of the same events: within the sketch's error, or one off."""
+    unit = "hour" if at == "timestamp_hour" else at
+    exact = events.groupBy(F.col("tenant_id").alias("project_id"), bucket_of(F.col("ts"), unit).alias(at)).agg(
+        F.count_distinct("host").alias("hosts_exact")
+    )
+    off = F.abs(F.col("unique_hosts") - F.col("hosts_exact"))
+    return rows.join(exact, ["project_id", at]).select(
+        "project_id", at, "event_count", "error_count", "hosts_exact",
+        (off <= F.greatest(F.lit(1), F.col("hosts_exact") * usage.HOST_ERROR)).alias("within"),
+    )
+
+
+def _many_hosts(spark, d):
+    """Logs with more hosts than the view has."""
+    return views.logs(spark, d).withColumn("host", F.concat("host", F.lit("-"), F.col("event_id") % 997))
+
+
+def k2_add_hosts(spark, d):
+    """Every day comes in two parts that share hosts."""
+    logs = _many_hosts(spark, d)
+    one, two = (usage.hourly_usage_mergeable(logs.where(F.col("event_id") % 2 == k)) for k in (0, 1))
+    return _host_checked(usage.merge_usage_hosts(one, two), logs, "timestamp_hour")
+
+
+def k2_replace_hosts(spark, d):
+    """A backfill of half the range over counts of another project split."""
+    logs = _many_hosts(spark, d)
+    since = ntz("2024-01-15 00:00:00")
+    old = usage.hourly_usage_mergeable(logs.where((F.col("ts") < since) | (F.col("event_id") % 3 == 0)))
+    new = usage.hourly_usage_mergeable(logs.where(F.col("ts") >= since))
+    return _host_checked(usage.merge_usage_hosts(old, new, "replace"), logs, "timestamp_hour")
+
+
+def k3_daily_hosts(spark, d):
+    logs = _many_hosts(spark, d)
+    return _host_checked(usage.hosts_per(usage.hourly_usage_mergeable(logs), "day"), logs, "day")
+
+
+def k3_monthly_hosts(spark, d):
+    """Months from days from hours: the events are read once."""
+    logs = _many_hosts(spark, d)
+    days = usage.hosts_per(usage.hourly_usage_mergeable(logs), "day")
+    return _host_checked(usage.hosts_per(days, "month"), logs, "month")
+
+
 def k3_daily_usage(spark, d):
     return usage.daily_usage(_hourly(spark, d))
 
@@ -127,7 +173,7 @@ QUERIES = {f.__name__: f for f in (
     k1_hourly_usage, _merged("add"), _merged("replace"), k3_daily_usage, k3_daily_usage_tz, k4_hourly_history,
     k4_daily_history, k4_usage_range, k5_current_usage, k5_current_usage_tz, k7_last_event_at, k8_quota_status,
     k9_quota_actions, k10_admit_events, k11_projects_view, k12_overview, k13_fleet_summary, k13_fleet_top,
-    k14_invoices,
+    k14_invoices, k2_add_hosts, k2_replace_hosts, k3_daily_hosts, k3_monthly_hosts,
 )}
 
 HU = LOGS + """,
@@ -222,3 +268,13 @@ for _name, _types in {
     "k14_invoices": {'overage_charge': 'DOUBLE'},
 }.items():
     ORACLES[_name] = typed(ORACLES[_name], **_types)
+
+
+def _hosts(unit, at):
+    return f"""WITH {LOGS} SELECT tenant_id AS project_id, date_trunc('{unit}', ts) AS {at}, count(*) AS event_count,
+        count(*) FILTER (severity IN ('err', 'crit')) AS error_count,
+        count(DISTINCT concat(host, '-', event_id % 997)) AS hosts_exact, true AS "within" FROM logs GROUP BY 1, 2"""
+
+
+ORACLES["k2_add_hosts"] = ORACLES["k2_replace_hosts"] = _hosts("hour", "timestamp_hour")
+ORACLES["k3_daily_hosts"], ORACLES["k3_monthly_hosts"] = _hosts("day", "day"), _hosts("month", "month")
