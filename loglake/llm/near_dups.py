@@ -41,6 +41,7 @@ then the least hash of its text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -59,6 +60,7 @@ SKETCHES = 60
 SIMILARITY = 0.8
 LEADERS = 2
 BLOCK = 256
+SLICE_BYTES = 1 << 20  # of text sketched at once
 BINS = 256  # of word counts
 MOST = np.uint64(2**64 - 1)
 SEEDS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -143,21 +145,19 @@ def keys_of_texts(hashes: np.ndarray, first: np.ndarray, n: int, similarity: flo
 def _sketched(n: int, similarity: float):
     def run(batches):
         for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column("text")):
+            for first, end, data, offsets in text_slices(batch.column("text"), SLICE_BYTES):
                 lower = LOWER[data]
                 words = Words(lower, offsets, ALNUM)
                 hashes = words.hashes()
-                one, two = _sums(hashes, words.first), _sums(mix(hashes ^ OTHER), words.first)
-                bare = np.flatnonzero(words.counts == 0)
-                if len(bare):
-                    bytes_ = mix(data.astype(np.uint64) + np.uint64(1))
-                    one[bare], two[bare] = (_sums(b, offsets)[bare] for b in (bytes_, mix(bytes_ ^ OTHER)))
-                raw = np.stack([one, two], axis=1).astype("<u8").tobytes()
+                classes = [
+                    hashlib.blake2b(hashes[a:b].tobytes() or b"text" + data[c:d].tobytes(), digest_size=16).digest()
+                    for a, b, c, d in zip(words.first, words.first[1:], offsets, offsets[1:], strict=False)
+                ]
                 keys = keys_of_texts(hashes, words.first, n, similarity)
                 own = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([
                     own.column("doc_id"), own.column("text_hash"),
-                    pa.array([raw[16 * i : 16 * i + 16] for i in range(len(one))], pa.binary()),
+                    pa.array(classes, pa.binary()),
                     pa.array(words.counts.astype(np.int64)),
                     pa.array([k if k is None else k.view(np.int64) for k in keys], pa.list_(pa.int64())),
                 ], ["doc_id", "text_hash", "key", "n_words", "sketches"])
@@ -168,7 +168,7 @@ def _sketched(n: int, similarity: float):
 def _sequences(batches):
     """Word hashes (u32) of texts, and how many fall into each of `BINS` bins."""
     for batch in batches:
-        for first, end, data, offsets in text_slices(batch.column("text")):
+        for first, end, data, offsets in text_slices(batch.column("text"), SLICE_BYTES):
             words = Words(LOWER[data], offsets, ALNUM)
             hashes = (words.hashes() >> np.uint64(32)).astype("<u4")
             view = hashes.tobytes()

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-from .words import byte_class, mix, powers
+from .words import DIGEST_OVER, byte_class, digests, mix, powers
 
 SPACE = byte_class([0x20, *range(0x09, 0x0E)])
 ASCII_WORD = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
@@ -105,6 +105,8 @@ class Encoder:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
         keys = mix((total[ends] - total[starts]) * down[starts])
         del total
+        long_ = np.flatnonzero(ends - starts > DIGEST_OVER)
+        keys[long_] = digests(data, starts[long_], ends[long_])
         unique, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
         place, there = self._known(unique)
         if not there.all():

@@ -7,6 +7,7 @@ small however large a partition is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+DIGEST_OVER = 32  # bytes: sums of powers modulo 2**64 can be made equal for long strings, digests cannot
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of byte ranges, for the few that are long."""
+    parts = [hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), "<u8").astype(np.uint64)
+
+
 _POWERS: dict = {}
 POWER_STEP = 1 << 18
 
@@ -97,7 +107,10 @@ class Words:
         up, down = powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        out = mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        long_ = np.flatnonzero(self.ends - self.starts > DIGEST_OVER)
+        out[long_] = digests(self.data, self.starts[long_], self.ends[long_])
+        return out
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

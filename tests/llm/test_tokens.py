@@ -10,7 +10,7 @@ import pytest
 from helpers import ODD_TEXTS, edge_rows, frame, levenshtein, prose
 from tokenizers import Tokenizer
 
-from loglake.llm import packing, token_blocks
+from loglake.llm import near_dups, packing, repeats, token_blocks
 from loglake.llm.tokens import Encoder
 from loglake.llm.words import edit_distance, text_slices
 from loglake.session import scratch
@@ -129,3 +129,26 @@ def test_edit_distance():
         b = [x for x in a if rng.random() < 0.8] if rng.random() < 0.5 else [rng.randrange(4) for _ in range(rng.randrange(14))]
         most = rng.randrange(10)
         assert edit_distance(a, b, most) == min(levenshtein(a, b), most + 1)
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_strings_with_equal_sums_of_powers(spark):
+    """Sums of powers modulo 2**64 agree on these two whatever the base; ids and words must not."""
+    one = thue_morse(2048)
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    for file in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(file)
+        plain = Tokenizer.from_file(path)
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        ids, before = Encoder.of(path, plain=True).ids(data, np.array([0, 2048, 4096]))
+        for i, text in enumerate(texts):
+            assert ids[before[i] : before[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids
+    rows = [(1, " ".join([texts[0], *"cdefghijklmnopqrstuvw"])), (2, " ".join([texts[1], *"cdefghijklmnopqrstuvw"]))]
+    gone = repeats.remove_repeats(frame(spark, rows), with_text=False).collect()
+    assert {r.doc_id: r.n_removed for r in gone} == {1: 0, 2: 21}
+    letters = [(k, " ".join(t[:1024])) for k, t in enumerate(texts)]  # as words: texts of the same sums
+    found = near_dups.near_duplicates(frame(spark, letters)).collect()
+    assert len({r.class_id for r in found}) == 2
