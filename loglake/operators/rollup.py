@@ -156,14 +156,22 @@ def minute_highlights(
     events: DataFrame, k: int | None = 50, bucket: str = "minute", tz: str = "UTC", sources: int = 5
 ) -> DataFrame:
     """Unique events of each minute with occurrences and sources; the k most frequent (all for None)."""
-    order = event_order(events)
-    sample = F.struct(*dict.fromkeys([*order, "severity", "host", "app", "message"]))
     facts = events.groupBy(
         bucket_of(in_zone(F.col("ts"), tz), bucket).alias("bucket"),
         "pattern_id",
         filled(F.col("host"), "unknown").alias("source_host"),
         filled(F.col("app"), "-").alias("source_app"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.min(sample).alias("first"))
+    ).agg(F.count(F.lit(1)).alias("n"), F.min(highlight_sample(events)).alias("first"))
+    return highlights_of_facts(facts, event_order(events), k, sources)
+
+
+def highlight_sample(events: DataFrame) -> Column:
+    """What a highlight shows of an event; the least one is that of the first event."""
+    return F.struct(*dict.fromkeys([*event_order(events), "severity", "host", "app", "message"]))
+
+
+def highlights_of_facts(facts: DataFrame, order: list[str], k: int | None = 50, sources: int = 5) -> DataFrame:
+    """`minute_highlights` from rows `(bucket, pattern_id, source_host, source_app, n, first)`."""
     none = F.when(F.lit(False), F.col("first"))
     n = F.col("n")
     rows = facts.select(

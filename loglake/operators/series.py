@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import plus_seconds, top_k
+from ..functions.selection import order_values
 from ..functions.skew import with_group_index
+from ..session import stored
 
 
 def keep_last(df: DataFrame, n: int = 1000) -> DataFrame:
@@ -58,15 +60,14 @@ def anomalies_zscore(df: DataFrame, threshold: float = 3.0) -> DataFrame:
 
 
 def anomalies_iqr(df: DataFrame, multiplier: float = 1.5) -> DataFrame:
-    """Fences from the points at positions n//4 and 3n//4 of the sorted values."""
-    ranked = with_group_index(df.select("series", "value", "ts"), ["series"], [F.col("value"), F.col("ts")])
-    sizes = ranked.groupBy("series").agg((F.max("idx") + 1).alias("n")).where("n >= 10")
-    q1_at, q3_at = F.floor(F.col("n") / 4), F.floor(3 * F.col("n") / 4)
+    """Fences from the points at positions n//4 and 3n//4 of the sorted values.
+
+    The two values are selected by counting, so a long series is neither
+    sorted nor moved.
+    """
+    places = {"q1": F.floor(F.col("n") / 4), "q3": F.floor(3 * F.col("n") / 4)}
     fences = (
-        ranked.join(sizes, "series")
-        .where((F.col("idx") == q1_at) | (F.col("idx") == q3_at))
-        .groupBy("series")
-        .agg(F.min("value").alias("q1"), F.max("value").alias("q3"))
+        stored(order_values(df, "series", "value", places).where("n >= 10"), "fences")
         .withColumn("iqr", F.col("q3") - F.col("q1"))
         .withColumn("low", F.col("q1") - multiplier * F.col("iqr"))
         .withColumn("high", F.col("q3") + multiplier * F.col("iqr"))

@@ -92,6 +92,12 @@ _SUMMARY = """concat('Local model unavailable, generated deterministic summary.'
 _NL = "chr(10)"
 ALERT_STATS = f"""concat('Statistics:', {_NL}, '• Total Events: ', format('{{:,}}', total_events),
    CASE WHEN errs IS NOT NULL THEN concat({_NL}, '• Errors: ', errs) ELSE '' END, {_NL}, '• Top Hosts: ', ha3, {_NL}, '• Top Apps: ', a3)"""
+APP_ERRORS = """
+        eh AS (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY rank) AS er, count(*) OVER (PARTITION BY hour) AS n FROM hh
+          WHERE rank <= 15 AND severity IN ('err','error','crit','critical','alert','emerg','emergency')),
+        ae AS (SELECT hour, concat('App Errors:', chr(10), string_agg(concat('• ', app, ': ', CASE WHEN length(message) > 80
+            THEN concat(left(message, 77), '...') ELSE message END, ' (', occurrences, 'x)'), chr(10) ORDER BY er) FILTER (er <= 5),
+            CASE WHEN max(n) > 5 THEN concat(chr(10), '• ... and ', max(n) - 5, ' more errors') ELSE '' END) AS app_errors FROM eh GROUP BY hour)"""
 
 ORACLES = {
     "l1_prompt_table": f"""WITH {HSTATS}{HH}, {WIDE}, {LEVEL},
@@ -126,12 +132,7 @@ ORACLES = {
     "l2_highlight_analysis": f"""WITH {PATTERNS}{HH}, {LEVEL} SELECT hour,
         concat('Local model unavailable, generated deterministic summary.', chr(10), chr(10), 'Highlights found:', chr(10), ctx200)
         AS highlight_analysis FROM ht""",
-    "l3_alerts": f"""WITH {HSTATS}{HH}, {WIDE},
-        eh AS (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY rank) AS er, count(*) OVER (PARTITION BY hour) AS n FROM hh
-          WHERE rank <= 15 AND severity IN ('err','error','crit','critical','alert','emerg','emergency')),
-        ae AS (SELECT hour, concat('App Errors:', chr(10), string_agg(concat('• ', app, ': ', CASE WHEN length(message) > 80
-            THEN concat(left(message, 77), '...') ELSE message END, ' (', occurrences, 'x)'), chr(10) ORDER BY er) FILTER (er <= 5),
-            CASE WHEN max(n) > 5 THEN concat(chr(10), '• ... and ', max(n) - 5, ' more errors') ELSE '' END) AS app_errors FROM eh GROUP BY hour)
+    "l3_alerts": f"""WITH {HSTATS}{HH}, {WIDE}, {APP_ERRORS}
         SELECT hour, total_events, total_errors, concat_ws(chr(10) || chr(10), concat('High Error Count: ', total_errors, ' errors'),
           app_errors, {ALERT_STATS}) AS body FROM wide LEFT JOIN ae USING (hour) WHERE total_errors >= 5""",
     "l3_alerts_anomaly": f"""WITH {HSTATS}, {WIDE} SELECT hour, total_events, total_errors,

@@ -15,8 +15,8 @@ from ..session import scratch
 from ..sources import storage, views
 from ..streaming import jobs
 from .oracle_views import LOGS, PATTERNS, typed
-from .reports import ALERT_STATS, WIDE
-from .rollups import HSTATS
+from .reports import ALERT_STATS, APP_ERRORS, WIDE
+from .rollups import HH, HSTATS
 from .storage import raw_folder
 from .usage import PJ, _COLOUR, _plans, _projects
 
@@ -108,6 +108,22 @@ def n8_stream_alerts(spark, d):
     return _plain(spark.read.parquet(path), "hour").select("hour", "total_events", "total_errors", "body")
 
 
+def n8_stream_text_alerts(spark, d):
+    path = _batches(spark, jobs.start_text_alerts, log_stream(spark, d), 5)
+    return spark.read.parquet(path).select("hour", "total_events", "total_errors", "body")
+
+
+def n8_stream_anomaly_alerts(spark, d):
+    """Hours with an anomaly text, made from their own highlights."""
+    def texts(hours, highlights):
+        return hours.where("dim = 'total'").select("hour", F.when(
+            F.hour("hour") == 3, "  \n Spike of logins seen \nmore"
+        ).when(F.hour("hour") == 4, "No anomalies detected in this hour").alias("anomalies"))
+
+    path = _batches(spark, jobs.start_text_alerts, log_stream(spark, d), 1_000_000, anomalies=texts)
+    return spark.read.parquet(path).select("hour", "total_events", "total_errors", "body")
+
+
 def f4_tail_stream(spark, d):
     root = scratch(spark, "ndjson")
     logs = views.logs(spark, d)
@@ -141,7 +157,7 @@ def a12_forward_failing_sink(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     n1_stream_parse, n2_stream_dedupe, n2_stream_dedupe_counted, n3_stream_minute_stats, n4_stream_hourly_stats,
-    n5_stream_sample, n6_stream_issue_state, n7_stream_usage_quota, n8_stream_alerts, f4_tail_stream,
+    n5_stream_sample, n6_stream_issue_state, n7_stream_usage_quota, n8_stream_alerts, n8_stream_text_alerts, n8_stream_anomaly_alerts, f4_tail_stream,
     a12_forward_events, a12_forward_failing_sink,
 )}
 
@@ -194,6 +210,13 @@ ORACLES = {
     "n8_stream_alerts": f"""WITH {HSTATS}, {WIDE} SELECT hour, total_events, total_errors,
         concat_ws(chr(10) || chr(10), concat('High Error Count: ', total_errors, ' errors'), {ALERT_STATS}) AS body
         FROM wide WHERE total_errors >= 5 AND {_closed('hour', '1 HOUR', '10 MINUTE')}""",
+    "n8_stream_text_alerts": f"""WITH {HSTATS}{HH}, {WIDE}, {APP_ERRORS}
+        SELECT hour, total_events, total_errors, concat_ws(chr(10) || chr(10), concat('High Error Count: ', total_errors, ' errors'),
+          app_errors, {ALERT_STATS}) AS body FROM wide LEFT JOIN ae USING (hour)
+        WHERE total_errors >= 5 AND {_closed('hour', '1 HOUR', '10 MINUTE')}""",
+    "n8_stream_anomaly_alerts": f"""WITH {HSTATS}{HH}, {WIDE}, {APP_ERRORS}
+        SELECT hour, total_events, total_errors, concat_ws(chr(10) || chr(10), 'Anomaly: Spike of logins seen', app_errors, {ALERT_STATS}) AS body
+        FROM wide LEFT JOIN ae USING (hour) WHERE hour(hour) = 3 AND {_closed('hour', '1 HOUR', '10 MINUTE')}""",
     "f4_tail_stream": f"WITH {LOGS} SELECT host, app, severity, message FROM logs WHERE event_id % 10 <> 0",
     "a12_forward_events": f"WITH {PATTERNS} SELECT event_id, host, pattern_id FROM pat",
     "a12_forward_failing_sink": f"WITH {PATTERNS} SELECT event_id, host, pattern_id, unnest(['good', 'bad']) AS sink FROM pat",

@@ -21,9 +21,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import filled
 from ..operators import report, usage
-from ..operators.dedupe import sample_per_key
+from ..operators.dedupe import event_order, sample_per_key
 from ..operators.parse import parse_logs, with_pattern_id
-from ..operators.rollup import TOP_DIMS, ranked_counts
+from ..operators.rollup import TOP_DIMS, highlight_sample, highlights_of_facts, hourly_highlights, ranked_counts
 from ..schemas import STORED_EVENT
 
 # --- running ----------------------------------------------------------------
@@ -215,6 +215,61 @@ def start_alerts(events: DataFrame, path: str, checkpoint: str, threshold: int,
     return start_batches(counts, batch_sink(path, rows), checkpoint, once)
 
 
+def stream_hour_facts(events: DataFrame, delay: str) -> DataFrame:
+    """Events of closed hours by minute, pattern, severity, host and app, with the first event of each.
+
+    The minutes of an hour stay in the state until the hour closes, so that
+    its counts and its highlights leave together, in one batch.
+    """
+    return (
+        events.withWatermark("ts", delay)
+        .groupBy(
+            F.window("ts", "1 hour").alias("w"), F.date_trunc("minute", "ts").alias("minute"), "pattern_id", "severity",
+            filled(F.col("host"), "unknown").alias("source_host"), filled(F.col("app"), "-").alias("source_app"),
+        )
+        .agg(F.count(F.lit(1)).alias("n"), F.min(highlight_sample(events)).alias("first"))
+        .select(
+            F.col("w.start").cast("timestamp_ntz").alias("hour"), F.col("minute").cast("timestamp_ntz").alias("bucket"),
+            "pattern_id", "severity", "source_host", "source_app", "n", "first",
+        )
+    )
+
+
+def hours_of_facts(facts: DataFrame, k: int = 5) -> DataFrame:
+    """Hour totals, severities and top lists from the facts of closed hours."""
+    host, app = F.col("source_host"), F.col("source_app")
+    dims = [("severity", F.col("severity")), ("host", host), ("app", app), ("host_app", F.concat(host, F.lit("/"), app)),
+            ("pattern", F.col("pattern_id")), ("total", F.lit(""))]
+    rows = facts.select(F.col("hour").alias("bucket"), "n", F.inline(F.array(*[
+        F.struct(F.lit(d).alias("dim"), key.alias("key")) for d, key in dims
+    ])))
+    return closed_hours(rows.groupBy("bucket", "dim", "key").agg(F.sum("n").alias("cnt")), k)
+
+
+def start_text_alerts(
+    events: DataFrame, path: str, checkpoint: str, threshold: int, delay: str = "10 minutes", once: bool = True,
+    anomalies: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+):
+    """Alert rows of closed hours with the texts of their error highlights, as `report.alerts` gives them.
+
+    `anomalies` makes rows `(hour, anomalies)` from the closed hours and their
+    highlights; hours with such a text are reported under the threshold, too.
+    """
+    order = event_order(events)
+
+    def rows(batch: DataFrame) -> DataFrame:
+        facts = batch.persist()  # for the counts and for the highlights
+        hours, highlights = hours_of_facts(facts), hourly_highlights(highlights_of_facts(facts, order), 15)
+        texts = anomalies(hours, highlights) if anomalies else None
+        return report.alerts(hours, highlights, threshold, texts)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch_sink(path, rows)(batch, batch_id)
+        batch.unpersist()
+
+    return start_batches(stream_hour_facts(events, delay), write, checkpoint, once)
+
+
 # --- issues -----------------------------------------------------------------
 
 _ISSUE_ROW = "pattern_id string, day timestamp, state string, severity string"

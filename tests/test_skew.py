@@ -1,11 +1,13 @@
 """Hot groups: exact results, and no group whole in one task."""
 
 import datetime as dt
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from loglake.functions import selection
 from loglake.functions.skew import with_group_index
 from loglake.operators import dedupe, process, series, usage
 
@@ -106,3 +108,24 @@ def test_quartiles_of_a_long_series(spark):
     )
     r = series.anomalies_iqr(df, 0.1).select("expected_low", "expected_high").first()
     assert (r.expected_low, r.expected_high) == (1250 - 250.0, 3750 + 250.0)
+
+
+@pytest.mark.parametrize("small", [50_000, 300, 20])
+def test_order_values_by_counting(spark, small):
+    rng = random.Random(7)
+    groups = {
+        "smooth": [rng.gauss(0, 1) for _ in range(6000)], "few": [float(rng.randrange(3)) for _ in range(4000)],
+        "tail": [rng.paretovariate(0.2) for _ in range(3000)] + [1e300, -1e300], "one": [5.0] * 2500,
+        "nulls": [None] * 700 + [float(i) for i in range(900)], "none": [None] * 12, "short": [2.0, 1.0],
+        "nan": [float("nan")] * 400 + [float(i % 50) for i in range(800)],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "series string, value double").repartition(5)
+    n = F.col("n")
+    got = selection.order_values(df, "series", "value", {"a": F.floor(n / 4), "b": F.floor(3 * n / 4), "c": n - 1, "d": n}, small)
+    for r in got.collect():
+        values = sorted(groups[r.series], key=lambda v: (v is not None, v != v, 0 if v is None or v != v else v))
+        want = [values[len(values) // 4], values[3 * len(values) // 4], values[-1], None]
+        assert r.n == len(values) and repr([r.a, r.b, r.c, r.d]) == repr(want), r.series
+    assert selection.order_values(df.limit(0), "series", "value", {"a": n}, small).count() == 0
