@@ -22,6 +22,7 @@ import re
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,6 +139,7 @@ def scan(text: str) -> dict:
     """Findings in one text."""
     words = text.encode().translate(TO_WORDS).split()
     plain = b" " + b" ".join(words) + b" "
+    spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 0x20)
     first = last = None
     n_base, n_tags, n_bad = 0, 0, 0
     base, labels, scores = set(), set(), []
@@ -147,7 +149,7 @@ def scan(text: str) -> dict:
         elif phrase in NOTICES:
             labels.add(NOTICES[phrase])
         else:
-            word = plain.count(b" ", 0, end - len(phrase) - 1)
+            word = int(np.searchsorted(spaces, end - len(phrase) - 1))
             first = word if first is None else min(first, word)
             last = word if last is None else max(last, word)
             n_base += 1

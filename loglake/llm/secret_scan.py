@@ -82,6 +82,7 @@ KINDS = {
         re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"), 0, base64_block,
     ),
 }
+TOKEN_RUN = re.compile(rb"[A-Za-z0-9_-]*")
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
 BASE = ("assign", "access", "hex")
 
@@ -110,6 +111,9 @@ def spans(raw: bytes, hex_runs: list[tuple[int, int]]) -> list[tuple[int, int, s
             used[kind] = found.end()
             if valid(found[group]):
                 out.append((at, found.end(), kind, found.start(group)))
+        elif kind == "webtoken":
+            # A later start within the same run of token characters fails as this one did.
+            used[kind] = TOKEN_RUN.match(raw, at).end()
     return sorted(out, key=lambda s: (s[0], ORDER[s[2]]))
 
 
@@ -130,8 +134,8 @@ def _scanned(texts):
 def _points(raw: bytes, found: list) -> list[tuple[int, int, str]]:
     if not found or raw.isascii():
         return [(a, b, kind) for a, b, kind, _ in found]
-    at = {p: len(raw[:p].decode()) for a, b, _, _ in found for p in (a, b)}
-    return [(at[a], at[b], kind) for a, b, kind, _ in found]
+    before = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+    return [(int(before[a]), int(before[b]), kind) for a, b, kind, _ in found]
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

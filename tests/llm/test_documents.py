@@ -487,3 +487,17 @@ def test_classes_use_lower_case():
     data = np.frombuffer("ÀB c".encode(), np.uint8)
     words = Words(LOWER[data], np.array([0, len(data)]), ALNUM)
     assert len(words.starts) == 2
+
+
+def test_long_texts_in_linear_time():
+    from time import perf_counter
+
+    begin = perf_counter()
+    found = licenses.scan("mit license " * 100_000)
+    assert (found["n_base"], found["first_word"], found["last_word"]) == (100_000, 0, 199_998)
+    assert secret_scan.spans(b"eyJ" * 400_000, []) == []
+    raw = ("é password=abcdefgh12 " * 20_000).encode()
+    spans = secret_scan._points(raw, secret_scan.spans(raw, []))
+    text = raw.decode()
+    assert len(spans) == 20_000 and all(text[a:b] == "password=abcdefgh12" for a, b, _ in spans)
+    assert perf_counter() - begin < 20
