@@ -19,9 +19,11 @@ The ranges of word counts below are laid out for a similarity of 0.8 or more.
    leader first, `LEADERS` times over with another leader; a bucket's next leader
    is the least member that the links so far do not connect with the last one.
 4. What is still in different groups within a bucket is compared in blocks of
-   `BLOCK` classes, the largest group of a bucket with the others only: pairs whose word counts rule out the similarity are dropped,
-   all others are aligned.  So every pair that shares a key is connected by
-   links or aligned.
+   `BLOCK` classes.  Smaller buckets are one block; blocks of others hold one level of word counts and meet those of the
+   same and of the neighbouring levels; the largest group of a bucket meets the
+   others only, and buckets with the same members are one.  Pairs whose word
+   counts rule out the similarity are dropped, all others are aligned.  So every
+   pair that shares a key is connected by links or aligned.
 5. Alignment keeps to a band around the diagonal as wide as the similarity
    allows, and gives the exact edit distance within it.
 6. Linked classes form groups (connected components, labels passed along links
@@ -42,12 +44,13 @@ then the least hash of its text; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -243,6 +246,16 @@ def allowed(n_words: int, similarity: float) -> int:
     return int(n_words * (1 - similarity) + 1e-9)
 
 
+def word_level(n_words: Column, similarity: float) -> Column:
+    """Levels of word counts; those of near copies are the same or neighbours.  The number of levels is logarithmic."""
+    step = max(-math.log(similarity), 0.001) * 1.0001  # a little wider, so that rounding parts no pair
+    return F.floor(F.log(F.greatest(n_words, F.lit(1))) / step).cast("int")
+
+
+def _block(level: Column, large: Column, number: Column) -> Column:
+    return (level.cast("long") * 2 + large.cast("long")) * (1 << 32) + number
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, label) of all nodes of links (key, leader): the least key of each component."""
     both = stored(links.select("key", F.col("leader").alias("other")).unionByName(
@@ -331,21 +344,29 @@ def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
         led = stored(leads.select("bucket", F.col("lead.key").alias("key")).join(now, "key").select(
             "bucket", F.col("label").alias("led")
         ), "led")
+    # Buckets with the same members are one; what is near has word counts in the same or in neighbouring levels.
+    marks = [F.bit_xor(F.xxhash64("key")).alias("mark"), F.bit_xor(F.xxhash64("key", "key")).alias("mark2"), F.count(F.lit(1)).alias("n")]
+    once = left.groupBy("bucket").agg(*marks).groupBy("mark", "mark2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    left = stored(left.join(stored(once, "once"), "bucket"), "left")
     # The largest label of a bucket is set against the others only, never against itself.
     each = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = each.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
-        "bucket", F.col("most.label").alias("largest"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("large_blocks"),
-        F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("blocks"),
+    most = stored(each.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
+        "bucket", F.col("most.label").alias("largest"), (F.col("n") > BLOCK).alias("split")), "largest")
+    left = left.join(most, "bucket").select(
+        "bucket", "key", "n_words", "label", (F.col("split") & (F.col("label") == F.col("largest"))).alias("large"),
+        F.when(F.col("split"), word_level(F.col("n_words"), similarity)).otherwise(0).alias("level"),
     )
-    large, all_blocks = F.col("label") == F.col("largest"), F.col("blocks") + F.col("large_blocks")
-    at = F.when(large, F.col("blocks") + F.pmod(F.xxhash64("key"), F.col("large_blocks"))).otherwise(
-        F.pmod(F.xxhash64("key"), F.col("blocks"))
-    ).cast("int")
+    blocks = left.groupBy("bucket", "level", "large").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = blocks.groupBy("bucket").agg(F.collect_list(F.struct("level", "large", "blocks")).alias("sizes"))
+    met = F.filter("sizes", lambda s: (F.abs(s.level - F.col("level")) <= 1) & ~(s.large & F.col("large")))
+    own = F.filter("sizes", lambda s: (s.level == F.col("level")) & (s.large == F.col("large")))[0]
     dealt = left.join(stored(sizes, "sizes"), "bucket").select(
-        "bucket", "key", "n_words", "label", at.alias("block"), F.when(large, F.col("blocks")).otherwise(all_blocks).alias("others")
-    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select(
-        "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "n_words", "label"
-    )
+        "bucket", "key", "n_words", "label",
+        _block(F.col("level"), F.col("large"), F.pmod(F.xxhash64("key"), own.blocks)).alias("block"),
+        F.explode(F.flatten(F.transform(met, lambda s: F.transform(
+            F.sequence(F.lit(0), s.blocks - 1), lambda i: _block(s.level, s.large, i)
+        )))).alias("other"),
+    ).select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "n_words", "label")
     dealt = stored(dealt.join(sequences.select("key", "bins"), "key"), "dealt")
     apart = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(
         _apart(similarity), "key binary, leader binary"

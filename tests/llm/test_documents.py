@@ -113,6 +113,15 @@ def test_near_copies_that_share_a_passage_with_all(spark, monkeypatch, block):
     assert {r.doc_id: r.group_id for r in got} == {d: d // 10 * 10 for d, _ in rows}
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.5, 0.95, 1.0])
+def test_near_word_counts_are_on_neighbouring_levels(spark, similarity):
+    level = near_dups.word_level(F.col("id"), similarity)
+    levels = {r.id: r.level for r in spark.range(4, 5001).select("id", level.alias("level")).collect()}
+    for n in levels:
+        shortest = max(4, n - near_dups.allowed(n, similarity))
+        assert levels[n] - levels[shortest] in (0, 1) and levels[n] >= levels[max(4, n - 1)]
+
+
 def test_near_copies_at_the_limit(spark):
     """All pairs of every length at the limit: short ones are found for certain."""
     rows, want, found = [], set(), set()
