@@ -10,15 +10,18 @@ the unlabelled and the good ones.  The non-negative estimate
 is minimised by gradient steps; where the second part falls below zero, the
 step goes back up instead, which stops overfitting.  The prior is estimated
 first, as the least ratio of unlabelled to good documents above a threshold of
-a plain good-against-all score (on rows that score was not fitted to).
+a plain good-against-all score.  Documents fall into two halves by a hash of
+their id; each half is scored with the fit on the other one, and all documents
+that are not held out are counted, in bins of the score.
 
 A score depends on the shape of the text alone: lengths, shares of character
 classes, repetition of words and windows.  Each measure is spread over
-piecewise linear bumps at its quantiles, and the model is linear in those.
+piecewise linear bumps at its quantiles over all those documents (to 0.4 %),
+and the model is linear in those.
 
-The fit takes at most `SAMPLE` good and `SAMPLE` unlabelled documents, chosen
+The gradient steps take at most `SAMPLE` good and `SAMPLE` unlabelled documents, chosen
 by a hash of their id; every document is scored.  Held-out documents are never
-part of the fit.
+part of the fit.  Measures of the others are written once, 15 numbers each.
 
 Defined results: a null text counts as empty, and empty texts are scored like
 all others; documents without an id are held in (their remainder is null) but
@@ -33,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .words import SPACED, Words, byte_class, mix, text_slices, windows
 
 SAMPLE = 10_000
@@ -42,6 +46,8 @@ KNOTS = 8
 STEPS = 300
 RATE = 0.2
 DECAY = 2e-5
+BINS = 1200  # of the good-against-all score
+CUT_BITS = 15  # of a float of 32 bits: values are counted to 8 binary digits
 
 SLICE = 1 << 20  # bytes of text measured at a time
 
@@ -135,47 +141,69 @@ def descend(weights: np.ndarray, gradient, steps: int) -> np.ndarray:
     return weights
 
 
-def class_prior(good: np.ndarray, all_: np.ndarray, model: Model) -> float:
-    """Share of good documents among all, from a good-against-all score on other rows than it was fitted to."""
-    p, u = model.spread(good), model.spread(all_)
+def halves_scores(good: np.ndarray, good_half: np.ndarray, all_: np.ndarray, all_half: np.ndarray, model: Model) -> list[np.ndarray]:
+    """Weights of good-against-all scores for each half, fitted to the other half."""
+    p, u, out = model.spread(good), model.spread(all_), []
+    for half in (0, 1):
+        own, other = p[good_half != half], u[all_half != half]
 
-    def gradient(w):
-        return (p[::2].T @ (sigmoid(p[::2] @ w) - 1)) / len(p[::2]) + (u[::2].T @ sigmoid(u[::2] @ w)) / len(u[::2])
-
-    w = descend(np.zeros(p.shape[1]), gradient, STEPS // 2)
-    own, other = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
-    if not len(own) or not len(other):
-        return 0.5
-    at = np.unique(own)
-    above = 1 - np.searchsorted(own, at) / len(own)
-    found = 1 - np.searchsorted(other, at) / len(other)
-    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(own)) + 1 / np.sqrt(len(other)))
+        def gradient(w, own=own, other=other):
+            return (own.T @ (sigmoid(own @ w) - 1)) / len(own) + (other.T @ sigmoid(other @ w)) / len(other)
+
+        known = len(own) and len(other)
+        out.append(descend(np.zeros(p.shape[1]), gradient, STEPS // 2) if known else np.zeros(p.shape[1]))
+    return out
+
+
+def score_bins(z: np.ndarray) -> np.ndarray:
+    return np.minimum((np.clip(z, -30, 30) + 30) * (BINS / 60), BINS - 1).astype(np.int64)
+
+
+def class_prior(own: np.ndarray, every: np.ndarray) -> float | None:
+    """Share of good documents, from the counts of trusted and of all documents by score bin; None if there are none."""
+    n_own, n_all = own.sum(), every.sum()
+    if not n_own or not n_all:
+        return None
+    at = np.flatnonzero(own)
+    above = own[::-1].cumsum()[::-1][at] / n_own
+    found = every[::-1].cumsum()[::-1][at] / n_all
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(n_own) + 1 / np.sqrt(n_all))
     enough = above > max(0.05, 2 * slack)
-    bound = (found + slack) / np.maximum(above, 1e-9)
-    best = int(np.argmin(np.where(enough, bound, np.inf)))
+    best = int(np.argmin(np.where(enough, (found + slack) / above, np.inf)))
     return float(np.clip(found[best] / above[best], 0.05, 0.95))
 
 
-def fit(good: np.ndarray, all_: np.ndarray) -> Model:
+def knots_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of the bumps of one measure, from its ascending values and how often each occurs."""
+    total = counts.cumsum()
+    at = np.minimum(np.searchsorted(total, np.linspace(0, 1, KNOTS) * total[-1]), len(values) - 1)
+    return np.unique(np.concatenate([values[at], np.linspace(values[0], values[-1], 4)]))
+
+
+def fit(good: np.ndarray, all_: np.ndarray, knots: list[np.ndarray] | None = None, prior: float = 0.5) -> Model:
     """Model for measures of trusted and of unlabelled documents."""
-    every = np.vstack([good, all_])
-    model = Model([np.unique(np.concatenate([np.quantile(every[:, j], np.linspace(0, 1, KNOTS)),
-                                             np.linspace(every[:, j].min(), every[:, j].max(), 4)])) for j in range(every.shape[1])])
-    model.prior = class_prior(good, all_, model)
+    if knots is None:
+        knots = [knots_of(*np.unique(column, return_counts=True)) for column in np.vstack([good, all_]).T]
+    model = Model(knots)
+    model.prior = prior
     p, u = model.spread(good), model.spread(all_)
-    prior = model.prior
 
     def gradient(w):
-        gp, gu = p @ w, u @ w
-        bad = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        of_good = prior * (p.T @ (sigmoid(gp) - 1)) / len(p)
-        of_bad = (u.T @ sigmoid(gu)) / len(u) - prior * (p.T @ sigmoid(gp)) / len(p)
-        return of_good + of_bad if bad >= 0 else -of_bad
+        return risk_gradient(w, p, u, prior)
 
     model.weights = descend(model.weights, gradient, STEPS)
     return model
 
 
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the non-negative risk; back up the second part where that is below zero."""
+    gp, gu = p @ w, u @ w
+    bad = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    of_good = prior * (p.T @ (sigmoid(gp) - 1)) / len(p)
+    of_bad = (u.T @ sigmoid(gu)) / len(u) - prior * (p.T @ sigmoid(gp)) / len(p)
+    return of_good + of_bad if bad >= 0 else -of_bad
+
+
 def remainder(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
@@ -183,33 +211,81 @@ def remainder(doc_id: Column) -> Column:
 
 def _measured(batches):
     for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
+        for first, end, data, offsets in text_slices(batch.column("text"), SLICE):
             values = measures(data, offsets)
             lists = pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], values.ravel())
-            yield pa.RecordBatch.from_arrays([lists], ["x"])
+            own = batch.slice(first, end - first)
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("half"), lists], ["doc_id", "half", "x"])
 
 
-def sampled(docs: DataFrame, ids: DataFrame, sample: int) -> np.ndarray:
-    """Measures of the documents whose ids come first by hash; at most `sample` rows."""
-    order = F.xxhash64("doc_id")
-    wanted = ids.orderBy(order, "doc_id").limit(sample).select("doc_id").distinct()
-    texts = docs.join(F.broadcast(wanted), "doc_id", "left_semi").select("text").limit(sample)
-    rows = [r.x for r in texts.mapInArrow(_measured, "x array<double>").collect()]
+def _matrix(batch) -> np.ndarray:
+    lists = batch.column("x")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _value_counts(batches):
+    """How often each value of a measure occurs, cut to few digits."""
+    for batch in batches:
+        if batch.num_rows:
+            for j, column in enumerate(_matrix(batch).T):
+                cut, n = np.unique(column.astype(np.float32).view(np.uint32) >> CUT_BITS, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), j)), pa.array(cut.astype(np.int64)), pa.array(n)], ["j", "cut", "n"])
+
+
+def _bin_counts(model: Model, weights: list[np.ndarray]):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, half = model.spread(_matrix(batch)), batch.column("half").to_numpy()
+                z = np.where(half == 0, x @ weights[0], x @ weights[1])
+                at, n = np.unique(half * BINS + score_bins(z), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
+
+    return run
+
+
+def sampled(measured: DataFrame, ids: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Measures and halves of the documents whose ids come first by hash; at most `sample` rows."""
+    wanted = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").distinct()
+    rows = measured.join(F.broadcast(wanted), "doc_id", "left_semi").select("x", "half").limit(sample).collect()
     if not rows:
-        return np.zeros((0, 0))
-    x = np.array(rows, float)
-    return x[np.lexsort(x.T)]  # the same order in every run
+        return np.zeros((0, 0)), np.zeros(0, int)
+    x, half = np.array([r.x for r in rows], float), np.array([r.half for r in rows])
+    order = np.lexsort(x.T)  # the same order in every run
+    return x[order], half[order]
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Fit on documents that are not held out; None without trusted positives."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    held_in = docs.where(F.coalesce(remainder(doc_id) != 0, F.lit(True))).select(
+        doc_id.alias("doc_id"), F.pmod(F.xxhash64(doc_id, F.lit(1)), F.lit(2)).alias("half"), F.col("text").cast("string").alias("text")
+    )
+    measured = stored(held_in.mapInArrow(_measured, "doc_id long, half long, x array<double>"), "measures")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     trusted = known.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").where(remainder(F.col("doc_id")) != 0)
-    good = sampled(source, trusted.select("doc_id"), sample)
+    good, good_half = sampled(measured, trusted.select("doc_id"), sample)
     if not len(good):
         return None
-    return fit(good, sampled(source, source.where(remainder(F.col("doc_id")) != 0).select("doc_id"), sample))
+    all_, all_half = sampled(measured, measured.where("doc_id IS NOT NULL").select("doc_id"), sample)
+    counts = measured.mapInArrow(_value_counts, "j long, cut long, n long").groupBy("j", "cut").agg(F.sum("n").alias("n"))
+    found = np.array(sorted(counts.collect()))
+    values = (found[:, 1] << CUT_BITS).astype(np.uint32).view(np.float32).astype(float)
+    knots = [knots_of(values[found[:, 0] == j], found[found[:, 0] == j, 2]) for j in range(good.shape[1])]
+    model = Model(knots)
+    weights = halves_scores(good, good_half, all_, all_half, model)
+    binned = measured.mapInArrow(_bin_counts(model, weights), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    every = np.zeros(2 * BINS, np.int64)
+    for at, n in binned:
+        every[at] = n
+    shares = []
+    for half in (0, 1):
+        own = np.bincount(score_bins(model.spread(good[good_half == half]) @ weights[half]), minlength=BINS)
+        mine = every[half * BINS : (half + 1) * BINS]
+        shares.append((class_prior(own, mine), mine.sum()))
+    shares = [(prior, n) for prior, n in shares if prior is not None]
+    prior = sum(prior * n for prior, n in shares) / sum(n for _, n in shares) if shares else 0.5
+    return fit(good, all_, knots, prior)
 
 
 def _scores(model: Model | None, texts) -> np.ndarray:

@@ -472,6 +472,35 @@ def test_quality(spark):
     assert np.allclose(again.weights, model.weights)
 
 
+def test_risk_gradient_by_differences():
+    rng = np.random.default_rng(1)
+    p, u, prior = rng.random((30, 4)) + 1, rng.random((50, 4)), 0.4
+    for w in (np.array([0.1, -0.2, 0.3, 0.0]), np.array([3.0, 3.0, 3.0, 3.0])):
+        def parts(w):
+            gp, gu = p @ w, u @ w
+            return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+        def risk(w):
+            return sum(parts(w))
+
+        def back(w):
+            return -parts(w)[1]
+
+        aim = risk if parts(w)[1] >= 0 else back
+        want = [(aim(w + e) - aim(w - e)) / 2e-6 for e in np.eye(4) * 1e-6]
+        assert np.allclose(quality.risk_gradient(w, p, u, prior), want, atol=1e-6)
+
+
+def test_prior_counts_all_documents(spark):
+    """The prior is that of all documents held in, however few the steps are fitted to."""
+    rows, truth, labels = quality_tables(spark)
+    model = quality.fit_documents(frame(spark, rows), labels, sample=60)
+    assert abs(model.prior - sum(truth.values()) / len(truth)) < 0.15
+    own, every = np.array([0, 1, 99]), np.array([500, 20, 180])
+    assert quality.class_prior(own, every) == pytest.approx(min(200 / 700, 180 / 700 / 0.99), abs=0.01)
+    assert quality.class_prior(np.zeros(3, int), every) is None
+
+
 def test_quality_edges(spark):
     rows, _, labels = quality_tables(spark)
     model = quality.fit_documents(frame(spark, rows + edge_rows()), labels.union(spark.createDataFrame(
