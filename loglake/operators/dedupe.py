@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket_of, in_zone, top_k
@@ -41,6 +41,11 @@ def occurrence_counts(df: DataFrame, bucket: str = "minute", key: str = "pattern
     ).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
+def sample_mark(id_cols, seed: int) -> Column:
+    """Hash of an event's id and the seed as 32 hexadecimal digits."""
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
+
+
 def sample_per_key(
     df: DataFrame, keys=("host", "severity", "app"), n: int = 200, seed: int = 0,
     id_cols=("event_id",), by_md5: bool = False,
@@ -51,12 +56,7 @@ def sample_per_key(
     uniform sample without replacement.  Map tasks pass on at most n rows per
     key.
     """
-    parts = [F.col(c).cast("string") for c in id_cols]
-    mark = (
-        F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
-        if by_md5
-        else F.xxhash64(*id_cols, F.lit(seed))
-    )
+    mark = sample_mark(id_cols, seed) if by_md5 else F.xxhash64(*id_cols, F.lit(seed))
     ranked = top_k(df.withColumn("_mark", mark), list(keys), ["_mark", *id_cols], n, "_rank")
     return ranked.drop("_mark", "_rank")
 

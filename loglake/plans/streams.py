@@ -13,11 +13,12 @@ from ..operators.parse import with_pattern_id
 from ..schemas import DAILY_ERRORS
 from ..session import scratch
 from ..sources import storage, views
-from ..streaming import jobs
+from ..streaming import admission, jobs, samples
 from .oracle_views import LOGS, PATTERNS, typed
 from .reports import ALERT_STATS, APP_ERRORS, WIDE
 from .rollups import HH, HSTATS
 from .storage import raw_folder
+from .usage import ORACLES as USAGE
 from .usage import PJ, _COLOUR, _plans, _projects
 
 
@@ -45,6 +46,20 @@ def _batches(spark, starter, *args, **kw):
     return path
 
 
+def _in_parts(spark, d, starter, *args, **kw):
+    """Events arrive in three parts by time; after each the job catches up, stops, and starts again from its checkpoint."""
+    events = views.table(spark, d, "events")
+    arrived, path, checkpoint = (scratch(spark, name) for name in ("arrived", "stream", "checkpoint"))
+    cuts = [F.lit(c).cast("timestamp_ntz") for c in ("2024-01-10 13:30:00", "2024-01-20 05:45:00")]
+    parts = [F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]]
+    for part in parts:
+        events.where(part).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(events.schema).parquet(arrived)
+        logs = jobs.event_time(with_pattern_id(views.logs_from_events(stream)))
+        _done(starter(logs, path, checkpoint, *args, **kw))
+    return path
+
+
 def _plain(df, *cols):
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
@@ -103,6 +118,21 @@ def n7_stream_usage_quota(spark, d):
     )
 
 
+def n5_stream_sample_state(spark, d):
+    """The sample from the marks in the state store; the job stops and goes on between the parts."""
+    path = _in_parts(spark, d, samples.start_sample, n=5, seed=7)
+    return samples.current_sample(spark, path, n=5, seed=7).select("host", "severity", "app", "event_id")
+
+
+def n7_stream_admission(spark, d):
+    """Quotas enforced on events that come in three parts, cut within days."""
+    limits = _projects(spark, d).join(_plans(spark), "plan_id").select(
+        "project_id", F.coalesce("custom_quota_per_day", "events_per_day_limit").alias("limit")
+    )
+    path = _in_parts(spark, d, admission.start_admission, limits)
+    return _plain(spark.read.parquet(f"{path}/events"), "ts").select("event_id", "ts", "tenant_id", "admitted")
+
+
 def n8_stream_alerts(spark, d):
     path = _batches(spark, jobs.start_alerts, log_stream(spark, d), 5)
     return _plain(spark.read.parquet(path), "hour").select("hour", "total_events", "total_errors", "body")
@@ -157,8 +187,8 @@ def a12_forward_failing_sink(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     n1_stream_parse, n2_stream_dedupe, n2_stream_dedupe_counted, n3_stream_minute_stats, n4_stream_hourly_stats,
-    n5_stream_sample, n6_stream_issue_state, n7_stream_usage_quota, n8_stream_alerts, n8_stream_text_alerts, n8_stream_anomaly_alerts, f4_tail_stream,
-    a12_forward_events, a12_forward_failing_sink,
+    n5_stream_sample, n5_stream_sample_state, n6_stream_issue_state, n7_stream_usage_quota, n7_stream_admission, n8_stream_alerts,
+    n8_stream_text_alerts, n8_stream_anomaly_alerts, f4_tail_stream, a12_forward_events, a12_forward_failing_sink,
 )}
 
 
@@ -222,6 +252,9 @@ ORACLES = {
     "a12_forward_failing_sink": f"WITH {PATTERNS} SELECT event_id, host, pattern_id, unnest(['good', 'bad']) AS sink FROM pat",
 }
 
+ORACLES["n5_stream_sample_state"] = ORACLES["n5_stream_sample"]
+ORACLES["n7_stream_admission"] = USAGE["k10_admit_events"]
+
 # Column types as Spark has them.
 for _name, _types in {
     "n4_stream_hourly_stats": {'rank': 'INTEGER'},

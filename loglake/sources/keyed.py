@@ -16,6 +16,8 @@ One job writes at a time; readers see the commits there were when they started.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -112,11 +114,23 @@ def put_rows(df: DataFrame, root: str, key: list[str], count: int = BUCKETS) ->
     return _write(df, root, key, n_buckets(df.sparkSession, root) or count, "delta")
 
 
-def compact(spark: SparkSession, root: str, key: list[str], most: int = 8, schema: StructType | None = None) -> list[int]:
-    """Give buckets with more than `most` deltas a new base; returns these buckets."""
+def compact(
+    spark: SparkSession, root: str, key: list[str], most: int = 8, schema: StructType | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> list[int]:
+    """Give buckets with more than `most` deltas a new base; returns these buckets.
+
+    Only the rows that `keep` returns go into the new bases.  A bucket of which
+    it returns none stays as it is.
+    """
     full = sorted(b for b, (_, deltas) in _layout(spark, root).items() if len(deltas) > most)
     if full:
-        _write(read_rows(spark, root, key, full, schema), root, key, n_buckets(spark, root), "base")
+        rows = read_rows(spark, root, key, full, schema)
+        if keep is not None:
+            rows = keep(rows)
+            full = touched(rows, key, n_buckets(spark, root))
+    if full:
+        _write(rows, root, key, n_buckets(spark, root), "base")
     return full
 
 
