@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ntz
 from ..operators import dedupe, parse, rollup, usage
 from ..session import scratch
-from ..sources import storage, tables, views
+from ..sources import manifest, storage, tables, views
 from .oracle_views import LOGS, PATTERNS, typed
 from .parsing import patterned
 from .rollups import HSTATS, MSTATS, hours, minutes
@@ -86,6 +86,34 @@ def a8_missing_rollups(spark, d):
     return storage.missing_rollups(views.logs(spark, d), stats)
 
 
+def _manifest(spark, d):
+    """Stored logs and a manifest that knows the files of the first part of the month."""
+    root, path = scratch(spark, "events"), scratch(spark, "manifest")
+    logs = views.logs(spark, d)
+    cut = ntz("2024-01-21 00:00:00")
+    storage.write_events(logs.where(F.col("ts") < cut), root)
+    manifest.update(spark.read.parquet(root), path)
+    storage.write_events(logs.where(F.col("ts") >= cut), root)
+    return manifest.facts(spark.read.parquet(root), path)
+
+
+def a8_missing_rollups_manifest(spark, d):
+    stats = minutes(spark, d).where(F.minute("bucket") % 7 != 0)
+    return manifest.missing_rollups(_manifest(spark, d), stats)
+
+
+def d14_hourly_counts_manifest(spark, d):
+    return manifest.hourly_counts(_manifest(spark, d))
+
+
+def g2_table_size_manifest(spark, d):
+    return manifest.table_size(_manifest(spark, d)).select("row_count", (F.col("size_bytes") > 0).alias("has_bytes"))
+
+
+def g3_table_stats_manifest(spark, d):
+    return manifest.table_stats(_manifest(spark, d))
+
+
 def a9_missing_hours(spark, d):
     ev = views.logs(spark, d).where("severity = 'crit'")
     reports = ev.select(F.date_trunc("hour", "ts").alias("window_start"))
@@ -145,7 +173,8 @@ def e2_stored_issues(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     a1_read_raw_lines, a2_read_buckets, a3_bucket_time, a4_write_events, a5_write_report, a6_latest_reports,
-    a7_apply_retention, a7_drop_expired, a8_missing_rollups, a9_missing_hours, a9_missing_days,
+    a7_apply_retention, a7_drop_expired, a8_missing_rollups, a8_missing_rollups_manifest, d14_hourly_counts_manifest,
+    g2_table_size_manifest, g3_table_stats_manifest, a9_missing_hours, a9_missing_days,
     *[_export(f) for f in ("csv", "json", "parquet")], a11_page_table, k6_bucket_usage,
     a9_roll_forward, e2_stored_issues,
 )}
@@ -185,6 +214,10 @@ ORACLES = {
     "a7_drop_expired": """SELECT cast(ts AS DATE) AS dt, count(*) AS events FROM events
         WHERE cast(ts AS DATE) >= DATE '2024-01-24' GROUP BY 1""",
     "a8_missing_rollups": "SELECT DISTINCT date_trunc('minute', ts) AS bucket FROM events WHERE minute(ts) % 7 = 0",
+    "d14_hourly_counts_manifest": "SELECT date_trunc('hour', ts) AS hour, count(*) AS event_count FROM events GROUP BY 1",
+    "g2_table_size_manifest": "SELECT count(*) AS row_count, true AS has_bytes FROM events",
+    "g3_table_stats_manifest": f"""WITH {LOGS} SELECT count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts,
+        count(DISTINCT tenant_id) AS tenant_count FROM logs""",
     "a9_missing_hours": f"""WITH {LOGS} SELECT h AS window_start FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-29 13:00:00',
           TIMESTAMP '2024-01-30 12:00:00', INTERVAL 1 HOUR)) AS h)
         WHERE h NOT IN (SELECT date_trunc('hour', ts) FROM logs WHERE severity = 'crit')""",
@@ -199,6 +232,8 @@ ORACLES = {
           true AS has_bytes FROM b GROUP BY 1""",
 }
 
+ORACLES["a8_missing_rollups_manifest"] = ORACLES["a8_missing_rollups"]
+
 # Column types as Spark has them.
 for _name, _types in {
     "a6_latest_reports": {'rank': 'INTEGER'},

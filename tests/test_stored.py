@@ -1,4 +1,4 @@
-"""Keyed tables, gram index, proven most frequent values, mergeable hosts."""
+"""Keyed tables, gram index, manifest of files, proven most frequent values, mergeable hosts."""
 
 import datetime as dt
 import glob
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loglake.functions.columns import ntz
 from loglake.operators import issues, search, sql_surface, usage
-from loglake.sources import grams, keyed, storage
+from loglake.sources import grams, keyed, manifest, storage
 
 D = dt.datetime
 
@@ -161,3 +161,50 @@ def test_added_hosts_are_united(spark):
     assert (again.event_count, again.unique_hosts) == (3, 3)
     alone = usage.merge_usage_hosts(one, usage.hourly_usage_mergeable(part(0, 0))).first()
     assert alone.event_count == 6000 and abs(alone.unique_hosts - 6000) <= 6000 * usage.HOST_ERROR
+
+
+# -- manifest of files ------------------------------------------------------------
+
+def test_manifest_follows_the_files(spark, tmp_path):
+    root, path = str(tmp_path / "events"), str(tmp_path / "manifest")
+    rng = random.Random(9)
+    rows = [(i, None if i % 90 == 5 else D(2024, 1, 1 + i % 4, rng.randrange(24), rng.randrange(60), 59, 999_999), None if i % 7 == 0 else f"t{i % 5}")
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, tenant_id string").persist()
+    stats = df.where("event_id % 3 = 0 AND ts IS NOT NULL").select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("bucket"))
+
+    def check(read):
+        events = spark.read.parquet(root)
+        found = manifest.facts(events, path)
+        want = sql_surface.table_stats(events, exact=True).first()
+        assert manifest.table_stats(found).first() == want
+        size = manifest.table_size(found).first()
+        assert (size.files, size.row_count, size.size_bytes) == (len(events.inputFiles()), events.count(), sum(
+            os.path.getsize(f.removeprefix("file://")) for f in events.inputFiles()))
+        for got, plain in (
+            (manifest.missing_rollups(found, stats), storage.missing_rollups(events, stats)),
+            (manifest.missing_rollups(found, stats, "Asia/Tehran"), storage.missing_rollups(events, stats, tz="Asia/Tehran")),
+            (manifest.hourly_counts(found), events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).count()),
+        ):
+            assert got.count() == plain.count() and got.exceptAll(plain).isEmpty()
+        assert sum("/events/" in f for f in found.inputFiles()) == read
+
+    storage.write_events(df.where("event_id < 300"), root)
+    first = len(spark.read.parquet(root).inputFiles())
+    check(first)  # no manifest yet
+    assert manifest.update(spark.read.parquet(root), path) == first and manifest.update(spark.read.parquet(root), path) == 0
+    check(0)
+    storage.write_events(df.where("event_id >= 300"), root)
+    check(len(spark.read.parquet(root).inputFiles()) - first)
+    assert manifest.update(spark.read.parquet(root), path) > 0
+    assert storage.drop_expired_partitions(spark, root, 1, "2024-01-03 12:00:00") == ["2024-01-01", "2024-01-02"]
+    check(0)  # files that are gone do not count
+
+
+def test_manifest_added_twice_counts_once(spark, tmp_path):
+    root, path = str(tmp_path / "events"), str(tmp_path / "manifest")
+    storage.write_events(logs(spark, 50).withColumn("tenant_id", F.col("host")), root)
+    events = spark.read.parquet(root)
+    manifest.update(events, path)
+    spark.read.schema(manifest.SCHEMA).parquet(path).write.mode("append").parquet(path)  # another job at the same time
+    assert manifest.table_stats(manifest.facts(events, path)).first().row_count == 50
