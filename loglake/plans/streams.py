@@ -120,7 +120,7 @@ def n7_stream_usage_quota(spark, d):
 
 def n5_stream_sample_state(spark, d):
     """The sample from the marks in the state store; the job stops and goes on between the parts."""
-    path = _in_parts(spark, d, samples.start_sample, n=5, seed=7)
+    path = _in_parts(spark, d, samples.start_sample, n=5, seed=7, partitions=8)
     return samples.current_sample(spark, path, n=5, seed=7).select("host", "severity", "app", "event_id")
 
 

@@ -27,14 +27,20 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, which `transformWithState` needs."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def state_in_rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which `transformWithState` needs, in so many partitions.
+
+    The number of partitions is fixed by the first start of a checkpoint.
+    """
+    wanted = {PROVIDER: ROCKSDB, **({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 class LeastMarks(StatefulProcessor):
@@ -83,10 +89,15 @@ def sampled_events(events: DataFrame, keys=KEYS, n: int = 200, seed: int = 0, sa
 
 
 def start_sample(
-    events: DataFrame, path: str, checkpoint: str, keys=KEYS, n: int = 200, seed: int = 0, salts: int = 8, once: bool = True
+    events: DataFrame, path: str, checkpoint: str, keys=KEYS, n: int = 200, seed: int = 0, salts: int = 8, once: bool = True,
+    partitions: int | None = None,
 ):
-    """Write the events that enter the sample, one folder per batch; `current_sample` reads the sample off them."""
-    with rocksdb(events.sparkSession):
+    """Write the events that enter the sample, one folder per batch; `current_sample` reads the sample off them.
+
+    `partitions` are those of the state (the session's shuffle partitions where
+    none are given): adaptive execution does not join small ones in a stream.
+    """
+    with state_in_rocksdb(events.sparkSession, partitions):
         return start_batches(sampled_events(events, keys, n, seed, salts), batch_sink(path), checkpoint, once)
 
 
