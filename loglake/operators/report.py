@@ -195,14 +195,16 @@ def trend_prompt_table(details: DataFrame) -> DataFrame:
     )
 
 
-def alerts(hourly: DataFrame, highlights: DataFrame | None, threshold: int, anomalies: DataFrame | None = None) -> DataFrame:
-    """Alert rows: hours with at least `threshold` errors, or with an anomaly text `(hour, anomalies)`."""
+def alerts(
+    hourly: DataFrame, highlights: DataFrame | None, threshold: int | None, anomalies: DataFrame | None = None
+) -> DataFrame:
+    """Alert rows: hours with at least `threshold` errors (None: no such alerts), or with an anomaly text `(hour, anomalies)`."""
     w = hourly_wide(hourly)
     if anomalies is not None:
         w = w.join(anomalies.select("hour", "anomalies"), "hour", "left")
     else:
         w = w.withColumn("anomalies", F.lit(None).cast("string"))
-    many = F.col("total_errors") >= threshold
+    many = F.lit(False) if threshold is None else F.col("total_errors") >= threshold
     text = F.coalesce("anomalies", F.lit(""))
     found = (F.length(text) > 0) & ~F.contains(text, F.lit("No anomalies detected")) & ~F.contains(text, F.lit("No notable anomalies"))
     first_line = F.get(F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: F.length(x) > 0), F.lit(0))

@@ -150,7 +150,7 @@ def n8_stream_anomaly_alerts(spark, d):
             F.hour("hour") == 3, "  \n Spike of logins seen \nmore"
         ).when(F.hour("hour") == 4, "No anomalies detected in this hour").alias("anomalies"))
 
-    path = _batches(spark, jobs.start_text_alerts, log_stream(spark, d), 1_000_000, anomalies=texts)
+    path = _batches(spark, jobs.start_text_alerts, log_stream(spark, d), None, anomalies=texts)
     return spark.read.parquet(path).select("hour", "total_events", "total_errors", "body")
 
 

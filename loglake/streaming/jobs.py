@@ -247,13 +247,14 @@ def hours_of_facts(facts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def start_text_alerts(
-    events: DataFrame, path: str, checkpoint: str, threshold: int, delay: str = "10 minutes", once: bool = True,
+    events: DataFrame, path: str, checkpoint: str, threshold: int | None, delay: str = "10 minutes", once: bool = True,
     anomalies: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ):
     """Alert rows of closed hours with the texts of their error highlights, as `report.alerts` gives them.
 
     `anomalies` makes rows `(hour, anomalies)` from the closed hours and their
-    highlights; hours with such a text are reported under the threshold, too.
+    highlights; hours with such a text are reported under the threshold, too,
+    and without one (None) they alone are.
     """
     order = event_order(events)
 
