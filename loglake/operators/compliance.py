@@ -2,7 +2,7 @@
 
 Everything here works per row, without a shuffle: an Arrow function finds the
 matches of a batch of texts, in time linear in their length and number, and
-expressions do the rest.  A text of any length is scanned whole.  White space
+expressions do the rest.  Batches are bounded in bytes, not only in rows.  A text of any length is scanned whole.  White space
 and word borders are those of Unicode.
 """
 
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 
 @dataclass(frozen=True)
 class Detector:
@@ -89,6 +91,12 @@ def _without_overlaps(spans: list[tuple]) -> list[tuple]:
     return kept
 
 
+def _found(df: DataFrame, text: str, types) -> Column:
+    """The matches in a text column; Python holds a few megabytes of texts at once, however long they are."""
+    small_batches(df.sparkSession)
+    return _finder(types)(F.col(text))
+
+
 def _finder(types):
     detectors = [(i, d.name, re.compile(d.pattern, re.IGNORECASE), d.confidence) for i, d in _chosen(types)]
 
@@ -131,8 +139,7 @@ def masked_sql(kind: str, v: str) -> str:
 
 def with_spans(df: DataFrame, text: str = "text", types=None, out: str = "spans") -> DataFrame:
     """Add the array of matches, in detector order, then by position."""
-    found = _finder(types)(F.col(text))
-    return df.withColumn("_found", found).withColumn(out, F.col("_found.spans")).drop("_found")
+    return df.withColumn("_found", _found(df, text, types)).withColumn(out, F.col("_found.spans")).drop("_found")
 
 
 def pii_matches(df: DataFrame, id_col: str = "id", text: str = "text", types=None) -> DataFrame:
@@ -150,7 +157,7 @@ def _replace_spans(df: DataFrame, text: str, types, replacement: str, out: str)
     IF(size(_found.kept) > 0,
       concat(array_join(transform(_found.kept, s -> concat(s.before, {replacement})), ''), _found.rest),
       `{text}`)"""
-    return df.withColumn("_found", _finder(types)(F.col(text))).withColumn(out, F.expr(rebuilt)).drop("_found")
+    return df.withColumn("_found", _found(df, text, types)).withColumn(out, F.expr(rebuilt)).drop("_found")
 
 
 def mask_pii(df: DataFrame, text: str = "text", types=None, out: str = "masked") -> DataFrame:

@@ -77,6 +77,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_OWNED[-1] if _OWNED else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_BYTES = 4 << 20  # of texts that a Python worker gets at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, which else hold 10,000 rows of any size; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not now or not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def checkpointed(df):
     """Reliable checkpoint in the shared folder; survives lost executors."""
     sc = df.sparkSession.sparkContext

@@ -1,6 +1,7 @@
 """Literal rows per detector, masks, overlaps, classes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loglake.operators import compliance as c
 
@@ -118,3 +119,20 @@ def test_template_by_name(spark):
     df = spark.createDataFrame([("a@b.org", "555-123-4567", "123-45-6789")], "email string, phone string, ssn string")
     r = c.apply_policy(df, "pii").first()
     assert (len(r.email), r.phone, r.ssn) == (64, "***-***-4567", "[REDACTED]")
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """2,000 texts of 20,000 characters come to Python in several batches, whatever was set before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 30))
+    try:
+        texts = spark.range(2000).coalesce(1).select("id", F.repeat(F.lit("ab cd "), 3400).alias("text"))
+        c.pii_matches(texts)
+        text_size = F.pandas_udf(lambda s, t: s * 0 + len(t), "long")
+        assert texts.select(text_size("id", "text").alias("n")).agg(F.max("n")).first()[0] <= 400
+        spark.conf.set(key, "1000")
+        c.mask_pii(texts)
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.set(key, before)
