@@ -72,8 +72,12 @@ def _long_counts(facts: DataFrame, host_apps: bool = True) -> DataFrame:
 
 def minute_stats(events: DataFrame, tz: str = "UTC", bucket: str = "minute") -> DataFrame:
     """Counts per minute by severity, host, app, host/app, pattern; total and unique."""
-    facts = event_facts(events, bucket, tz).withColumn("u", F.lit(0).cast("long"))
-    counts = _long_counts(facts).drop("u")
+    return stats_of_facts(event_facts(events, bucket, tz))
+
+
+def stats_of_facts(facts: DataFrame) -> DataFrame:
+    """`minute_stats` from rows `(bucket, pattern_id, severity, host, app, n)`."""
+    counts = _long_counts(facts.withColumn("u", F.lit(0).cast("long"))).drop("u")
     # Each pattern row also adds one to `unique`, so the events are read once;
     # a union with a count of its own would read them twice, as Spark prunes
     # the two branches to different columns and reuses no exchange.
@@ -165,6 +169,15 @@ def minute_highlights(
     return highlights_of_facts(facts, event_order(events), k, sources)
 
 
+def facts_with_samples(events: DataFrame, bucket: str = "minute", tz: str = "UTC") -> DataFrame:
+    """`event_facts` with the first event of each: for `stats_of_facts` and `highlights_of_facts`, from one pass."""
+    facts = events.groupBy(
+        bucket_of(in_zone(F.col("ts"), tz), bucket).alias("bucket"), "pattern_id", "severity",
+        filled(F.col("host"), "unknown").alias("source_host"), filled(F.col("app"), "-").alias("source_app"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.min(highlight_sample(events)).alias("first"))
+    return facts.withColumns({"host": F.col("source_host"), "app": F.col("source_app")})
+
+
 def highlight_sample(events: DataFrame) -> Column:
     """What a highlight shows of an event; the least one is that of the first event."""
     return F.struct(*dict.fromkeys([*event_order(events), "severity", "host", "app", "message"]))
