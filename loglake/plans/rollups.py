@@ -28,15 +28,6 @@ def highlights(spark, d, k=15):
     return stored(rollup.hourly_highlights(rollup.minute_highlights(patterned(spark, d)), k), "highlights")
 
 
-def hours_minutes_highlights(spark, d, k=15):
-    """The hourly table, the minutes without their patterns and the highlights, from one pass over the events."""
-    events = patterned(spark, d)
-    facts = stored(rollup.facts_with_samples(events), "facts")
-    stats = stored(rollup.stats_of_facts(facts).where("dim <> 'pattern'"), "minute_stats")
-    found = rollup.hourly_highlights(rollup.highlights_of_facts(facts, dedupe.event_order(events)), k)
-    return stored(rollup.hourly_stats(stats), "hourly_stats"), stats, stored(found, "highlights")
-
-
 def pairs(col):
     """Array of (key, cnt) as `key:cnt,...` text."""
     return F.array_join(F.transform(col, lambda s: F.concat_ws(":", s["key"], s["cnt"].cast("string"))), ",")

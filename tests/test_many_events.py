@@ -1,4 +1,6 @@
-"""Results that only tables with many events an hour bring out, against DuckDB."""
+"""Results that only tables with many events an hour bring out, against DuckDB, and work left out."""
+
+import os
 
 import duckdb
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from compare import rows_of
 from loglake import plans
 from loglake.functions.columns import ntz
+from loglake.session import workspace
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
 
@@ -35,3 +38,19 @@ def test_same_rows(spark, folder, name):
     names = [c[0] for c in rel.description]
     assert sorted(df.columns) == sorted(names)
     assert got and rows_of(df.columns, got) == rows_of(names, rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["d11_notable_incidents_exact", "d13_error_insights_exact"])
+def test_no_highlights_are_made_where_none_are_shown(spark, folder, name):
+    with workspace(spark) as path:
+        assert QUERIES[name](spark, folder).count() == 5
+        made = os.listdir(path.removeprefix("file:"))
+    assert made and not [x for x in made if x.startswith("highlights")]
+
+
+def test_admission_makes_no_patterns(spark):
+    with workspace(spark) as path:
+        QUERIES["n7_stream_admission"](spark, "/root/testdata/sf0.001").count()
+        home = path.removeprefix("file:")
+        (stream,) = [x for x in os.listdir(home) if x.startswith("stream-")]
+        assert "pattern_id" not in spark.read.parquet(f"{home}/{stream}/events").columns
