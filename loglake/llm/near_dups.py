@@ -21,9 +21,11 @@ The ranges of word counts below are laid out for a similarity of 0.8 or more.
 4. What is still in different groups within a bucket is compared in blocks of
    `BLOCK` classes.  Smaller buckets are one block; blocks of others hold one level of word counts and meet those of the
    same and of the neighbouring levels; the largest group of a bucket meets the
-   others only, and buckets with the same members are one.  Pairs whose word
-   counts rule out the similarity are dropped, all others are aligned.  So every
-   pair that shares a key is connected by links or aligned.
+   others only, and buckets with the same members are one.  Buckets that hold
+   much the same classes, as those of one common passage do, are joined into a
+   pool first, so that a pair is met once and not in each of them.  Pairs whose
+   word counts rule out the similarity are dropped, all others are aligned.  So
+   every pair that shares a key is connected by links or aligned.
 5. Alignment keeps to a band around the diagonal as wide as the similarity
    allows, and gives the exact edit distance within it.
 6. Linked classes form groups (connected components, labels passed along links
@@ -273,6 +275,43 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, label) of `known` after more links; only links between different labels are passed along."""
+    sides = links.join(known.select("key", F.col("label").alias("from")), "key").join(
+        known.select(F.col("key").alias("leader"), F.col("label").alias("to")), "leader"
+    ).where("from <> to")
+    moved = components(sides.select(F.least("from", "to").alias("key"), F.greatest("from", "to").alias("leader")).distinct())
+    moved = moved.select(F.col("key").alias("label"), F.col("label").alias("moved"))
+    return stored(known.join(moved, "label", "left").select("key", F.coalesce("moved", "label").alias("label")), "labels")
+
+
+def pooled(left: DataFrame) -> DataFrame:
+    """Buckets (bucket, key, n_words, label) of which those with much the same members are one.
+
+    A class is at home in its largest bucket.  A bucket of which half the
+    members or more are at home in one other goes into that one's pool with all
+    its members, so no pair is lost.  Pools that would hold more pairs than
+    their buckets together are not made.
+    """
+    sizes = stored(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sized = left.join(sizes, "bucket")
+    homes = sized.groupBy("key").agg(F.max(F.struct("n", "bucket")).alias("home"))
+    each = left.join(stored(homes.select("key", "home.bucket"), "homes").withColumnRenamed("bucket", "home"), "key")
+    most = each.groupBy("bucket", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
+        F.max(F.struct("n", "home")).alias("most"), F.sum("n").alias("n")
+    ).where("2 * most.n >= n")
+    most = stored(most.select("bucket", F.col("most.home").alias("pool"), "n"), "pools")
+    rows = left.join(most, "bucket", "left")
+    pools = stored(rows.where("pool is not null").select("pool", "key", "n_words", "label").distinct(), "pooled")
+    own = most.groupBy("pool").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    good = pools.groupBy("pool").agg(F.count(F.lit(1)).cast("double").alias("n")).join(own, "pool").where("n * n <= pairs")
+    good = stored(good.select("pool"), "good")
+    kept = rows.join(good.withColumn("made", F.lit(True)), "pool", "left").where("made is null")
+    # A pool is named by a hash, as its home can stay a bucket of its own.
+    named = F.xxhash64("pool", F.lit("pool")).alias("bucket")
+    return kept.select(left.columns).unionByName(pools.join(good, "pool").select(named, "key", "n_words", "label"))
+
+
 def sketch_documents(docs: DataFrame, n: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
     """Stored rows of (doc_id, text_hash, key, n_words, sketches); key stands for the words of the text."""
     return stored(_source(docs).mapInArrow(
@@ -285,10 +324,11 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (key, leader) between classes of documents with the same words.
+def near_labels(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, label) of the classes of documents with the same words that share a key with others.
 
-    Near copies that share a key are linked, or connected by other links.
+    Near copies that share a key are linked, or connected by other links;
+    linked classes have the same label, the least of their keys.
     """
     classes = stored(
         sketched.where("sketches is not null").groupBy("key").agg(
@@ -318,15 +358,15 @@ def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
             "near",
         )
 
-    def labelled(links: DataFrame) -> DataFrame:
+    def mixed_buckets(found: DataFrame) -> DataFrame:
         """Members of buckets that hold several labels."""
-        found = stored(wanted.join(components(links), "key", "left").select("key", F.coalesce("label", "key").alias("label")), "labels")
         rows = stored(members.join(found, "key"), "labelled")
         mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         return stored(rows.join(stored(mixed.select("bucket"), "mixed"), "bucket"), "left")
 
     left = members.withColumn("label", F.col("key"))
-    links, lead = None, F.min(F.struct("one", "key", "n_words", "label"))
+    labels = wanted.select("key", F.col("key").alias("label"))
+    lead = F.min(F.struct("one", "key", "n_words", "label"))
     led = None  # labels of the last leaders
     for _ in range(LEADERS):
         rest = left if led is None else left.join(led, "bucket").where("label <> led")
@@ -335,11 +375,10 @@ def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
         pairs = left.join(leads, "bucket").where(
             (F.col("label") != F.col("lead.label")) & (longer - shorter <= longer * (1 - similarity) + 1e-9)
         ).select("key", F.col("lead.key").alias("leader")).distinct()
-        found = near(pairs)
-        links = found if links is None else links.unionByName(found)
-        left = labelled(links)
+        labels = relabelled(labels, near(pairs))
+        left = mixed_buckets(labels)
         if left.isEmpty():
-            return links
+            return labels
         now = left.select("key", "label").distinct()
         led = stored(leads.select("bucket", F.col("lead.key").alias("key")).join(now, "key").select(
             "bucket", F.col("label").alias("led")
@@ -347,7 +386,7 @@ def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
     # Buckets with the same members are one; what is near has word counts in the same or in neighbouring levels.
     marks = [F.bit_xor(F.xxhash64("key")).alias("mark"), F.bit_xor(F.xxhash64("key", "key")).alias("mark2"), F.count(F.lit(1)).alias("n")]
     once = left.groupBy("bucket").agg(*marks).groupBy("mark", "mark2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    left = stored(left.join(stored(once, "once"), "bucket"), "left")
+    left = stored(pooled(stored(left.join(stored(once, "once"), "bucket").select("bucket", "key", "n_words", "label"), "left")), "left")
     # The largest label of a bucket is set against the others only, never against itself.
     each = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     most = stored(each.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
@@ -371,7 +410,7 @@ def near_links(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILAR
     apart = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(
         _apart(similarity), "key binary, leader binary"
     ).distinct()
-    return links.unionByName(near(stored(apart, "apart")))
+    return relabelled(labels, near(stored(apart, "apart")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -381,9 +420,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     that of the group of near copies; `kept` marks the first row of each group.
     """
     sketched = sketch_documents(docs, similarity=similarity)
-    links = near_links(docs, sketched, similarity)
+    labels = near_labels(docs, sketched, similarity)
     rows = sketched.select("doc_id", "text_hash", "key", "n_words")
-    labelled = rows.join(components(links), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    labelled = rows.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     first = F.min(F.struct("doc_id", "text_hash"))
     # Written first: a join with a table can split the rows of a large group over many tasks,
     # a join with an aggregate on the same key cannot.

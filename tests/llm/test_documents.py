@@ -113,6 +113,46 @@ def test_near_copies_that_share_a_passage_with_all(spark, monkeypatch, block):
     assert {r.doc_id: r.group_id for r in got} == {d: d // 10 * 10 for d, _ in rows}
 
 
+def test_pairs_that_share_many_large_buckets_are_met_once(spark, monkeypatch):
+    """A common passage puts the same texts into many buckets; they are dealt as one."""
+    rows, dealt, stored = pair_rows(140, 60, 40, 4), [], near_dups.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "dealt":
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "BLOCK", 20)
+    monkeypatch.setattr(near_dups, "stored", counted)
+    got = near_dups.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: r.group_id for r in got} == {d: d // 10 * 10 for d, _ in rows}
+    blocks = -(-len(rows) // 20)
+    assert dealt and dealt[0] <= 2 * len(rows) * blocks
+
+
+def test_pools_lose_no_pair(spark):
+    """Any two classes of a bucket are still together somewhere, and no more pairs are made."""
+    rng, rows = random.Random(5), []
+    for bucket in range(60):  # of two families, some with strangers
+        family = range(40) if bucket % 2 else range(100, 130)
+        members = rng.sample(family, rng.randrange(2, len(family))) + rng.sample(range(200, 260), bucket % 5)
+        rows += [(bucket, key) for key in members]
+    left = spark.createDataFrame(rows, "bucket long, id long").selectExpr(
+        "bucket", "cast(cast(id as string) as binary) as key", "100L as n_words", "cast(cast(id as string) as binary) as label"
+    )
+
+    def together(frame):
+        members = {}
+        for r in frame.collect():
+            members.setdefault(r.bucket, []).append(bytes(r.key))
+        return [{(a, b) for a in m for b in m if a < b} for m in members.values()]
+
+    before, after = together(left), together(near_dups.pooled(left))
+    assert set().union(*before) <= set().union(*after)
+    assert sum(map(len, after)) < sum(map(len, before)) / 2
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.5, 0.95, 1.0])
 def test_near_word_counts_are_on_neighbouring_levels(spark, similarity):
     level = near_dups.word_level(F.col("id"), similarity)
