@@ -46,7 +46,7 @@ DISTANCE = 0.2
 LEAST = 5
 BLOCK = 500
 WALKS, TABLES, SAMPLED = 4, 12, 3
-SLICE = 4 << 20  # bytes of text searched at a time
+SLICE = 2 << 20  # bytes of text searched at a time
 ODD = np.uint64(0x9FB21C651E98DF25)
 LOGGED = 32 << 20  # bytes of walks kept at a time
 

@@ -33,6 +33,7 @@ LENGTH = 2048
 MAX_DOCS = 1024
 WEIGHTS = (1.0, 0.05, 0.05)  # of residual tokens, documents and attention cost
 GROUP = 8000
+SLICE_BYTES = 1 << 20  # of text encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -42,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, w
         encoder = Encoder.of(tokenizer, plain)
         for batch in batches:
             names = batch.column("doc_id")
-            for first, end, data, offsets in text_slices(batch.column("text")):
+            for first, end, data, offsets in text_slices(batch.column("text"), SLICE_BYTES):
                 ids, before = encoder.ids(data, offsets)
                 ids, sizes = np.insert(ids, before[1:], end_id), np.diff(before) + 1
                 n = -(-sizes // length)

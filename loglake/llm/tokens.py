@@ -11,11 +11,12 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-from .words import DIGEST_OVER, byte_class, digests, mix, powers
+from .words import DIGEST_OVER, byte_class, digests, mix, powers, running_sums
 
 SPACE = byte_class([0x20, *range(0x09, 0x0E)])
 ASCII_WORD = byte_class([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
 ASCII_SIGN = byte_class([*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+LEARNED = 4096  # pieces encoded at once; the tokenizer's own results take much more than ids
 KEPT_PIECES = 2_000_000  # pieces a process remembers: about 60 MB
 
 
@@ -55,7 +56,10 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Encode pieces not known yet; their keys are sorted."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        encoded = [
+            e.ids for k in range(0, len(pieces), LEARNED)
+            for e in self.tokenizer.encode_batch_fast(pieces[k : k + LEARNED], add_special_tokens=False)
+        ]
         size = np.fromiter(map(len, encoded), np.uint32, len(encoded))
         first = np.cumsum(size, dtype=np.uint32) - size + np.uint32(len(self.flat))
         new = np.fromiter((i for ids in encoded for i in ids), np.uint32, int(size.sum()))
@@ -101,8 +105,7 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        total = running_sums(data, up)
         keys = mix((total[ends] - total[starts]) * down[starts])
         del total
         long_ = np.flatnonzero(ends - starts > DIGEST_OVER)

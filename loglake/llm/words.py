@@ -65,6 +65,16 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def running_sums(data: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) * up before each place and in all; made in place, 8 bytes a byte of text."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    total[1:] = data
+    total[1:] += np.uint64(1)
+    total[1:] *= up[: len(data)]
+    np.add.accumulate(total, out=total)
+    return total
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of texts of up to `limit` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -105,8 +115,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes."""
         up, down = powers(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        total = running_sums(self.data, up)
         out = mix((total[self.ends] - total[self.starts]) * down[self.starts])
         long_ = np.flatnonzero(self.ends - self.starts > DIGEST_OVER)
         out[long_] = digests(self.data, self.starts[long_], self.ends[long_])

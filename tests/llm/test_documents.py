@@ -3,16 +3,18 @@
 import hashlib
 import json
 import random
+import tracemalloc
 import zlib
 from base64 import urlsafe_b64encode
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from helpers import edge_rows, edited, frame, levenshtein, prose
 from pyspark.sql import functions as F
 
-from loglake.llm import decontaminate, licenses, line_rules, near_dups, quality, repeats, secret_scan
+from loglake.llm import decontaminate, licenses, line_rules, near_dups, quality, repeats, secret_scan, tokens
 from loglake.llm.words import ALNUM, LOWER, SPACED, Words, text_slices
 
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "score", "bucket", "kept", "_row"]
@@ -33,6 +35,35 @@ def test_words_of_slices(limit):
     assert got == [(t or "").encode().split() for t in texts]
 
 
+def test_hashes_take_little_memory():
+    """One number of 8 bytes for each byte of text and a few for each word, beside the powers that are kept."""
+    data = np.frombuffer(b"elevenbytes " * 50_000, np.uint8)
+    words = Words(data, np.array([0, len(data)]), ALNUM)
+    want = words.hashes()
+    tracemalloc.start()
+    got = words.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and peak < 12 * len(data)
+
+
+def test_pieces_are_encoded_few_at_a_time(monkeypatch):
+    """The tokenizer's own results are large, so it gets a bounded number of pieces; ids stay those of the text."""
+    text = " ".join(f"word{i}x" for i in range(3 * 4096))
+    encoder, sizes = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), True), []
+    library = encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **kw):
+            sizes.append(len(pieces))
+            return library.encode_batch_fast(pieces, **kw)
+
+    encoder.tokenizer = Counted()
+    ids, _ = encoder.ids(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(sizes) > 1 and max(sizes) <= 4096
+
+
 # -- near copies --------------------------------------------------------------
 
 def near_rows():
