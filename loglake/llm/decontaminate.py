@@ -64,6 +64,22 @@ def sampled_steps(n: int) -> list:
     return np.random.default_rng(n).integers(0, 2 * n, (WALKS, TABLES, SAMPLED)).tolist()
 
 
+def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words each row of a has in common with that of b, repeated ones as often as both have them."""
+    if not a.size:
+        return np.zeros(len(a), np.int64)
+
+    def numbered(rows):
+        """Words with their occurrence numbers."""
+        rows = np.sort(rows, axis=1)
+        at = np.broadcast_to(np.arange(rows.shape[1]), rows.shape)
+        first = np.where(np.insert(rows[:, 1:] != rows[:, :-1], 0, True, axis=1), at, 0)
+        return rows * rows.shape[1] + at - np.maximum.accumulate(first, axis=1)
+
+    both = np.sort(np.concatenate([numbered(a), numbered(b)], axis=1), axis=1)
+    return (both[:, 1:] == both[:, :-1]).sum(axis=1)
+
+
 class Items:
     """A block of items, ready to be looked for.
 
@@ -91,10 +107,12 @@ class Items:
         longest = int(self.sizes.max()) if own else 0
         self.seeds = np.random.default_rng(1).integers(1, 2**63, (WALKS, 2 * longest), dtype=np.uint64)
         self.by_size, self.used = {}, {}
+        self.flat, self.row = {}, np.zeros(len(own), np.int64)  # words of the items of a size, and the place of each item there
         for n in np.unique(self.sizes).tolist():
             which = np.flatnonzero(self.sizes == n)
             self.used[n] = self.holds[which].any(axis=0)
             flat = np.concatenate([self.words[i] for i in which])
+            self.flat[n], self.row[which] = flat.reshape(len(which), n), np.arange(len(which))
             start = np.arange(len(which)) * n
             logs = self.walks(flat, start, 2 * n)
             tables = []
@@ -139,18 +157,23 @@ class Items:
         numbers[self.known[numbers] != hashes] = len(self.known)
         doc = np.repeat(np.arange(len(words.counts)), words.counts)
         end = words.first[doc + 1]
-        at = np.arange(len(hashes))
         starts = {}
         used = np.zeros(len(hashes), bool)
+        longest = int(self.sizes.max())
+        before = np.zeros(len(hashes) + 1 + longest, np.int32)
         for n in self.by_size:
-            before = np.append(0, np.cumsum(self.used[n][numbers], dtype=np.int32))
-            stop = np.minimum(at + n, end)
-            starts[n] = np.flatnonzero(before[stop] - before[:-1] >= n - allowed(n, self.distance))
+            least = n - allowed(n, self.distance)
+            np.cumsum(self.used[n][numbers], out=before[1 : len(hashes) + 1])
+            before[len(hashes) + 1 :] = before[len(hashes)]
+            # Windows over the end of their text count words of the next one too, so they are counted again.
+            start = np.flatnonzero(before[n : n + len(hashes)] - before[: len(hashes)] >= least)
+            stop = np.minimum(start + n, end[start])
+            starts[n] = start[before[stop] - before[start] >= least]
             used[starts[n]] = True
         used = np.flatnonzero(used)
         best: dict = {}
         wide: dict = {}  # (text, item): candidates whose own window is not close enough
-        steps = 2 * int(self.sizes.max())
+        steps = 2 * longest
         chunk = max(1, LOGGED // (8 * steps * WALKS))
         for first in range(0, len(used), chunk):
             part = used[first : first + chunk]
@@ -174,19 +197,22 @@ class Items:
         most = allowed(n, self.distance)
         pairs = []
         for (which, own), keys in tables:
-            low, high = np.searchsorted(own, keys), np.searchsorted(own, keys, "right")
-            hit = np.flatnonzero(high > low)
-            size = (high - low)[hit]
-            take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[hit], size)
+            low = np.searchsorted(own, keys)
+            hit = np.flatnonzero(own[np.minimum(low, len(own) - 1)] == keys)
+            low = low[hit]
+            size = np.searchsorted(own, keys[hit], "right") - low
+            take = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
             pairs.append(np.repeat(hit, size) * len(self.words) + which[take])
         window, which = np.divmod(np.unique(np.concatenate(pairs)), len(self.words))
         # With k edits at most, n - k words of the window are words of this very item.
         inside = start[window, None] + np.arange(n)
         inside = np.where(inside < stop[window, None], numbers[np.minimum(inside, len(numbers) - 1)], len(self.known) + 1)
-        close = self.holds[which[:, None], inside].sum(axis=1) >= n - most
-        for w, item in zip(window[close].tolist(), which[close].tolist(), strict=True):
+        close = np.flatnonzero(self.holds[which[:, None], inside].sum(axis=1) >= n - most)
+        # They have as many in common with repeated words counted; what has not is not aligned.
+        can = common_words(inside[close], self.flat[n][self.row[which[close]]]) >= n - most
+        for w, item, near in zip(window[close].tolist(), which[close].tolist(), can.tolist(), strict=True):
             a, b = int(start[w]), int(stop[w])
-            cost = edit_distance(numbers[a:b].tolist(), self.words[item].tolist(), most)
+            cost = edit_distance(numbers[a:b].tolist(), self.words[item].tolist(), most) if near else most + 1
             text = int(doc[a])
             if cost <= most:
                 if (text, item) not in best or (cost, a, b) < best[text, item]:

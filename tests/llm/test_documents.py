@@ -6,6 +6,7 @@ import random
 import tracemalloc
 import zlib
 from base64 import urlsafe_b64encode
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -273,6 +274,34 @@ def test_leaks(spark, monkeypatch):
     assert sorted(r.doc_id for r in clean.collect()) == sorted({d for d, _ in rows} - {g[0] for g in got})
 
 
+def test_windows_with_too_few_words_of_the_item_are_not_aligned(monkeypatch):
+    """Repeated words count as often as both have them; the matches are those of aligning all."""
+    item = " ".join(["the", "of"] + prose(2600, 18))
+    texts = [" ".join(prose(2600, 18)[:k] + ["the"] * (20 - k) + prose(k, 30)) for k in range(19)] + [f"so {item} on"]
+    aligned, align = [], decontaminate.edit_distance
+
+    def counted(a, b, most):
+        aligned.append(sum((Counter(a) & Counter(b)).values()) >= len(b) - most)
+        return align(a, b, most)
+
+    def found():
+        block = decontaminate.Items([(1, item)])
+        return [block.matches(words) for _, words in decontaminate._texts(pa.RecordBatch.from_pydict({"text": texts}))]
+
+    monkeypatch.setattr(decontaminate, "edit_distance", counted)
+    got = found()
+    assert aligned and all(aligned)
+    monkeypatch.setattr(decontaminate, "common_words", lambda a, b: np.full(len(a), a.shape[1]))
+    assert got == found() and (19, 0, 1, 20, 0) in got[0] and not all(aligned)
+
+
+def test_words_in_common():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, (200, 15)), rng.integers(0, 9, (200, 15))
+    want = [sum((Counter(x) & Counter(y)).values()) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert decontaminate.common_words(a, b).tolist() == want
+
+
 def test_leaks_with_words_left_out_or_put_in(spark):
     """Against brute force over windows of n-k to n+k words."""
     items, rows = [(i, " ".join(prose(2500 + i, (15, 20, 40)[i % 3]))) for i in range(60)], []
