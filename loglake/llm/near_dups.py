@@ -259,20 +259,34 @@ def _block(level: Column, large: Column, number: Column) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(key, label) of all nodes of links (key, leader): the least key of each component."""
-    both = stored(links.select("key", F.col("leader").alias("other")).unionByName(
-        links.select(F.col("leader").alias("key"), F.col("key").alias("other"))
-    ).distinct(), "links")
-    labels = stored(both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("label")), "labels")
+    """(key, label) of all nodes of links (key, leader): the least key of each component.
+
+    Each node goes to its least neighbour, and on to where that one leads.
+    Links are then taken between those ends; links within one are gone, so
+    that a round has half of the nodes of the one before at most.
+    """
+    links = stored(links.select("key", F.col("leader").alias("other")).distinct(), "links")
+    found = None
     while True:
-        seen = both.join(labels.select(F.col("key").alias("other"), F.col("label").alias("seen")), "other")
-        least = seen.groupBy("key").agg(F.min("seen").alias("seen"))
-        near = labels.join(least, "key").select("key", F.col("label").alias("was"), F.least("label", "seen").alias("label"))
-        ahead = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
-        moved = stored(near.join(ahead, "label").select("key", "was", F.col("next").alias("label")), "labels")
-        labels = moved.select("key", "label")
-        if moved.where("was <> label").isEmpty():
-            return labels
+        both = links.unionByName(links.select(F.col("other").alias("key"), F.col("key").alias("other")))
+        labels = stored(both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("label")), "labels")
+        while True:
+            ahead = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
+            moved = stored(labels.join(ahead, "label").select("key", F.col("label").alias("was"), F.col("next").alias("label")), "labels")
+            labels = moved.select("key", "label")
+            if moved.where("was <> label").isEmpty():
+                break
+        if found is None:
+            found = labels
+        else:
+            ends = labels.select(F.col("key").alias("label"), F.col("label").alias("end"))
+            found = stored(found.join(ends, "label", "left").select("key", F.coalesce("end", "label").alias("label")), "labels")
+        sides = links.join(labels.select("key", F.col("label").alias("from")), "key").join(
+            labels.select(F.col("key").alias("other"), F.col("label").alias("to")), "other"
+        ).where("from <> to")
+        links = stored(sides.select(F.least("from", "to").alias("key"), F.greatest("from", "to").alias("other")).distinct(), "links")
+        if links.isEmpty():
+            return found
 
 
 def relabelled(known: DataFrame, links: DataFrame) -> DataFrame:

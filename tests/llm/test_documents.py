@@ -163,6 +163,38 @@ def test_pairs_that_share_many_large_buckets_are_met_once(spark, monkeypatch):
     assert dealt and dealt[0] <= 2 * len(rows) * blocks
 
 
+def test_components_use_links_up(spark, monkeypatch):
+    """Against a search; links within one label are not joined again in later rounds."""
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(100, 160)] + [(300 + i, 300) for i in range(40)]  # a chain and a star
+    links += [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(70)]
+    links += [(600 + i, 600 + (i * 37 + 11) % 97) for i in range(97)]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for first in sorted(near):
+        queue = [first] if first not in want else []
+        while queue:
+            node = queue.pop()
+            if node not in want:
+                want[node] = first
+                queue += near[node]
+    sizes, stored = [], near_dups.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "stored", counted)
+    got = near_dups.components(spark.createDataFrame(links, "key long, leader long")).collect()
+    assert {r.key: r.label for r in got} == want and len(got) == len(want)
+    assert sizes[-1] == 0 and all(2 * after < before for before, after in zip(sizes, sizes[1:], strict=False))
+
+
 def test_pools_lose_no_pair(spark):
     """Any two classes of a bucket are still together somewhere, and no more pairs are made."""
     rng, rows = random.Random(5), []
