@@ -23,9 +23,11 @@ The ranges of word counts below are laid out for a similarity of 0.8 or more.
    same and of the neighbouring levels; the largest group of a bucket meets the
    others only, and buckets with the same members are one.  Buckets that hold
    much the same classes, as those of one common passage do, are joined into a
-   pool first, so that a pair is met once and not in each of them.  Pairs whose
-   word counts rule out the similarity are dropped, all others are aligned.  So
-   every pair that shares a key is connected by links or aligned.
+   pool first, so that a pair is met once and not in each of them.  The words
+   come along, so that a block aligns its pairs itself and hands on links only,
+   fewer than it has groups; pairs whose word counts rule out the similarity and
+   pairs that its links have connected by then are left out.  Blocks are bounded
+   in words too.  So every pair that shares a key is connected by links or aligned.
 5. Alignment keeps to a band around the diagonal as wide as the similarity
    allows, and gives the exact edit distance within it.
 6. Linked classes form groups (connected components, labels passed along links
@@ -65,6 +67,7 @@ SKETCHES = 60
 SIMILARITY = 0.8
 LEADERS = 2
 BLOCK = 256
+BLOCK_WORDS = 1 << 18  # of the texts of a block, unless one text has more
 SLICE_BYTES = 1 << 20  # of text sketched at once
 BINS = 256  # of word counts
 MOST = np.uint64(2**64 - 1)
@@ -171,19 +174,17 @@ def _sketched(n: int, similarity: float):
 
 
 def _sequences(batches):
-    """Word hashes (u32) of texts, and how many fall into each of `BINS` bins."""
+    """Word hashes (u32) of texts."""
     for batch in batches:
         for first, end, data, offsets in text_slices(batch.column("text"), SLICE_BYTES):
             words = Words(LOWER[data], offsets, ALNUM)
             hashes = (words.hashes() >> np.uint64(32)).astype("<u4")
             view = hashes.tobytes()
             bounds = words.first.tolist()
-            bins = [np.bincount(hashes[a:b] % BINS, minlength=BINS).clip(max=65535).astype("<u2").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("key").slice(first, end - first),
                 pa.array([view[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary()),
-                pa.array(bins, pa.binary()),
-            ], ["key", "words", "bins"])
+            ], ["key", "words"])
 
 
 def _aligned(similarity: float):
@@ -202,25 +203,32 @@ def _aligned(similarity: float):
 
 
 def _apart(similarity: float):
-    """Pairs of different labels within each run of rows of one block that can be near copies."""
-    def pairs(rows: pa.Table, p: int, q: int):
+    """Links between different labels within each run of rows of one block; a link that others imply is left out."""
+    def links(rows: pa.Table, p: int, q: int):
         keys = rows.column("key").to_pylist()
         label = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1]
-        n = rows.column("n_words").to_numpy()
         block = rows.column("block").to_numpy()
-        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), "<u2").reshape(len(n), BINS).astype(np.int32)
+        words = [np.frombuffer(w, "<u4") for w in rows.column("words").to_pylist()]
+        n = np.array([len(w) for w in words])
+        bins = np.array([np.bincount(w % BINS, minlength=BINS) for w in words], np.int32)
         for i in range(len(n) - 1):
             j = np.arange(i + 1, len(n))
+            j = j[(label[j] != label[i]) & ((p == q) | (block[j] != block[i]))]
             most = (np.maximum(n[i], n[j]) * (1 - similarity) + 1e-9).astype(np.int64)
-            j = j[(label[j] != label[i]) & (np.abs(n[j] - n[i]) <= most) & ((p == q) | (block[j] != block[i]))]
+            fits = np.abs(n[j] - n[i]) <= most
+            j, most = j[fits], most[fits]
             # An edit adds one word at most and takes one away.
             more = bins[j] - bins[i]
-            most = (np.maximum(n[i], n[j]) * (1 - similarity) + 1e-9).astype(np.int64)
-            for k in j[np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most].tolist():
-                yield min(keys[i], keys[k]), max(keys[i], keys[k])
+            apart = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+            fits = np.flatnonzero(apart <= most)
+            fits = fits[np.argsort(apart[fits], kind="stable")]  # the likeliest first: they spare others
+            for k, limit in zip(j[fits].tolist(), most[fits].tolist(), strict=True):
+                if label[k] != label[i] and edit_distance(words[i].tolist(), words[k].tolist(), limit) <= limit:
+                    yield min(keys[i], keys[k]), max(keys[i], keys[k])
+                    label[label == label[k]] = label[i]
 
     def settled(rows: pa.Table):
-        found = list(pairs(rows, rows.column("p")[0].as_py(), rows.column("q")[0].as_py()))
+        found = list(links(rows, rows.column("p")[0].as_py(), rows.column("q")[0].as_py()))
         return pa.RecordBatch.from_arrays(
             [pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["key", "leader"]
         )
@@ -360,12 +368,12 @@ def near_labels(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILA
         wanted.select("key", F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")),
         F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("text_hash") == F.col("one_hash")),
     ).select("key", "text")
-    sequences = stored(texts.mapInArrow(_sequences, "key binary, words binary, bins binary"), "words").dropDuplicates(["key"])
+    sequences = stored(texts.mapInArrow(_sequences, "key binary, words binary"), "words").dropDuplicates(["key"])
     sequences = stored(sequences, "words")
 
     def near(pairs: DataFrame) -> DataFrame:
         return stored(
-            pairs.join(sequences.select("key", "words"), "key").join(
+            pairs.join(sequences, "key").join(
                 sequences.select(F.col("key").alias("leader"), F.col("words").alias("leader_words")), "leader"
             ).select("key", "leader", "words", "leader_words")
             .mapInArrow(_aligned(similarity), "key binary, leader binary, near boolean").where("near").select("key", "leader"),
@@ -402,29 +410,32 @@ def near_labels(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILA
     once = left.groupBy("bucket").agg(*marks).groupBy("mark", "mark2", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
     left = stored(pooled(stored(left.join(stored(once, "once"), "bucket").select("bucket", "key", "n_words", "label"), "left")), "left")
     # The largest label of a bucket is set against the others only, never against itself.
-    each = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = stored(each.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select(
-        "bucket", F.col("most.label").alias("largest"), (F.col("n") > BLOCK).alias("split")), "largest")
+    each = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("n_words"))
+    most = stored(each.groupBy("bucket").agg(
+        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.sum("n_words").alias("n_words")
+    ).select("bucket", F.col("most.label").alias("largest"), ((F.col("n") > BLOCK) | (F.col("n_words") > BLOCK_WORDS)).alias("split")), "largest")
     left = left.join(most, "bucket").select(
         "bucket", "key", "n_words", "label", (F.col("split") & (F.col("label") == F.col("largest"))).alias("large"),
         F.when(F.col("split"), word_level(F.col("n_words"), similarity)).otherwise(0).alias("level"),
     )
-    blocks = left.groupBy("bucket", "level", "large").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = left.groupBy("bucket", "level", "large").agg(F.least(F.count(F.lit(1)), F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)
+    )).cast("int").alias("blocks"))
     sizes = blocks.groupBy("bucket").agg(F.collect_list(F.struct("level", "large", "blocks")).alias("sizes"))
     met = F.filter("sizes", lambda s: (F.abs(s.level - F.col("level")) <= 1) & ~(s.large & F.col("large")))
     own = F.filter("sizes", lambda s: (s.level == F.col("level")) & (s.large == F.col("large")))[0]
     dealt = left.join(stored(sizes, "sizes"), "bucket").select(
-        "bucket", "key", "n_words", "label",
+        "bucket", "key", "label",
         _block(F.col("level"), F.col("large"), F.pmod(F.xxhash64("key"), own.blocks)).alias("block"),
         F.explode(F.flatten(F.transform(met, lambda s: F.transform(
             F.sequence(F.lit(0), s.blocks - 1), lambda i: _block(s.level, s.large, i)
         )))).alias("other"),
-    ).select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "n_words", "label")
-    dealt = stored(dealt.join(sequences.select("key", "bins"), "key"), "dealt")
+    ).select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "label")
+    dealt = stored(dealt, "dealt").join(sequences, "key").select("bucket", "p", "q", "block", "key", "label", "words")
     apart = dealt.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(
         _apart(similarity), "key binary, leader binary"
     ).distinct()
-    return relabelled(labels, near(stored(apart, "apart")))
+    return relabelled(labels, stored(apart, "apart"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -163,6 +163,31 @@ def test_pairs_that_share_many_large_buckets_are_met_once(spark, monkeypatch):
     assert dealt and dealt[0] <= 2 * len(rows) * blocks
 
 
+@pytest.mark.parametrize("block_words", [2_000, 1 << 18])
+def test_blocks_hand_on_links_only(spark, monkeypatch, block_words):
+    """Texts of the same words in other orders pass every count of words; their pairs stay within the block."""
+    passage, own, rows = prose(1, 120), [f"own{n}" for n in range(80)], []
+    for i in range(40):
+        words = random.Random(i).sample(own, len(own))
+        for k in range(2):
+            rows.append((10 * i + k, " ".join(passage + words)))
+            for at in random.Random(i).sample(range(len(own)), 4):
+                words[at] = f"changed{i}"
+    apart, stored = [], near_dups.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "apart":
+            apart.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dups, "BLOCK_WORDS", block_words, raising=False)
+    monkeypatch.setattr(near_dups, "stored", counted)
+    got = near_dups.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: r.group_id for r in got} == {d: d // 10 * 10 for d, _ in rows}
+    assert apart and max(apart) < len(rows)
+
+
 def test_components_use_links_up(spark, monkeypatch):
     """Against a search; links within one label are not joined again in later rounds."""
     rng = random.Random(8)
