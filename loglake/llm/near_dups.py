@@ -57,7 +57,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import small_batches, stored
 from .words import ALNUM, LOWER, Words, edit_distance, mix, powers, text_slices, windows
 
 LEAST, SHORT, MIDDLE = 4, 14, 31  # words
@@ -444,6 +444,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     class_id is the least id among documents with the same words, group_id
     that of the group of near copies; `kept` marks the first row of each group.
     """
+    small_batches(docs.sparkSession)
     sketched = sketch_documents(docs, similarity=similarity)
     labels = near_labels(docs, sketched, similarity)
     rows = sketched.select("doc_id", "text_hash", "key", "n_words")

@@ -274,6 +274,33 @@ def test_near_copies_at_the_limit(spark):
     assert all(g // 10 == d // 10 for d, g in got.items())
 
 
+def test_near_copies_of_long_texts_come_in_small_batches(spark, monkeypatch):
+    """Python gets a few megabytes of texts at once, whatever was set before."""
+    key, sketched = "spark.sql.execution.arrow.maxBytesPerBatch", near_dups._sketched
+
+    def bounded(n, similarity):
+        run = sketched(n, similarity)
+
+        def checked(batches):
+            for batch in batches:
+                assert batch.nbytes <= 8 << 20
+                yield from run(iter([batch]))
+
+        return checked
+
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 30))
+    monkeypatch.setattr(near_dups, "_sketched", bounded)
+    try:
+        # Texts of 300 KB in pairs, which have the same word 5,000 times and another last word.
+        word = F.concat(F.lit("w" * 56), F.lpad((F.col("id") / 2).cast("long").cast("string"), 3, "0"), F.lit(" "))
+        text = F.concat(F.repeat(word, 5_000), F.col("id") % 2)
+        got = near_dups.near_duplicates(spark.range(100).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"))).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.doc_id: r.group_id for r in got} == {d: d // 2 * 2 for d in range(100)}
+
+
 def test_near_copies_edges(spark):
     rows = edge_rows()
     got = near_dups.near_duplicates(frame(spark, rows)).collect()
